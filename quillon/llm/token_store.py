@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from quillon.llm import common
 
 #: Ids of the rolling hash's window, and one cut in about MEAN ids, with chunks of LEAST to MOST ids.
-WINDOW, MEAN, LEAST, MOST = 8, 512, 64, 4096
+WINDOW, MEAN, LEAST, MOST = 4, 512, 64, 4096
 #: Digests a task remembers so as to send a chunk once; more are sent again, and dropped by the store.
 REMEMBERED = 1 << 20
 MIXED = "kind int, slot long, doc_id long, n long, digests array<binary>, root binary, digest binary, payload binary"
@@ -40,44 +40,90 @@ def default_vocabulary() -> str:
 class Encoder(dict):
     """Ids of texts, as the tokenizers library gives them with add_special_tokens=False.
 
-    A byte-level BPE splits a text into words and merges inside words only, so the library encodes each distinct word
-    once and a dictionary has it from then on. Texts with a special token, and tokenizers of another kind, go to the library whole.
+    A byte-level BPE cuts a text before each single blank and at each single line end that stand between other characters,
+    and never merges across a cut. So texts are split there, the library encodes each distinct unit once, many in one call with a special
+    token between them, and a dictionary has it from then on. Texts with other runs of white space or with a special
+    token, and tokenizers of another kind, go to the library whole.
     """
 
-    WORDS = 400_000
+    UNITS, CALL = 1_200_000, 64
 
     def __init__(self, path: str):
         import json
         import os
 
-        import regex
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        spec = json.load(open(path, encoding="utf-8"))
-        pre = spec.get("pre_tokenizer") or {}
-        self.words = None
-        if pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and spec["model"]["type"] == "BPE":
-            import public_tokenizers
-
-            self.words = regex.compile(public_tokenizers.PATTERN)
-        self.special = [t["content"] for t in spec.get("added_tokens", [])]
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= self.WORDS:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        pre, self.special = spec.get("pre_tokenizer") or {}, [t["content"] for t in spec.get("added_tokens", [])]
+        byte_level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
+        plain = [t for t in spec.get("added_tokens", []) if not (t["lstrip"] or t["rstrip"] or t["single_word"])]
+        self.mark = plain[0] if byte_level and plain and spec["model"]["type"] == "BPE" else None
+        self.got: list[bytes | None] = []
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        self.new.append(unit)
+        self[unit] = k = len(self)
+        return k
+
+    def _learn(self) -> None:
+        """Ids of the new units; None for one that white space at an edge makes depend on its neighbours."""
+        texts, places, stems, first = [], [], [], len(self.got)
+        for k, u in enumerate(self.new, first):  # grows by the stems that it meets
+            core = u[1:] if u[:1] == "\n" else u
+            self.got.append(None)
+            if not core or core[0].isspace() or core[-1].isspace():
+                continue
+            if core[-1] in ".," and core[-2:-1].isalpha():  # a word and one sign: tokens of their own
+                stems.append((k, self[u[:-1]], u[-1]))
+            else:
+                texts.append(u if u[0] == "\n" else " " + u)
+                places.append(k)
+        for at in range(0, len(texts), self.CALL):
+            ids = np.array(self._library(self.mark["content"].join(texts[at : at + self.CALL])), "<u4")
+            ends, load = np.flatnonzero(ids == self.mark["id"]).tolist(), ids.tobytes()
+            for k, lo, hi in zip(places[at : at + self.CALL], [0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True):
+                self.got[k] = load[4 * lo : 4 * hi]
+        if stems:
+            signs = {c: np.array(self._library(c), "<u4").tobytes() for c in ".,"}
+            for k, stem, sign in stems:
+                self.got[k] = self.got[stem] + signs[sign]
+        self.new.clear()
+
+    def _library(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def many(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each of some texts."""
+        if len(self) > self.UNITS:
             self.clear()
-        if len(word) < 64:
-            self[word] = ids
-        return ids
+            self.got.clear()
+        parts: list[tuple[str, list[int]] | None] = []
+        for text in texts:
+            first, *units = text.replace("\n", " \n").split(" ") if self.mark else ("",)
+            safe = first and not first[-1].isspace() and not any(t in text for t in self.special)
+            parts.append((first, list(map(self.__getitem__, units))) if safe else None)
+        self._learn()
+        for text, part in zip(texts, parts, strict=True):
+            try:
+                yield np.concatenate([np.array(self._library(part[0]), "<u4"), np.frombuffer(b"".join(map(self.got.__getitem__, part[1])), "<u4")])
+            except TypeError:  # unsafe, or one of its units is
+                yield np.array(self._library(text), "<u4")
+
+
+_encoders: dict[str, Encoder] = {}
+
 
-    def ids(self, text: str) -> np.ndarray:
-        if self.words is None or any(t in text for t in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        return np.frombuffer(b"".join(map(self.__getitem__, self.words.findall(text))), "<u4")
+def encoder_of(path: str) -> Encoder:
+    """The process's encoder of a vocabulary: what it has learned serves all tasks of a Python worker."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def cuts(ids: np.ndarray) -> list[int]:
@@ -87,7 +133,7 @@ def cuts(ids: np.ndarray) -> list[int]:
         x = (ids.astype(np.uint64) + np.uint64(1)) * MULT
         roll = np.zeros(n, np.uint64)
         for k in range(WINDOW):
-            roll[k:] = roll[k:] + (x[: n - k] << np.uint64(3 * k))
+            roll[k:] = roll[k:] + (x[: n - k] << np.uint64(7 * k))
         roll = (roll ^ (roll >> np.uint64(29))) * MULT
         marks = np.flatnonzero((roll >> np.uint64(40)) % np.uint64(MEAN) == 0) + 1
         while n - at > LEAST:
@@ -148,15 +194,24 @@ class Joined(dict):
         return gf_mul(a, self[n]) ^ b
 
 
+def mixed(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), MIXED_ARROW, strict=True)], schema=MIXED_ARROW)
+
+
+_joined = Joined()
+
+
 def encoded(docs: DataFrame, vocabulary: str, end_id: int, slots: int) -> DataFrame:
     def make():
-        encoder, sent = Encoder(vocabulary), set()
+        encoder, sent = encoder_of(vocabulary), set()
         end = np.array([end_id], "<u4")
 
         def work(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             rows, weight = [], 0
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.concatenate([encoder.ids(text or ""), end])
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            tokens = (ids for at in range(0, len(texts), 256) for ids in encoder.many(texts[at : at + 256]))
+            for doc, ids in zip(b.column(0).to_pylist(), tokens, strict=True):
+                ids = np.concatenate([ids, end])
                 marks, names = cuts(ids), []
                 for lo, hi in zip([0, *marks[:-1]], marks, strict=True):
                     load = packed(ids[lo:hi])
@@ -165,14 +220,14 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int, slots: int) -> DataFr
                     if name not in sent:
                         if len(sent) < REMEMBERED:
                             sent.add(name)
-                        rows.append({"kind": 1, "slot": int.from_bytes(name[:4], "little") % slots, "n": hi - lo, "digest": name, "payload": load})
+                        rows.append((1, int.from_bytes(name[:4], "little") % slots, None, hi - lo, None, None, name, load))
                         weight += len(load)
-                rows.append({"kind": 0, "slot": zlib.crc32(str(doc).encode()) % slots, "doc_id": doc, "n": len(ids), "digests": names, "root": merkle(names)})
+                rows.append((0, zlib.crc32(str(doc).encode()) % slots, doc, len(ids), names, merkle(names), None, None))
                 if weight > 4 << 20:
-                    yield pa.RecordBatch.from_pylist(rows, MIXED_ARROW)
+                    yield mixed(rows)
                     rows, weight = [], 0
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, MIXED_ARROW)
+                yield mixed(rows)
 
         return work
 
@@ -215,7 +270,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
     slots = common.shuffle_partitions(spark)
     rows = encoded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), vocabulary or default_vocabulary(), end_id, 1 << 30)
     rows = rows.repartition(slots, "slot").sortWithinPartitions("kind", "digest").mapInArrow(once, MIXED)
-    rows.select("kind", "doc_id", "n", "digests", "root", "digest", "payload").write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/staged")
+    rows.select("kind", "doc_id", "n", "digests", "root", "digest", "payload").write.partitionBy("kind").parquet(f"{path}/staged")
     staged = spark.read.schema("doc_id long, n long, digests array<binary>, root binary").parquet(f"{path}/staged/kind=0") if _there(spark, f"{path}/staged/kind=0") else spark.createDataFrame([], "doc_id long, n long, digests array<binary>, root binary")
     ordered = staged.withColumnRenamed("n", "n_tokens").repartitionByRange(slots, "doc_id", "root").sortWithinPartitions("doc_id", "root")
     ordered.mapInArrow(placed, "part int, local_start long, doc_id long, n_tokens long, digests array<binary>, root binary").write.parquet(f"{path}/recipes")
@@ -240,7 +295,7 @@ def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document, chunks in order: joined checksum and length, with length and Merkle root held against the recipe."""
-    join, out = Joined(), []
+    join, out = _joined, []
     doc = None
 
     def close():
