@@ -73,6 +73,20 @@ def per_document(df: DataFrame, make: Callable[[], Callable], schema: str, colum
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def rows_where(df: DataFrame, make: Callable[[], Callable], columns: list[str]) -> DataFrame:
+    """df's rows, all columns as they are, where the predicate that make() builds once per task holds of `columns`' values."""
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds = make()
+        at = [names.index(c) for c in columns]
+        for b in batches:
+            mask = pa.array([bool(holds(*row)) for row in zip(*(b.column(k).to_pylist() for k in at), strict=True)], pa.bool_())
+            yield b.filter(mask)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def grouped_stream(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Groups of consecutive rows with equal keys, out of batches sorted by them; a group may span batches."""
     open_parts: list[pa.RecordBatch] = []

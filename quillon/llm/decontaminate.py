@@ -169,33 +169,53 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     common.ship(spark)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
-    out, block, size = None, [], 0
-
-    def scan(block: list[tuple[int, str]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)  # at most BLOCK_BYTES and an item
+    out = None
+    for block in blocks(benchmark, item_col, item_text):
+        shared = spark.sparkContext.broadcast(block)
+        found = common.per_document(picked, lambda shared=shared: finder(Index(shared.value)), FOUND, ["doc_id", "text"])
+        out = found if out is None else out.union(found)
+    return out
 
-        def make():
-            index = Index(shared.value)
 
-            def work(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-                rows = []
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    rows += [(doc, item, *x) for item, x in index.found(normalised(text)).items()]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], [c.split()[0] for c in FOUND.split(", ")])
+def finder(index: Index):
+    def work(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            rows += [(doc, item, *x) for item, x in index.found(normalised(text)).items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], [c.split()[0] for c in FOUND.split(", ")])
 
-            return work
+    return work
 
-        return common.per_document(picked, make, FOUND, ["doc_id", "text"])
 
+def blocks(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text") -> Iterator[list[tuple[int, str]]]:
+    """The benchmark's items in blocks of at most BLOCK_BYTES, or of one item; one empty block for an empty benchmark."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
+    block, size, any_ = [], 0, False
     for r in items.orderBy("item_id", "text").toLocalIterator():
-        if block and size + len(r["text"]) > BLOCK_BYTES:
-            out = scan(block) if out is None else out.union(scan(block))
+        n = len(r["text"].encode("utf-8", "replace"))
+        if block and size + n > BLOCK_BYTES:
+            yield block
             block, size = [], 0
         block.append((r["item_id"], r["text"]))
-        size += len(r["text"])
-    return scan(block) if out is None else out.union(scan(block))
+        size, any_ = size + n, True
+    if block or not any_:
+        yield block
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs' rows, all columns, in whose text no benchmark item is found."""
+    spark = docs.sparkSession
+    common.ship(spark)
+    for block in blocks(benchmark):
+        shared = spark.sparkContext.broadcast(block)
+
+        def make(shared=shared):
+            index = Index(shared.value)
+            return lambda text: not index.found(normalised(text))
+
+        docs = common.rows_where(docs, make, ["text"])
+    return docs
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,6 +65,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def without_copies(docs: DataFrame) -> DataFrame:
+    """docs' rows, all columns, of which exact_dedup keeps one of each group; of rows that repeat a doc_id and text one stays.
+
+    doc_ids that repeat, and null ones, are told apart by their texts; others by the doc_id alone.
+    """
+    r = common.stored(exact_dedup(docs), f"{common.shared_dir(docs.sparkSession)}/decided").withColumnsRenamed({"doc_id": "own_id", "kept": "own_kept"})
+    odd = r.groupBy("own_id").count().where("count > 1 or own_id is null").select("own_id")
+    gone = r.where("not own_kept").select("own_id").union(odd).distinct()
+    plain = docs.join(gone, docs["doc_id"].cast("long") == gone["own_id"], "left_anti").where(F.col("doc_id").isNotNull())
+    if odd.isEmpty():
+        return plain
+    sha = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", ""), 256)
+    rows = docs.join(odd, docs["doc_id"].cast("long").eqNullSafe(odd["own_id"]), "left_semi").withColumn("own_sha", sha).dropDuplicates(["doc_id", "own_sha"])
+    stay = r.where("own_kept").select("own_id", F.col("text_sha256").alias("stay_sha")).distinct()
+    rows = rows.join(stay, rows["doc_id"].cast("long").eqNullSafe(stay["own_id"]) & (rows["own_sha"] == stay["stay_sha"]), "left_semi")
+    return plain.unionByName(rows.drop("own_sha"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
 

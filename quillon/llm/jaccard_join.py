@@ -414,5 +414,12 @@ def jaccard_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100,
     return out.unionByName(without.mapInArrow(sized, "doc_id long, n_shingles long, component_id long"))
 
 
+def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs' rows, all columns, with one document of each component: the one with the least doc_id."""
+    gone = jaccard_join(docs, width, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = common.stored(gone, f"{common.shared_dir(docs.sparkSession)}/gone")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(common.table(spark, sf_dir, "documents"))

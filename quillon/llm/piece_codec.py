@@ -144,7 +144,7 @@ class Codec:
         return src[ends - own], src[ends]
 
 
-def digests(path: str):
+def digests(path: str, with_ids: bool = False):
     """A worker for per_document: ids and decoded text of every document, as digests."""
 
     def make():
@@ -152,16 +152,19 @@ def digests(path: str):
 
         def work(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             ids_col, texts = b.column(0), [t or "" for t in b.column(1).to_pylist()]
-            n, ids_sha, text_sha, spans = [], [], [], []
+            n, ids_sha, text_sha, spans, all_ids = [], [], [], [], []
             for text in texts:
                 ids = codec.sp.encode(text)
                 n.append(len(ids))
+                if with_ids:
+                    all_ids.append(np.array(ids, np.int32))
                 ids_sha.append(hashlib.sha256(str(ids)[1:-1].replace(" ", "").encode()).hexdigest())
                 text_sha.append(hashlib.sha256(codec.sp.decode(ids).encode()).hexdigest())
                 starts, ends = codec.offsets(text, ids)
                 spans.append(zlib.crc32(np.stack([starts, ends], 1).astype("<i8").tobytes()))
             cols = [ids_col, pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha), pa.array(spans, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32"])
+            more = [pa.array(all_ids, pa.list_(pa.int32()))] if with_ids else []
+            yield pa.RecordBatch.from_arrays(cols + more, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32", *["ids"] * with_ids])
 
         return work
 
@@ -203,5 +206,23 @@ def piece_digests(docs: DataFrame, model: str | None = None) -> DataFrame:
     return common.per_document(picked, digests(model or default_model()), DECODED, ["doc_id", "text"])
 
 
+def tokenised(docs: DataFrame, model: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids array<int>, ids_sha256, decoded_sha256, spans_crc32: the digests' rows with the ids themselves."""
+    common.ship(docs.sparkSession)
+    path = model or default_model()
+
+    def make():
+        work = digests(path, with_ids=True)()
+
+        def small(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for at in range(0, b.num_rows, 256):
+                yield from work(b.slice(at, 256))
+
+        return small
+
+    picked = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
+    return common.per_document(picked, make, DECODED + ", ids array<int>", ["doc_id", "text"])
+
+
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(common.table(spark, sf_dir, "documents"))

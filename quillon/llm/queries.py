@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm.decontaminate import op2_decontaminate
 from quillon.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from quillon.llm.html_extract import op1_html_extract
 from quillon.llm.jaccard_join import op3_jaccard_join
 from quillon.llm.language_id import op10_language_id
 from quillon.llm.license_scan import op8_license_scan
@@ -16,7 +17,7 @@ from quillon.llm.piece_codec import op9_piece_codec
 from quillon.llm.secret_scan import op6_secret_scan
 from quillon.llm.token_store import op5_token_store
 
-ALL = (op2_decontaminate, op3_jaccard_join, op4_exact_dedup, op5_token_store, op6_secret_scan, op7_personal_data, op8_license_scan, op9_piece_codec, op10_language_id)
+ALL = (op1_html_extract, op2_decontaminate, op3_jaccard_join, op4_exact_dedup, op5_token_store, op6_secret_scan, op7_personal_data, op8_license_scan, op9_piece_codec, op10_language_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
