@@ -259,8 +259,9 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field:
     """A field trained on generated lines and on the prose lines of at most sample_docs documents, drawn by a hash of doc_id."""
-    drawn = docs.where(F.length("text") > 0).select("doc_id", "text", F.xxhash64("doc_id", F.lit("secrets")).alias("u")).orderBy("u", "doc_id").limit(sample_docs)
-    lines = [line for r in drawn.select("text").collect() for line in r["text"].split("\n")]
+    ids = docs.where(F.length("text") > 0).select("doc_id", F.xxhash64("doc_id", F.lit("secrets")).alias("u")).orderBy("u", "doc_id").limit(sample_docs)
+    ids = [r["doc_id"] for r in ids.collect() if r["doc_id"] is not None]  # the ids first: a sorted limit of texts would send many to the driver
+    lines = [line for r in docs.where(F.col("doc_id").isin(ids)).select("doc_id", "text").orderBy("doc_id", "text").collect() for line in (r["text"] or "").split("\n")] if ids else []
     prose = [" ".join(line.split()[:20]) for line in lines if line.strip() and not re.search(r"[0-9=:@]", line)]
     return fit(prose[:600])
 
