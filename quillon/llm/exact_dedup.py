@@ -50,8 +50,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         at = base.select("doc_id", "n_cp", "sha", F.posexplode(F.arrays_zip("ids", "digests")).alias("pos", "c")).select("doc_id", "n_cp", "sha", "pos", "c.ids", "c.digests")
         mended = at.join(bad, "ids").select("doc_id", "n_cp", "sha", F.struct("pos", F.array_position("all", F.col("digests")).alias("rank")).alias("m"))
         mended = mended.groupBy("doc_id", "n_cp", "sha").agg(F.sort_array(F.collect_set("m")).alias("mend"))
-        on = [base[c].eqNullSafe(mended[c]) for c in ("doc_id", "n_cp", "sha")]
-        base = base.join(mended, on[0] & on[1] & on[2], "left").select(*[base[c] for c in ("doc_id", "n_cp", "sha", "ids")], "mend")
+        mended = mended.select(F.col("doc_id").alias("m_id"), F.col("n_cp").alias("m_cp"), F.col("sha").alias("m_sha"), "mend")
+        same = F.expr("doc_id <=> m_id and n_cp = m_cp and sha = m_sha")
+        base = base.join(mended, same, "left").select("doc_id", "n_cp", "sha", "ids", "mend")
         key = ["ids", "mend"]
     recipe = F.struct(*key).alias("recipe")
     rows = base.select("doc_id", "n_cp", "sha", recipe, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))

@@ -22,6 +22,8 @@ from quillon.llm import common
 
 #: Pages of a host that its template is induced from, and bytes of all hosts' templates up to which they are broadcast.
 REFERENCES, BROADCAST = 6, 32_000_000
+#: Containers nested deeper than this are read as part of the one around them.
+DEPTH = 100
 
 # HTML's element groups, and words of class, id and role that name what isn't main text.
 RAW = "script|style|template|textarea|title|iframe|noscript|noembed|noframes|svg|math|select|object|audio|video|canvas"
@@ -139,9 +141,10 @@ def parsed(html: str | None) -> Node:
             if hidden:
                 quiet = 1
                 continue
-            node = Node(tag, key, words)
-            stack[-1].kids.append(node)
-            stack.append(node)
+            if len(stack) < DEPTH:
+                node = Node(tag, key, words)
+                stack[-1].kids.append(node)
+                stack.append(node)
         elif tag in BLOCKS:
             flush()
         elif tag == "br":
