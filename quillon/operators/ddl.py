@@ -73,6 +73,13 @@ def table_spec(model: EntityModel, t: EntityType) -> TableSpec:
     return TableSpec(t.table or t.name, T.StructType(fields), indexes, foreign, t.partition_by, defaults, computed, identity)
 
 
+def staging(spec: TableSpec, suffix: str = "_staging") -> TableSpec:
+    """The table that rows wait in before a merge: no identity, no keys, and version columns as nullable binary values."""
+    versions = {f.name for f in spec.schema.fields if f.metadata.get("rowversion")}
+    fields = [T.StructField(f.name, T.BinaryType() if f.name in versions else f.dataType, True) for f in spec.schema.fields]
+    return TableSpec(spec.name + suffix, T.StructType(fields))
+
+
 def create_if_missing(spark: SparkSession, spec: TableSpec) -> None:
     """CREATE TABLE IF NOT EXISTS, with key and index metadata in the table's properties."""
     from pyspark.sql.types import StructType

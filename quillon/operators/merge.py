@@ -120,9 +120,16 @@ def merge(
 
 
 def checked_source(source: DataFrame, keys: list[str]) -> DataFrame:
-    """source, failing when run if a key comes twice."""
-    n = source.groupBy(*[ref(k) for k in keys]).agg(F.count(F.lit(1)).alias("?n"))
-    return source.join(n, keys).where(F.when(ref("?n") > 1, F.raise_error(F.lit("merge source has a key twice"))).otherwise(F.lit(True)).cast("boolean")).drop("?n")
+    """source, failing when run if a key comes twice. Rows with a null in their key match nothing and are left as they are.
+
+    One aggregate by the merge's own keys, whose shuffle and order the join after it uses.
+    """
+    rest = [c for c in source.columns if c not in keys]
+    whole = _all([ref(k).isNotNull() for k in keys])
+    one = source.where(whole).groupBy(*[ref(k) for k in keys]).agg(F.count(F.lit(1)).alias("?n"), F.first(F.struct(*[ref(c) for c in rest], F.lit(0).alias("?0"))).alias("?r"))
+    one = one.where(F.when(ref("?n") > 1, F.raise_error(F.lit("merge source has a key twice")).cast("boolean")).otherwise(F.lit(True)))
+    one = one.select(*[ref(c) if c in keys else F.col(f"`?r`.`{c}`").alias(c) for c in source.columns])
+    return one.unionByName(source.where(~whole)) if any(source.schema[k].nullable for k in keys) else one
 
 
 def delete(target: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:

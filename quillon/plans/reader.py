@@ -307,7 +307,7 @@ class Planner:
             return out
         rows.where(key, q)
         out = Rows(self, target, self.scan(target))
-        own = rows.df.select(*[ref(a).alias(f"?from.{a}") for a, _ in nav.pairs]).distinct()
+        own = rows.df.select(*[ref(a).alias(f"?from.{a}") for a, _ in nav.pairs])
         if nav.bridge:
             b = self.bridge(nav).join(own, [ref(c) == ref(f"?from.{a}") for a, c in nav.pairs], "left_semi")
             b = b.select(*[ref(c).alias(f"?from.{d}") for c, d in nav.bridge_pairs])

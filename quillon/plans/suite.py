@@ -280,6 +280,42 @@ def insert_rows(spark, sf_dir):
     return merge.insert(r, r.select((F.col("r_regionkey") + 5).alias("r_regionkey"), F.concat(F.lit("NEW "), "r_name").alias("r_name")))
 
 
+@made("insert_identity", "select n_name, n_nationkey + 1 as id from nation union all select r_name, 25 + row_number() over (order by r_regionkey) from region")
+def insert_identity(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_name", (F.col("n_nationkey") + 1).cast("long").alias("id"))
+    r = spark.read.parquet(f"{sf_dir}/region.parquet").orderBy("r_regionkey").select(F.col("r_name").alias("n_name"))
+    return merge.insert(n, r, identity="id")
+
+
+@made(
+    "merge_update_unmatched",
+    f"with s as ({_CHANGED}) select coalesce(c_custkey, k) as c_custkey, case when k is null then 'GONE' else c_mktsegment end as c_mktsegment, coalesce(a, c_acctbal) as c_acctbal from customer full join s on c_custkey = k",
+)
+def merge_update_unmatched(spark, sf_dir):
+    c, s = _source(spark, sf_dir)
+    return merge.merge(c.select("c_custkey", "c_mktsegment", "c_acctbal"), s, ["c_custkey"], update_unmatched={"c_mktsegment": F.lit("GONE")})
+
+
+@made(
+    "merge_concurrency",
+    "select s_suppkey, case when s_suppkey % 2 = 0 then s_acctbal + 1 else s_acctbal end as s_acctbal, case when s_suppkey % 2 = 0 then 2 else 1 end as ver from supplier",
+)
+def merge_concurrency(spark, sf_dir):
+    t = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_acctbal", F.lit(1).alias("ver"))
+    return merge.merge(t, t.where("s_suppkey % 2 = 0").withColumn("s_acctbal", F.col("s_acctbal") + 1), ["s_suppkey"], concurrency="ver")
+
+
+@made("deep_write", "select n_nationkey, n_name, n_regionkey from nation union all select 100 + r_regionkey, 'In ' || r_name, r_regionkey from region")
+def deep_write(spark, sf_dir):
+    """Regions with nested new nations: the parents' rows, then the children's with their foreign key."""
+    from quillon.operators.graph import deep_write as write
+
+    m = star_model()
+    tables = {k: spark.read.parquet(f"{sf_dir}/{k}.parquet") for k in ("region", "nation")}
+    child = F.array(F.struct((F.col("r_regionkey") + 100).alias("n_nationkey"), F.concat(F.lit("In "), "r_name").alias("n_name")))
+    return write(m, m.type("Region"), tables["region"].withColumn("Nations", child))(tables)["nation"]
+
+
 @made("link_bridge", "select distinct l_partkey, l_suppkey from lineitem union select p_partkey, 1 from part where p_partkey < 50")
 def link_bridge(spark, sf_dir):
     m = star_model()
