@@ -52,7 +52,7 @@ def holds(kind: str, text: str) -> bool:
     if kind == "email":
         return "@" in text
     if kind == "ip":
-        return all(int(p[-12:]) <= 255 for p in text.split(".")) if re.fullmatch(r"[0-9]+(\.[0-9]+){3}", text) else False
+        return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in text.split(".")) if re.fullmatch(r"[0-9]+(\.[0-9]+){3}", text) else False
     if kind == "card":
         return 13 <= len(digits) <= 19 and luhn(digits)
     return 9 <= len(digits) <= 15

@@ -408,7 +408,7 @@ def brute_private(t):
 
 def test_personal_data(spark, texts, empty, sf):
     net = personal_data.train()
-    odd = ["bob.x@mail.example.com, a@b", "10.0.0.1 256.1.1.1 1.2.3.4.5", "4111 1111 1111 1111", "4111111111111112", "+1 (415) 555-7713", "+12", "call (415) 555-7713 now", "x" * 63 + "@" + "y.zz 9" + "é" * 40 + "7", "+1 (415) 555-7713 4111-1111-1111-1111", "v 1.2.3.4"]
+    odd = ["bob.x@mail.example.com, a@b", "10.0.0.1 256.1.1.1 1.2.3.4.5 0000255.1.1.1 1000000000000005.1.1.1", "4111 1111 1111 1111", "4111111111111112", "+1 (415) 555-7713", "+12", "call (415) 555-7713 now", "x" * 63 + "@" + "y.zz 9" + "é" * 40 + "7", "+1 (415) 555-7713 4111-1111-1111-1111", "v 1.2.3.4"]
     rows = [(k, t) for k, t in enumerate([*odd, *texts])] + [(None, "a@b.cc")] + [(10_000 + r["doc_id"], r["text"]) for r in common.table(spark, sf, "documents").collect()]
     got = personal_data.personal_data(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_ip", F.lit("x")), net).collect()
     text, false = dict(rows), 0
