@@ -23,8 +23,7 @@ def run_steps(planner, rows, steps: list[Step]) -> DataFrame:
             if step.name == "identity":
                 continue
             if step.name in ("groupby", "aggregate"):
-                keys, rolled, below = (*step.args, []) if step.name == "groupby" and len(step.args) == 2 else step.args if step.name == "groupby" else ([], [], [Step("aggregate", step.args)])
-                df = _grouped(planner, rows, keys, rolled, below)
+                df = _grouped(planner, rows, *(step.args if step.name == "groupby" else ([], [], [step])))
                 continue
             if step.name == "expand":
                 return _finish(planner, planner.read(rows, A.Query(expand=[step.args[0]])), rows, steps[k + 1 :])
@@ -86,7 +85,7 @@ def transformed(planner, df: DataFrame, rows, step: Step, within: list[str] | No
     if step.name == "aggregate":
         return df.agg(*[column(n.expr, s).alias(n.alias) for n in step.args[0]])
     if step.name == "groupby":
-        keys, rolled, below = (*step.args, [])[:3]
+        keys, rolled, below = step.args
         names = {planner.key_name(e): column(e, s) for e in (*keys, *rolled)}
         if rolled:
             raise BindError("rollup comes before other grouping")

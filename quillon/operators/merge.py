@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.model import EntityModel, EntityType, Navigation
@@ -122,14 +122,12 @@ def merge(
 def checked_source(source: DataFrame, keys: list[str]) -> DataFrame:
     """source, failing when run if a key comes twice. Rows with a null in their key match nothing and are left as they are.
 
-    One aggregate by the merge's own keys, whose shuffle and order the join after it uses.
+    Counted over the merge's own keys, so that the join after it needs no further shuffle of source.
     """
-    rest = [c for c in source.columns if c not in keys]
+    n = F.count(F.lit(1)).over(Window.partitionBy(*[ref(k) for k in keys]))
     whole = _all([ref(k).isNotNull() for k in keys])
-    one = source.where(whole).groupBy(*[ref(k) for k in keys]).agg(F.count(F.lit(1)).alias("?n"), F.first(F.struct(*[ref(c) for c in rest], F.lit(0).alias("?0"))).alias("?r"))
-    one = one.where(F.when(ref("?n") > 1, F.raise_error(F.lit("merge source has a key twice")).cast("boolean")).otherwise(F.lit(True)))
-    one = one.select(*[ref(c) if c in keys else F.col(f"`?r`.`{c}`").alias(c) for c in source.columns])
-    return one.unionByName(source.where(~whole)) if any(source.schema[k].nullable for k in keys) else one
+    error = F.raise_error(F.lit("merge source has a key twice")).cast("boolean")
+    return source.withColumn("?n", n).where(F.when(whole & (ref("?n") > 1), error).otherwise(F.lit(True))).drop("?n")
 
 
 def delete(target: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
@@ -154,8 +152,6 @@ def insert(target: DataFrame, rows: DataFrame, identity: str | None = None) -> D
 
 def numbered(rows: DataFrame, name: str) -> DataFrame:
     """Consecutive numbers from 1 without a global sort: positions within partitions plus offsets, one row for each partition."""
-    from pyspark.sql import Window
-
     marked = rows.withColumn("?id", F.monotonically_increasing_id())
     part, place = F.shiftright("?id", 33), ref("?id").bitwiseAND(F.lit((1 << 33) - 1))
     marked = marked.withColumn("?part", part).withColumn("?place", place)

@@ -11,7 +11,6 @@ from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillon.functions.scalar import Udfs
 from quillon.lang import ast as A
@@ -521,7 +520,3 @@ class Planner:
 
 def _aggregates(e: A.Expr, udfs: Udfs) -> bool:
     return any(isinstance(x, A.With) and x.method != "none" for x in A.walk(e))
-
-
-def flat_type(t: T.DataType) -> bool:
-    return not isinstance(t, (T.ArrayType, T.StructType, T.MapType))
