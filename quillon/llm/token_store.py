@@ -12,18 +12,21 @@ is read back is what was written. Store layout, all Parquet in a folder of share
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm import common
 
 #: Ids of the rolling hash's window, and one cut in about MEAN ids, with chunks of LEAST to MOST ids.
-WINDOW, MEAN, LEAST, MOST = 4, 512, 64, 4096
+WINDOW, MEAN, LEAST, MOST = 4, 1024, 128, 8192
 #: Digests a task remembers so as to send a chunk once; more are sent again, and dropped by the store.
 REMEMBERED = 1 << 20
 MIXED = "kind int, slot long, doc_id long, n long, digests array<binary>, root binary, digest binary, payload binary"
@@ -37,6 +40,11 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: The byte alphabet of byte-level BPE beyond ASCII: bytes without a visible Latin-1 character are numbered from 256 on.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+BYTES = {b: chr(256 + k) for k, b in enumerate(_HIDDEN)}
+
+
 class Encoder(dict):
     """Ids of texts, as the tokenizers library gives them with add_special_tokens=False.
 
@@ -46,7 +54,7 @@ class Encoder(dict):
     token, and tokenizers of another kind, go to the library whole.
     """
 
-    UNITS, CALL = 1_200_000, 64
+    UNITS, CALL, SLICE = 800_000, 64, 16 << 20
 
     def __init__(self, path: str):
         import json
@@ -63,8 +71,13 @@ class Encoder(dict):
         byte_level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
         plain = [t for t in spec.get("added_tokens", []) if not (t["lstrip"] or t["rstrip"] or t["single_word"])]
         self.mark = plain[0] if byte_level and plain and spec["model"]["type"] == "BPE" else None
-        self.got: list[bytes | None] = []
-        self.new: list[str] = []
+        self.unsafe = re.compile("|".join(map(re.escape, self.special)) or "(?!)")
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empty: ids of all units one after another, each unit's start and number of ids (-1: unsafe), units not learned yet."""
+        self.clear()
+        self.store, self.at, self.n, self.new = array("I"), array("q"), array("q"), []
 
     def __missing__(self, unit: str) -> int:
         self.new.append(unit)
@@ -72,48 +85,91 @@ class Encoder(dict):
         return k
 
     def _learn(self) -> None:
-        """Ids of the new units; None for one that white space at an edge makes depend on its neighbours."""
-        texts, places, stems, first = [], [], [], len(self.got)
-        for k, u in enumerate(self.new, first):  # grows by the stems that it meets
-            core = u[1:] if u[:1] == "\n" else u
-            self.got.append(None)
-            if not core or core[0].isspace() or core[-1].isspace():
-                continue
-            if core[-1] in ".," and core[-2:-1].isalpha():  # a word and one sign: tokens of their own
-                stems.append((k, self[u[:-1]], u[-1]))
+        """Ids of the new units. One that white space at an edge makes depend on its neighbours, or that holds a special token, is unsafe."""
+        if not self.new:
+            return
+        store, word, texts, places, stems = self.store, self.tokenizer.model.tokenize, [], [], []
+        got: dict[int, array] = {}
+        first = k = len(self.n)
+        while k < len(self):  # grows by the stems that it meets
+            u = self.new[k - first]
+            if u.isalpha():  # one word, which the library's model takes as it is, in its byte alphabet
+                got[k] = array("I", [t.id for t in word("\u0120" + (u if u.isascii() else u.encode().decode("latin-1").translate(BYTES)))])
             else:
-                texts.append(u if u[0] == "\n" else " " + u)
-                places.append(k)
+                core = u[1:] if u[:1] == "\n" else u
+                if core and not core[0].isspace() and not core[-1].isspace() and not self.unsafe.search(u):
+                    if core[-1] in ".," and core[-2:-1].isalpha():  # a word and one sign: tokens of their own
+                        stems.append((k, self[u[:-1]], u[-1]))
+                    else:
+                        texts.append(u if u[0] == "\n" else " " + u)
+                        places.append(k)
+            k += 1
         for at in range(0, len(texts), self.CALL):
             ids = np.array(self._library(self.mark["content"].join(texts[at : at + self.CALL])), "<u4")
-            ends, load = np.flatnonzero(ids == self.mark["id"]).tolist(), ids.tobytes()
+            ends, load = np.flatnonzero(ids == self.mark["id"]).tolist(), array("I", ids.tobytes())
             for k, lo, hi in zip(places[at : at + self.CALL], [0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True):
-                self.got[k] = load[4 * lo : 4 * hi]
+                got[k] = load[lo:hi]
         if stems:
-            signs = {c: np.array(self._library(c), "<u4").tobytes() for c in ".,"}
+            signs = {c: array("I", self._library(c)) for c in ".,"}
             for k, stem, sign in stems:
-                self.got[k] = self.got[stem] + signs[sign]
+                own = got.get(stem)
+                if own is None and stem < first and self.n[stem] >= 0:
+                    own = store[self.at[stem] : self.at[stem] + self.n[stem]]
+                if own is not None:
+                    got[k] = own + signs[sign]
+        none = array("I")
+        for k in range(first, len(self)):
+            own = got.get(k)
+            self.at.append(len(store))
+            self.n.append(-1 if own is None else len(own))
+            store.extend(own or none)
         self.new.clear()
 
     def _library(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def many(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """Ids of each of some texts."""
+    def many(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text of a column without nulls. Units are told apart by Arrow, SLICE bytes at a time; each distinct one is looked up."""
+        size = np.cumsum(np.asarray(pc.binary_length(texts), np.int64))
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + self.SLICE, "right")))
+            yield from self._slice(texts.slice(lo, hi - lo))
+            lo = hi
+
+    def _slice(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        if self.mark is None:
+            yield from (np.array(self._library(t), "<u4") for t in texts.to_pylist())
+            return
         if len(self) > self.UNITS:
-            self.clear()
-            self.got.clear()
-        parts: list[tuple[str, list[int]] | None] = []
-        for text in texts:
-            first, *units = text.replace("\n", " \n").split(" ") if self.mark else ("",)
-            safe = first and not first[-1].isspace() and not any(t in text for t in self.special)
-            parts.append((first, list(map(self.__getitem__, units))) if safe else None)
+            self._forget()
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        coded = parts.flatten().dictionary_encode()
+        idx, bounds = coded.indices.to_numpy(), np.asarray(parts.offsets, np.int64) - parts.offsets[0].as_py()
+        places = np.fromiter(map(self.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
         self._learn()
-        for text, part in zip(texts, parts, strict=True):
-            try:
-                yield np.concatenate([np.array(self._library(part[0]), "<u4"), np.frombuffer(b"".join(map(self.got.__getitem__, part[1])), "<u4")])
-            except TypeError:  # unsafe, or one of its units is
-                yield np.array(self._library(text), "<u4")
+        width, start, flat = np.array(self.n)[places], np.array(self.at)[places], np.array(self.store)
+        unsafe = (width < 0)[idx]
+        width = np.maximum(width, 0)
+        firsts = bounds[:-1]
+        unsafe[firsts] = False  # the first unit has no blank before it and is encoded by itself
+        broken = np.add.reduceat(unsafe, firsts, dtype=np.int64) > 0
+        for t in self.special:
+            broken |= np.asarray(pc.match_substring(texts, t), bool)
+        heads = parts.flatten().take(pa.array(firsts)).to_pylist()
+        for lo in range(0, len(texts), 1000):
+            own = slice(bounds[lo], bounds[min(lo + 1000, len(texts))])
+            n = width[idx[own]]
+            n[firsts[lo : lo + 1000] - bounds[lo]] = 0
+            ends = np.cumsum(n)
+            ids = flat[np.repeat(start[idx[own]] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+            cut = np.concatenate([[0], ends])[bounds[lo : lo + 1001] - bounds[lo]]
+            for k in range(lo, min(lo + 1000, len(texts))):
+                head = heads[k]
+                if broken[k] or not head or head[-1].isspace():
+                    yield np.array(self._library(texts[k].as_py()), "<u4")
+                else:
+                    yield np.concatenate([np.array(self._library(head), "<u4"), ids[cut[k - lo] : cut[k - lo + 1]]])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -208,9 +264,7 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int, slots: int) -> DataFr
 
         def work(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             rows, weight = [], 0
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            tokens = (ids for at in range(0, len(texts), 256) for ids in encoder.many(texts[at : at + 256]))
-            for doc, ids in zip(b.column(0).to_pylist(), tokens, strict=True):
+            for doc, ids in zip(b.column(0).to_pylist(), encoder.many(pc.fill_null(b.column(1), "")), strict=True):
                 ids = np.concatenate([ids, end])
                 marks, names = cuts(ids), []
                 for lo, hi in zip([0, *marks[:-1]], marks, strict=True):
@@ -270,7 +324,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
     slots = common.shuffle_partitions(spark)
     rows = encoded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), vocabulary or default_vocabulary(), end_id, 1 << 30)
     rows = rows.repartition(slots, "slot").sortWithinPartitions("kind", "digest").mapInArrow(once, MIXED)
-    rows.select("kind", "doc_id", "n", "digests", "root", "digest", "payload").write.partitionBy("kind").parquet(f"{path}/staged")
+    rows.select("kind", "doc_id", "n", "digests", "root", "digest", "payload").write.partitionBy("kind").option("parquet.enable.dictionary", "false").parquet(f"{path}/staged")
     staged = spark.read.schema("doc_id long, n long, digests array<binary>, root binary").parquet(f"{path}/staged/kind=0") if _there(spark, f"{path}/staged/kind=0") else spark.createDataFrame([], "doc_id long, n long, digests array<binary>, root binary")
     ordered = staged.withColumnRenamed("n", "n_tokens").repartitionByRange(slots, "doc_id", "root").sortWithinPartitions("doc_id", "root")
     ordered.mapInArrow(placed, "part int, local_start long, doc_id long, n_tokens long, digests array<binary>, root binary").write.parquet(f"{path}/recipes")
