@@ -21,10 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder under spark.checkpoint.dir. Only where that is unset (tests, a single machine) is a temporary one set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_quillon_dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix=f"{PACKAGE}-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = sc._quillon_dir = "file://" + tempfile.mkdtemp(prefix=f"{PACKAGE}-")
     return f"{base.rstrip('/')}/{PACKAGE}-{uuid.uuid4().hex}"
 
 
