@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +62,23 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, n: int) -> Iterator[None]:
+    """Within, Arrow batches to and from Python have n rows at most: for rows that are large, or workers that keep much."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(n, int(before)) if int(before) > 0 else n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def lean() -> None:
+    """In a Python worker: Arrow memory goes back to the system when it is free."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def per_document(df: DataFrame, make: Callable[[], Callable], schema: str, columns: list[str]) -> DataFrame:
     """mapInArrow with a worker that make() builds once per task; the worker takes a RecordBatch and yields or returns batches."""
 

@@ -4,10 +4,10 @@ Two documents link when their sets of word shingles have a Jaccard similarity of
 
 1. Classes. Documents with equal sets are one class, whose least doc_id stands for it.
 2. Groups. Sets that link differ in at most k shingles, k from their sizes. Shingles are dealt to k + 1 + t parts by hash, so
-   linking sets agree on t + 1 parts, and on a non-empty one unless both have more than t empty parts. Each set sends a
-   key for each non-empty part (and for its empty ones if these are more than t), for its own size band and the one below.
-   Tasks combine equal keys before the shuffle. All sets with a key gather around the least of them, their hub: any two
-   that can link are in one hub's group.
+   linking sets agree on t + 1 parts. Each set sends a key for each part, for its own size band and the one below. How many
+   documents have a key is the same for all that have it; so each set can do without its empty parts and its most common keys, t
+   in all: of the parts that two linking sets agree on, one is rarer than what either leaves out. What documents share in passing, like a
+   frequent passage, so leaves no trace, while copies keep their rarest keys. Tasks combine very common keys before the shuffle. All sets with a key gather around the least of them, their hub: any two that can link are in one hub's group.
 3. Trees. Each group's sets hang in a binary signature tree, ordered by size: a node has the OR of its sets' token bitmaps,
    their size range and the most tokens that share bits. Two nodes are walked together and dropped when their largest
    possible overlap is too small for their sizes, or when all their sets are known to be connected. Leaves compare sets.
@@ -31,8 +31,14 @@ from quillon.llm import common
 #: Sets, and shingles of all of them together, in a block of a large group.
 BLOCK, BLOCK_SHINGLES = 1024, 4_000_000
 #: Keys a task gathers before it combines and sends them.
-GATHERED = 1_500_000
+GATHERED = 400_000
 LEAF, SALTS = 4, 64
+#: Levels of how many documents have a key: 1 for two or three, 2 for four to seven and so on; the last has no upper end. A task
+#: combines the keys that are of the last level in it alone.
+LEVELS = 6
+COMMON = 1 << LEVELS
+#: Ids of grouped sets up to which they are broadcast to where the texts are; beyond it texts move to the ids.
+BROADCAST_IDS = 1_000_000
 U = np.uint64
 A, B, C = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 
@@ -47,7 +53,7 @@ class Words(dict):
     """64-bit hashes of words; forgets all when it has many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -89,10 +95,12 @@ class Bands:
 
     def parts(self, band: int) -> tuple[int, int]:
         k = (self.floor[band + 1] - 1) * (self.den - self.num) // self.num
-        return k, 1 if k < 8 else 2 + k * 3 // 100
+        return k, 1 + k * 3 // 20
 
-    def keys(self, s: np.ndarray) -> np.ndarray:
-        out, own = [], self.of(len(s))
+    def keys(self, s: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """Keys of the parts in the own band and the one below, a key's last bit telling bands apart; and for either value of that
+        bit, how many parts besides its empty ones the set can do without."""
+        out, spare, own = [], [0, 0], self.of(len(s))
         x = mix(s ^ A)
         for band in (own, own - 1):
             if band < 0:
@@ -108,8 +116,10 @@ class Bands:
             ends = np.cumsum(n)
             total = sums[ends] - sums[ends - n]
             names = mix(total ^ mix(np.arange(m, dtype=U) * A + np.full(1, band, U) * B))
-            out.append(names if (n == 0).sum() > t else names[n > 0])
-        return np.concatenate(out) if out else np.zeros(0, U)
+            names = (names & ~U(1)) | U(band & 1)
+            spare[band & 1] = t - int((n == 0).sum())
+            out.append(names if spare[band & 1] < 0 else names[n > 0])
+        return np.concatenate(out) if out else np.zeros(0, U), spare
 
 
 def set_hash(s: np.ndarray) -> tuple[int, int]:
@@ -117,66 +127,84 @@ def set_hash(s: np.ndarray) -> tuple[int, int]:
     return (h & (1 << 64) - 1) - (1 << 63), (h >> 64) - (1 << 63)
 
 
-SENT = "kind int, bucket int, a binary, b binary, n binary, h1 binary, h2 binary"
-GOT = "kind int, a long, b long, n long, h1 long, h2 long"
+SENT = "kind int, bucket int, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary, c5 binary"
+GOT = "kind int, c0 long, c1 long, c2 long, c3 long, c4 long, c5 long"
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    ints, blobs = list(zip(*rows, strict=True))[:2], list(zip(*rows, strict=True))[2:]
-    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in ints), *(pa.array([None if x is None else x.tobytes() for x in c], pa.binary()) for c in blobs)], ["kind", "bucket", "a", "b", "n", "h1", "h2"])
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    kinds, buckets, cols = zip(*rows, strict=True)
+    blobs = [[c[k].tobytes() if k < len(c) else None for c in cols] for k in range(6)]
+    return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(buckets, pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], ["kind", "bucket", *(f"c{k}" for k in range(6))])
 
 
-def stars(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of (key, doc) entries: distinct keys and each one's least doc; distinct (least doc, other doc) pairs of one key."""
-    order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
-    first = np.ones(len(keys), bool)
-    first[1:] = keys[1:] != keys[:-1]
-    hub = docs[first][np.cumsum(first) - 1]
-    other = hub != docs
-    return keys[first], docs[first], *_distinct(hub[other], docs[other])
+def _unpacked(kind: int, *cols: np.ndarray) -> pa.RecordBatch:
+    none = pa.nulls(len(cols[0]), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), kind), pa.int32()), *(pa.array(cols[k].astype(np.int64)) if k < len(cols) else none for k in range(6))], ["kind", *(f"c{k}" for k in range(6))])
 
 
-def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return a[new], b[new]
+def runs(keys: np.ndarray, docs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Entries in order of key and doc; where keys begin; and for each entry its key's least doc and documents in all."""
+    order = np.lexsort((docs, keys))
+    keys, docs, counts = keys[order], docs[order], counts[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    at = np.flatnonzero(new)
+    total = np.add.reduceat(counts, at) if len(at) else counts
+    which = np.cumsum(new) - 1
+    return keys, docs, counts, new, docs[at][which], total[which]
+
+
+def summed(*cols: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct rows of cols, with the sums of n."""
+    order = np.lexsort(cols[::-1])
+    cols, n = [c[order] for c in cols], n[order]
+    new = np.zeros(len(n), bool)
+    new[:1] = True
+    for c in cols:
+        new[1:] |= c[1:] != c[:-1]
+    at = np.flatnonzero(new)
+    return *(c[at] for c in cols), np.add.reduceat(n, at) if len(at) else n
 
 
 def keyed(docs: DataFrame, width: int, num: int, den: int, bits: int) -> DataFrame:
-    """Packed rows, by kind: 0 keys with their least doc of the task, 1 pairs that the task has found, 2 sizes and set hashes."""
+    """Packed rows, by kind: 0 (key, doc, documents that it stands for); 1 (least doc, doc, band bit, common keys) of keys that the
+    task combined as it has COMMON documents with them; 2 (doc, shingles, set hash twice, spare parts twice)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.lean()
         shingle, bands = Shingler(width), Bands(num, den)
         keys, ids, about, seen, gathered = [], [], [], set(), 0
 
         def sent():
             rows = []
-            k, d, hub, other = stars(np.concatenate([*keys, np.zeros(0, U)]), np.concatenate([*ids, np.zeros(0, np.int64)]))
+            d = np.concatenate([*ids, np.zeros(0, np.int64)])
+            k, d, c, new, hub, total = runs(np.concatenate([*keys, np.zeros(0, U)]), d, np.ones(len(d), np.int64))
+            hot = total >= COMMON
+            spread = (int(k[0] >> U(40)) if len(k) else len(about)) % (1 << bits)
+            if hot.any():
+                rows.append((1, spread, summed(hub[hot], d[hot], (k[hot] & U(1)).astype(np.int64), n=np.where(new[hot], 0, 1))))
+                c = np.where(hot, total, 1)
+                keep = new | ~hot
+                k, d, c = k[keep], d[keep], c[keep]
             bucket = (k >> U(64 - bits)).astype(np.int64)
             at = np.flatnonzero(np.concatenate([np.ones(min(1, len(k)), bool), bucket[1:] != bucket[:-1]]))
-            for lo, hi in zip(at, [*at[1:], len(k)], strict=True):
-                rows.append((0, int(bucket[lo]), k[lo:hi], d[lo:hi], None, None, None))
-            spread = (int(k[0]) if len(k) else len(about)) % (1 << bits)
-            if len(hub):
-                rows.append((1, spread, hub, other, None, None, None))
+            for lo, hi in zip(at, [*at[1:], len(k)] if len(k) else [], strict=True):
+                rows.append((0, int(bucket[lo]), (k[lo:hi], d[lo:hi], c[lo:hi])))
             if about:
-                i, n, h1, h2 = (np.array(c, np.int64) for c in zip(*about, strict=True))
-                rows.append((2, spread, i, None, n, h1, h2))
+                rows.append((2, spread, tuple(np.array(x, np.int64) for x in zip(*about, strict=True))))
             for x in (keys, ids, about, seen):
                 x.clear()
-            return [_rows(rows[i : i + 2000]) for i in range(0, len(rows), 2000)]
+            return [_packed(rows[i : i + 2000]) for i in range(0, len(rows), 2000)]
 
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = shingle(text)
-                h = set_hash(s)
-                about.append((doc, len(s), *h))
-                if len(s) and h not in seen:
+                h, k, spare = set_hash(s), None, [0, 0]
+                if len(s):
+                    k, spare = bands.keys(s)
+                about.append((doc, len(s), *h, *spare))
+                if k is not None and h not in seen:
                     seen.add(h)
-                    k = bands.keys(s)
                     keys.append(k)
                     ids.append(np.full(len(k), doc, np.int64))
                     gathered += len(k)
@@ -190,43 +218,44 @@ def keyed(docs: DataFrame, width: int, num: int, den: int, bits: int) -> DataFra
 
 
 def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed rows sorted by bucket, unpacked: hub pairs of whole buckets, the tasks' own pairs, sizes and set hashes."""
-    ints = lambda x: np.frombuffer(x, np.int64)
-
-    def out(kind, a, b=None, n=None, h1=None, h2=None):
-        none = pa.nulls(len(a), pa.int64())
-        cols = [pa.array(np.full(len(a), kind), pa.int32()), pa.array(a), *(none if x is None else pa.array(x) for x in (b, n, h1, h2))]
-        return pa.RecordBatch.from_arrays(cols, ["kind", "a", "b", "n", "h1", "h2"])
-
+    """Packed rows sorted by bucket, unpacked. Kind 0 now is (hub, doc, band bit, level of the keys, number of keys) of keys with
+    several documents; the hub itself is among them."""
+    common.lean()
     for t in common.grouped_stream(batches, ["bucket"]):
-        keys, docs = [np.zeros(0, U)], [np.zeros(0, np.int64)]
-        for kind, _, a, b, n, h1, h2 in zip(*(c.to_pylist() for c in t.columns), strict=True):
+        parts = [[np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+        for kind, _, *cols in zip(*(c.to_pylist() for c in t.columns), strict=True):
+            own = [np.frombuffer(c, np.int64) for c in cols if c is not None]
             if kind == 0:
-                keys.append(np.frombuffer(a, U))
-                docs.append(ints(b))
-            elif kind == 1:
-                yield out(1, ints(a), ints(b))
+                for x, c in zip(parts, (own[0].view(U), *own[1:]), strict=True):
+                    x.append(c)
             else:
-                yield out(2, ints(a), None, ints(n), ints(h1), ints(h2))
-        hub, other = stars(np.concatenate(keys), np.concatenate(docs))[2:]
-        if len(hub):
-            yield out(0, hub, other)
+                yield _unpacked(kind, *own)
+        k, d, _, _, hub, total = runs(*(np.concatenate(x) for x in parts))
+        several = total > 1
+        if several.any():
+            k, d, hub, total = k[several], d[several], hub[several], total[several]
+            yield _unpacked(0, *summed(hub, d, (k & U(1)).astype(np.int64), np.minimum(LEVELS, np.frexp(total)[1] - 1).astype(np.int64), n=np.ones(len(d), np.int64)))
+
+
+def _bits(s: np.ndarray, log: int) -> np.ndarray:
+    out = np.zeros(1 << log, bool)
+    out[(s >> U(64 - log)).astype(np.int64)] = True
+    return out
 
 
 class Tree:
     """Sets in order of size under a binary tree; nodes are (lo, hi, OR of bitmaps, least size, largest size, most shared bits)."""
 
-    def __init__(self, sets: list[np.ndarray], log: int):
-        n = np.array([len(s) for s in sets])
-        bits = np.zeros((len(sets), 1 << log), bool)
-        for row, s in zip(bits, sets, strict=True):
-            row[(s >> U(64 - log)).astype(np.int64)] = True
-        maps = np.packbits(bits, axis=1).view(U)
-        order = np.lexsort((*maps.T[:3], n))
-        self.order, self.n, self.maps = order, n[order], maps[order]
-        self.sets = [sets[i] for i in order]
-        self.shared = self.n - np.bitwise_count(self.maps).sum(1)
-        self.root = self._node(0, len(sets)) if sets else None
+    def __init__(self, n: list[int], bits: list[np.ndarray], sets: list[np.ndarray] | None = None):
+        least = min((len(b) for b in bits), default=64)
+        rows = [b if len(b) == least else b.reshape(least, -1).any(1) for b in bits]  # the bitmap of shorter leading bits
+        maps = np.packbits(np.array(rows, bool).reshape(len(n), least), axis=1).view(U)
+        size = np.array(n, np.int64)
+        order = np.lexsort((*maps.T[:3], size))
+        self.order, self.n, self.maps = order, size[order], maps[order]
+        self.sets = [sets[i] for i in order] if sets is not None else None
+        self.shared = self.n - np.bitwise_count(self.maps).sum(1, dtype=np.int64)
+        self.root = self._node(0, len(n)) if len(n) else None
 
     def _node(self, lo: int, hi: int) -> tuple:
         own = (lo, hi, np.bitwise_or.reduce(self.maps[lo:hi]), int(self.n[lo]), int(self.n[hi - 1]), int(self.shared[lo:hi].max()))
@@ -234,6 +263,11 @@ class Tree:
         return (*own, *((self._node(lo, mid), self._node(mid, hi)) if hi - lo > LEAF else (None, None)))
 
 
+    def one(self, i: int) -> tuple:
+        """A set as a node."""
+        return i, i + 1, self.maps[i], int(self.n[i]), int(self.n[i]), int(self.shared[i])
+
+
 class Links:
     """Walks trees in pairs and unites what links; found: the pairs that joined two components."""
 
@@ -308,6 +342,7 @@ def walked(num: int, den: int):
     against side 0 rows; a block without side 1 rows against itself. label: the component found so far, or null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.lean()
         for t in common.grouped_stream(batches, ["hub", "block", "other"]):
             sides: tuple[dict, dict] = ({}, {})
             labels: dict[int, list[int]] = {}
@@ -316,7 +351,7 @@ def walked(num: int, den: int):
                 if label is not None:
                     labels.setdefault(label, []).append(doc)
             log = _log([*sides[0].values(), *sides[1].values()])
-            trees = [Tree(list(x.values()), log) for x in sides]
+            trees = [Tree([len(s) for s in x.values()], [_bits(s, log) for s in x.values()], list(x.values())) for x in sides]
             names = [[list(x)[i] for i in tree.order] for x, tree in zip(sides, trees, strict=True)]
             links = Links([*sides[0], *sides[1]], num, den)
             for own in labels.values():
@@ -337,6 +372,11 @@ def jaccard_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100,
     with a null doc_id get a null component_id. Rows that repeat a doc_id are one document: what any of them links with, all do.
     Other columns are ignored; an empty table gives an empty result. Texts of any length are taken whole.
     """
+    with common.batch_rows(docs.sparkSession, 1000):
+        return _jaccard_join(docs, width, num, den, id_col, text_col)
+
+
+def _jaccard_join(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     common.ship(spark)
     ws, n_parts = common.shared_dir(spark), common.shuffle_partitions(spark)
@@ -346,11 +386,12 @@ def jaccard_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100,
     packed = keyed(known, width, num, den, bits).repartition(n_parts, "bucket").sortWithinPartitions("bucket")
     packed.mapInArrow(met, GOT).write.partitionBy("kind").parquet(f"{ws}/met")
     got = spark.read.schema(GOT).parquet(f"{ws}/met")
-    pairs, own, about = (got.where(f"kind = {k}") for k in range(3))
+    across = got.where("kind = 0").select(F.col("c0").alias("hub"), F.col("c1").alias("doc"), F.col("c2").alias("bit"), F.col("c3").alias("level"), F.col("c4").alias("n"))
+    within = got.where("kind = 1").select(F.col("c0").alias("hub"), F.col("c1").alias("doc"), F.col("c2").alias("bit"), F.col("c3").alias("n"))
+    about = got.where("kind = 2").select(F.col("c0").alias("doc_id"), F.col("c1").alias("n"), F.col("c2").alias("h1"), F.col("c3").alias("h2"), F.col("c4").alias("spare0"), F.col("c5").alias("spare1"))
 
     # Classes of equal sets; rep: the class's least doc_id.
-    about = about.select(F.col("a").alias("doc_id"), "n", "h1", "h2", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int").alias("salt"))
-    full = about.where("n > 0")
+    full = about.where("n > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     parts = full.groupBy("h1", "h2", "salt").agg(F.min("doc_id").alias("rep"))
     whole = parts.groupBy("h1", "h2").agg(F.min("rep").alias("rep"))
     reps = full.join(parts.select("h1", "h2", "salt").join(whole, ["h1", "h2"]), ["h1", "h2", "salt"])
@@ -359,19 +400,41 @@ def jaccard_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100,
     twice = of.where("rep <> last").select("doc_id", F.col("rep").alias("least")).join(reps, "doc_id").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
     to = lambda c: of.select(F.col("doc_id").alias(c), F.col("rep").alias(f"{c}_rep"))
 
-    # Groups around hubs, of classes.
-    pairs, own = pairs.select("a", "b").distinct(), own.select("a", "b").distinct()
-    further = own.join(pairs.select(F.col("b").alias("a"), F.col("a").alias("hub")), "a").select(F.col("hub").alias("a"), "b")
-    near = pairs.union(own).union(further).where("a <> b").distinct()
-    near = near.join(to("a"), "a").join(to("b"), "b").select(F.col("a_rep").alias("hub"), F.col("b_rep").alias("doc")).where("hub <> doc").distinct()
+    # Groups around hubs, of classes. A document leaves the groups of its most common keys, as many as it can spare.
+    own = across.select("doc", "bit", "level", "n").union(within.select("doc", "bit", F.lit(LEVELS).cast("long"), "n"))
+    own = own.groupBy("doc", "bit").agg(*[F.sum(F.when(F.col("level") >= k, F.col("n")).otherwise(0)).alias(f"from{k}") for k in range(1, LEVELS + 1)])
+    spare = about.where("n > 0").groupBy("doc_id").agg(F.min("spare0").alias("spare0"), F.min("spare1").alias("spare1"))
+    own = own.join(spare, own["doc"] == spare["doc_id"]).withColumn("spare", F.expr("if(bit = 0, spare0, spare1)"))
+    below = F.lit(LEVELS + 1)
+    for k in range(LEVELS, 0, -1):
+        below = F.when(F.col(f"from{k}") <= F.col("spare"), k).otherwise(below)
+    keeps = common.stored(own.select("doc", "bit", below.alias("below")).where("below > 1"), f"{ws}/keeps")
+    up = across.where(f"level = {LEVELS} and hub <> doc").select(F.col("hub").alias("above"), F.col("doc").alias("hub"), "bit").distinct()
+    local = within.join(keeps.where(f"below > {LEVELS}"), ["doc", "bit"]).select("hub", "doc", "bit")
+    near = across.join(keeps, ["doc", "bit"]).where("level < below").select("hub", "doc")
+    near = near.union(local.select("hub", "doc")).union(local.join(up, ["hub", "bit"]).select("above", "doc")).distinct()
+    near = near.join(to("hub"), "hub").join(to("doc"), "doc").select(F.col("hub_rep").alias("hub"), F.col("doc_rep").alias("doc")).distinct()
     near = common.stored(near, f"{ws}/near")
+    # A group whose members all are in the group of its hub's least hub adds nothing.
+    above = near.where("hub < doc").groupBy("doc").agg(F.min("hub").alias("up")).withColumnRenamed("doc", "hub")
+    inside = near.join(above, "hub").join(near.withColumnRenamed("hub", "up"), ["up", "doc"], "left_semi").groupBy("hub").count()
+    members_in_all = near.groupBy("hub").agg(F.count("*").alias("members"))
+    needless = inside.join(members_in_all, "hub").where("count = members").select("hub")
+    near = common.stored(near.join(needless, "hub", "left_anti"), f"{ws}/own")
     facts = reps.where("doc_id = rep").select(F.col("rep").alias("doc"), "n", "h1").distinct()
-    members = near.union(near.select("hub", F.col("hub").alias("doc")).distinct()).join(facts, "doc")
-    sizes = members.groupBy("hub").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    members = near.join(facts, "doc")
+    members = common.stored(members.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")), f"{ws}/grouped")
+    shares = members.groupBy("hub", "salt").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    sizes = shares.groupBy("hub").agg(F.sum("c").alias("c"), F.sum("s").alias("s")).where("c > 1")
     sizes = sizes.select("hub", F.ceil(F.greatest(F.col("c") / BLOCK, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = common.stored(members.join(sizes, "hub"), f"{ws}/members")
+    members = members.join(shares.select("hub", "salt").join(sizes, "hub"), ["hub", "salt"]).drop("salt")
+    members = common.stored(members, f"{ws}/members")
+
+    for name in ("met", "keeps", "near", "own", "grouped"):
+        common.dropped(spark, f"{ws}/{name}")
 
     def tokenised(batches):
+        common.lean()
         shingle = Shingler(width)
         for b in batches:
             for lo in range(0, b.num_rows, 256):
@@ -379,7 +442,8 @@ def jaccard_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100,
                 sets = [shingle(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_hash(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "h1", "set"])
 
-    wanted = members.select(F.col("doc").alias("doc_id")).distinct()
+    wanted = common.stored(members.select(F.col("doc").alias("doc_id")).distinct(), f"{ws}/wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted.hint("merge")
     sets = common.stored(known.join(wanted, "doc_id", "left_semi").mapInArrow(tokenised, "doc long, h1 long, set binary"), f"{ws}/sets")
 
     def walk(rows: DataFrame, name: str) -> DataFrame:
@@ -403,6 +467,8 @@ def jaccard_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100,
         few = rest.join(much, "hub").select("hub", "doc", "h1", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), other.alias("other"), F.lit(1).alias("side"), "label")
         links = links.union(walk(all_.unionByName(few), "more"))
     roots = common.connected(links, f"{ws}/last")
+    for name in ("members", "wanted", "sets", "links", "first", "placed", "more"):
+        common.dropped(spark, f"{ws}/{name}")
     out = reps.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
     without = given.where("doc_id is null").select("doc_id", "text")
 
@@ -423,3 +489,20 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100)
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(common.table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (
+  select doc_id, case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')]
+    else list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) end as sh
+  from w),
+u as (select doc_id, len(sh) as n, unnest(sh) as g from s),
+p as (
+  select a.doc_id as x, b.doc_id as y from u a join u b on a.g = b.g and a.doc_id < b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+e as (select x, y from p union select y, x from p),
+r(id, z) as (select doc_id, doc_id from documents union select r.id, e.y from r join e on r.z = e.x)
+select s.doc_id, len(sh) as n_shingles, c.component_id from s join (select id, min(z) as component_id from r group by id) c on s.doc_id = c.id
+"""

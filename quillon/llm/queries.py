@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillon.llm.decontaminate import op2_decontaminate
 from quillon.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from quillon.llm.html_extract import op1_html_extract
-from quillon.llm.jaccard_join import op3_jaccard_join
+from quillon.llm.jaccard_join import OP3_SQL, op3_jaccard_join
 from quillon.llm.language_id import op10_language_id
 from quillon.llm.license_scan import op8_license_scan
 from quillon.llm.personal_data import op7_personal_data
@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL}
+    return {"op3_jaccard_join": OP3_SQL, "op4_exact_dedup": OP4_SQL}
