@@ -3,7 +3,8 @@
 Pages become trees of their containers, with text blocks as leaves. Of each host at most REFERENCES pages, drawn by a hash,
 are aligned by simple tree matching: containers that have the same text in all aligned pages are the host's template, those that
 vary are slots. Every page is then aligned with its host's template; what is template, or says by its tag, class,
-id or role that it is a menu, notice, advert or the like, is left out, and the blocks of the slots are the main text.
+id or role that it is a menu, notice, advert or the like, is left out, and the blocks of the slots are the main text. This
+holds inside <article> and <main> too; these tags only say which slots are meant.
 """
 
 from __future__ import annotations
@@ -257,35 +258,44 @@ def not_main(node: Node, inside: bool) -> bool:
 
 
 def main_text(tree: Node, template: Skeleton | None) -> str:
-    """Blocks of the page's articles, or of its main part, or of its slots, in page order."""
+    """Blocks of the page's articles, or of its main part, or of its slots, in page order; what is template is left out of all three.
+
+    Where articles and main part hold nothing but template, the slots elsewhere are the text; where there are none either, tags
+    are the only evidence left, and the articles or main part are read as they stand.
+    """
     fixed = set()
     if template is not None:
         fixed = {id(q) for p, q in pairs(template, tree) if p.const is not None and p.const == text_hash(q)}
 
-    def blocks(node: Node, inside: bool, out: list[str]) -> list[str]:
+    def blocks(node: Node, inside: bool, fixed: set[int], out: list[str]) -> list[str]:
         for k in node.kids:
             if type(k) is str:
                 out.append(k)
-            elif not not_main(k, inside) and (inside or id(k) not in fixed):
+            elif not not_main(k, inside) and id(k) not in fixed:
                 if not inside and k.tag in ("ul", "ol", "table", "div") and (n := len(k.text())) and linked(k) > 0.6 * n:
                     continue  # a list of links
-                blocks(k, inside, out)
+                blocks(k, inside, fixed, out)
         return out
 
     def linked(node: Node) -> int:
         return node.links + sum(linked(k) for k in node.nodes())
 
-    for tags, roles in ((("article",), ()), (("main",), ("role=main",))):
-        roots, todo = [], [tree]
-        while todo:
-            node = todo.pop()
-            if (node.tag in tags or any(r in node.key for r in roles)) and not not_main(node, True):
-                roots.append(node)
-            elif not not_main(node, True):
-                todo += reversed(node.nodes())
-        if roots and (out := [b for r in roots for b in blocks(r, True, [])]):
-            return "\n".join(out)
-    return "\n".join(blocks(tree, False, []))
+    def named(fixed: set[int]) -> list[str]:
+        for tags, roles in ((("article",), ()), (("main",), ("role=main",))):
+            roots, todo = [], [tree]
+            while todo:
+                node = todo.pop()
+                if not_main(node, True) or id(node) in fixed:
+                    continue
+                if node.tag in tags or any(r in node.key for r in roles):
+                    roots.append(node)
+                else:
+                    todo += reversed(node.nodes())
+            if out := [b for r in roots for b in blocks(r, True, fixed, [])]:
+                return out
+        return []
+
+    return "\n".join(named(fixed) or blocks(tree, False, fixed, []) or named(set()))
 
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"

@@ -498,6 +498,18 @@ def test_html_by_induction(spark):
     assert again == {k: r["text"] for k, r in got.items()}
 
 
+def test_html_template_decides_inside_articles(spark):
+    """A teaser article and an author box on all pages are template, and so is a <main> that is the same on all pages."""
+    teaser = "<article><h2>Our offer</h2><p>Read us daily</article>"
+    a = "<body>" + teaser + "<article><h1>Head {0}</h1><p>Story {0}<div class=byline><p>Written by our staff</div><div><p>More {0}</div></article>"
+    b = "<body><main><p>Welcome</main><div><p>Story {0}</div>"
+    rows = [(k, f"http://{h}.example/{k}", page.format(f"v{k}")) for h, page, at in (("a", a, 0), ("b", b, 100)) for k in range(at, at + 12)]
+    rows += [(200, "http://one.example/", teaser)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"Head v{k}\nStory v{k}\nMore v{k}" for k in range(12))
+    assert all(got[k] == f"Story v{k}" for k in range(100, 112)) and got[200] == "Our offer\nRead us daily"
+
+
 def _joined(df, module):
     held, module.BROADCAST = module.BROADCAST, -1
     try:
