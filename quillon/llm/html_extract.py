@@ -1,16 +1,15 @@
 """Operator 1, main text of web pages by wrapper induction.
 
-Pages become trees of their containers, with text blocks as leaves. Of each host at most REFERENCES pages, drawn by a hash,
-are aligned by simple tree matching: containers that have the same text in all aligned pages are the host's template, those that
-vary are slots. Every page is then aligned with its host's template; what is template, or says by its tag, class,
-id or role that it is a menu, notice, advert or the like, is left out, and the blocks of the slots are the main text. This
-holds inside <article> and <main> too; these tags only say which slots are meant.
+Pages become trees of their containers, with text blocks as leaves. All pages of a host are aligned by the paths of their
+containers (the keys from the root down): a container whose text stands at its path in most of the distinct pages that have
+the path is the host's template, those that vary are slots. What is template, or says by its tag, class, id or role that it
+is a menu, notice, advert or the like, is left out, and the blocks of the slots are the main text. This holds inside
+<article> and <main> too; these tags only say which slots are meant.
 """
 
 from __future__ import annotations
 
 import html as entities
-import json
 import re
 from collections.abc import Iterator
 
@@ -21,8 +20,9 @@ from pyspark.sql import functions as F
 
 from quillon.llm import common
 
-#: Pages of a host that its template is induced from, and bytes of all hosts' templates up to which they are broadcast.
-REFERENCES, BROADCAST = 6, 32_000_000
+#: A text is template if it stands in more than SHARE of the distinct pages with its path, and in LEAST of them (in all, if
+#: fewer have the path; never in one alone). Up to BROADCAST bytes, all hosts' templates are broadcast.
+SHARE, LEAST, BROADCAST = 0.5, 3, 32_000_000
 #: Containers nested deeper than this are read as part of the one around them.
 DEPTH = 100
 
@@ -42,6 +42,8 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 ATTR = re.compile(r"(?<![^\s\"'])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+NUMBER = re.compile(r"\d+")
+PRIME, BASE = (1 << 61) - 1, 0x1B873593CC9E2D51
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -160,43 +162,39 @@ def parsed(html: str | None) -> Node:
     return root
 
 
-class Skeleton:
-    """A container of a template: its key, the hash of its text if that is constant, and its containers."""
+def marks(tree: Node) -> list[tuple[Node, int, int]]:
+    """(container, path, text) of every container that has text: a hash of the keys from the root down, one of path and blocks.
 
-    __slots__ = ("key", "const", "kids", "size")
-
-    def __init__(self, key: str, const: int | None, kids: list[Skeleton]):
-        self.key, self.const, self.kids, self.size = key, const, kids, 1 + sum(k.size for k in kids)
-
-    @classmethod
-    def of(cls, node: Node) -> Skeleton:
-        return cls(node.key, text_hash(node), [cls.of(k) for k in node.nodes()])
-
-    def dump(self) -> list:
-        return [self.key, self.const, [k.dump() for k in self.kids]]
-
-    @classmethod
-    def load(cls, x: list) -> Skeleton:
-        return cls(x[0], x[1], [cls.load(k) for k in x[2]])
-
-
-def text_hash(node: Node) -> int | None:
-    text = node.text()
-    return xxhash.xxh3_64_intdigest(text) if text else None
-
-
-def kids_of(x):
-    return x.nodes() if type(x) is Node else x.kids
+    Where keys hold numbers (post-123) the container also stands at a path without them. A polynomial over the blocks' hashes
+    puts the hash of a container's text together from those of its kids, so the time is linear in the page.
+    """
+    order, paths = [tree], [(0, 0)]
+    for at, node in enumerate(order):  # grows: parents before kids
+        for k in node.nodes():
+            order.append(k)
+            paths.append((xxhash.xxh3_64_intdigest(k.key, paths[at][0]), xxhash.xxh3_64_intdigest(NUMBER.sub("0", k.key), paths[at][1])))
+    sums: dict[int, tuple[int, int]] = {}
+    out = []
+    for node, path in zip(reversed(order), reversed(paths), strict=True):
+        value, n = 0, 0
+        for k in node.kids:
+            v, m = (xxhash.xxh3_64_intdigest(k) % PRIME, 1) if type(k) is str else sums[id(k)]
+            value, n = (value * pow(BASE, m, PRIME) + v) % PRIME, n + m
+        sums[id(node)] = value, n
+        if n:
+            text = f"{n} {value}"
+            out += [(node, p >> 1, xxhash.xxh3_64_intdigest(text, p) >> 1) for p in dict.fromkeys(path)]
+    return out[::-1]
 
 
-def matching(a, b, memo: dict | None = None) -> int:
-    """Simple tree matching: nodes of the largest order-keeping match of two trees with equal roots."""
+def matching(a: Node, b: Node, memo: dict | None = None) -> int:
+    """Simple tree matching: nodes of the largest order-keeping match of two trees with equal roots. Tests hold paths against it."""
     memo = {} if memo is None else memo
     if a.key != b.key:
         return 0
     if (id(a), id(b)) in memo:
         return memo[id(a), id(b)][0]
-    x, y = kids_of(a), kids_of(b)
+    x, y = a.nodes(), b.nodes()
     m = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i, p in enumerate(x, 1):
         row, above = m[i], m[i - 1]
@@ -206,7 +204,7 @@ def matching(a, b, memo: dict | None = None) -> int:
     return m[-1][-1] + 1
 
 
-def pairs(a, b) -> list[tuple]:
+def pairs(a: Node, b: Node) -> list[tuple]:
     """Matched (a's node, b's node) pairs of the largest match. Equal shapes are matched as they stand."""
     memo: dict = {}
     out = []
@@ -214,7 +212,7 @@ def pairs(a, b) -> list[tuple]:
     while todo:
         p, q = todo.pop()
         out.append((p, q))
-        x, y = kids_of(p), kids_of(q)
+        x, y = p.nodes(), q.nodes()
         if [k.key for k in x] == [k.key for k in y] and len({k.key for k in x}) == len(x):
             todo += zip(x, y, strict=True)
             continue
@@ -231,41 +229,19 @@ def pairs(a, b) -> list[tuple]:
     return out
 
 
-def induced(trees: list[Node]) -> Skeleton | None:
-    """The template of a host's reference pages; None for fewer than two distinct pages, which show nothing constant."""
-    seen = {text_hash(t): t for t in trees}
-    if len(seen) < 2:
-        return None
-    first, *rest = sorted(seen.values(), key=lambda t: (-Skeleton.of(t).size, text_hash(t) or 0))
-    out = Skeleton.of(first)
-    votes: dict[int, int] = {}
-    for t in rest:
-        for p, q in pairs(out, t):
-            votes[id(p)] = votes.get(id(p), 0) + (p.const is not None and p.const == text_hash(q))
-    todo = [out]
-    while todo:
-        p = todo.pop()
-        if votes.get(id(p), 0) < len(rest):
-            p.const = None
-        todo += p.kids
-    return out
-
-
 def not_main(node: Node, inside: bool) -> bool:
     if node.tag in NOT_MAIN_TAGS or node.words & NOT_MAIN_WORDS:
         return True
     return not inside and (node.tag == "header" or bool(node.words & {"header"}))
 
 
-def main_text(tree: Node, template: Skeleton | None) -> str:
+def main_text(tree: Node, template: frozenset[int] | None) -> str:
     """Blocks of the page's articles, or of its main part, or of its slots, in page order; what is template is left out of all three.
 
     Where articles and main part hold nothing but template, the slots elsewhere are the text; where there are none either, tags
     are the only evidence left, and the articles or main part are read as they stand.
     """
-    fixed = set()
-    if template is not None:
-        fixed = {id(q) for p, q in pairs(template, tree) if p.const is not None and p.const == text_hash(q)}
+    fixed = {id(node) for node, _, text in marks(tree) if text in template} if template else set()
 
     def blocks(node: Node, inside: bool, fixed: set[int], out: list[str]) -> list[str]:
         for k in node.kids:
@@ -301,48 +277,59 @@ def main_text(tree: Node, template: Skeleton | None) -> str:
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
 
 
-def templates(pages: DataFrame, references: int = REFERENCES) -> DataFrame:
-    """host, template (JSON), of hosts with two reference pages or more; (host, page_id, html) in."""
-    dealt = pages.where("html is not null").withColumn("u", F.xxhash64("page_id", "host"))
-    drawn = dealt.groupBy("host", F.pmod("u", F.lit(references)).alias("part")).agg(F.min(F.struct("u", "page_id", "html")).alias("one"))
+def templates(pages: DataFrame, path: str) -> DataFrame:
+    """host, template (texts of marks()), of hosts that have one; (host, html) in. Every distinct page of a host counts once.
 
-    def induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in common.grouped_stream(batches, ["host"]):
-            found = induced([parsed(h) for h in t.column("html").to_pylist()])
-            if found is not None:
-                yield pa.RecordBatch.from_arrays([t.column("host").combine_chunks().slice(0, 1), pa.array([json.dumps(found.dump())])], ["host", "template"])
+    All counts are keyed by more than the host, so that no task gets a large host; only its template is gathered.
+    """
 
-    rows = drawn.select("host", F.col("one.page_id").alias("page_id"), F.col("one.html").alias("html"))
-    return rows.repartition(common.shuffle_partitions(pages.sparkSession), "host").sortWithinPartitions("host", "page_id").mapInArrow(induce, "host string, template string")
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                hosts, ids, ends, paths, texts = [], [], [0], [], []
+                for host, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    if found := marks(parsed(html)):
+                        each = {(p, t) for _, p, t in found}
+                        paths += [p for p, _ in each]
+                        texts += [t for _, t in each]
+                        hosts.append(host)
+                        ids.append(found[0][2])
+                        ends.append(len(paths))
+                each = pa.StructArray.from_arrays([pa.array(paths, pa.int64()), pa.array(texts, pa.int64())], ["path", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)], ["host", "page", "marks"])
+
+    marked = pages.where("html is not null").select("host", "html").mapInArrow(mark, "host string, page long, marks array<struct<path: long, text: long>>")
+    distinct = common.stored(marked.dropDuplicates(["host", "page"]), path)
+    texts = distinct.select("host", F.explode("marks").alias("m")).groupBy("host", "m.path", "m.text").agg(F.count("*").alias("n")).where("n > 1")
+    held = distinct.select("host", F.explode(F.array_distinct("marks.path")).alias("path")).groupBy("host", "path").agg(F.count("*").alias("pages"))
+    most = texts.join(held, ["host", "path"]).where((F.col("n") > SHARE * F.col("pages")) & (F.col("n") >= F.least("pages", F.lit(LEAST))))
+    return most.groupBy("host").agg(F.collect_set("text").alias("template"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars, a row per input row.
 
     Null and empty html gives an empty text, and so does a page without main text. Pages without a host in their url have no
-    template and are read by their tags alone, as are hosts with one distinct reference page. html is read whole. Repeated
-    rows give repeated rows; other columns are ignored.
+    template and are read by their tags alone, as are hosts with one distinct page. html is read whole. Repeated rows give
+    repeated rows; other columns are ignored.
     """
     spark = pages.sparkSession
     common.ship(spark)
     given = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     given = given.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1)))
-    found = common.stored(templates(given.where("host <> ''").select("host", "page_id", "html")), f"{common.shared_dir(spark)}/templates")
-    size = found.agg(F.sum(F.length("template") + F.length("host")).alias("n")).first()["n"] or 0
+    shared = common.shared_dir(spark)
+    found = common.stored(templates(given.where("host <> ''"), f"{shared}/marks"), f"{shared}/templates")
+    common.dropped(spark, f"{shared}/marks")
+    size = found.agg(F.sum(F.size("template") * 8 + F.length("host")).alias("n")).first()["n"] or 0
     joined = given.join(F.broadcast(found) if size <= BROADCAST else found.hint("merge"), "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded: dict[str, Skeleton] = {}
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                texts = []
-                for html, template in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    if template is not None and template not in loaded:
-                        if len(loaded) > 1000:
-                            loaded.clear()
-                        loaded[template] = Skeleton.load(json.loads(template))
-                    texts.append(main_text(parsed(html), loaded.get(template)) if html else "")
+                rows = zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)
+                texts = [main_text(parsed(html), frozenset(template or ())) if html else "" for html, template in rows]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return joined.select("page_id", "url", "html", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -510,6 +510,37 @@ def test_html_template_decides_inside_articles(spark):
     assert all(got[k] == f"Story v{k}" for k in range(100, 112)) and got[200] == "Our offer\nRead us daily"
 
 
+def test_html_templates_count_all_pages_of_a_host(spark):
+    """Every two-page host has a template; boilerplate of most pages is template, what a few pages share isn't; rows that repeat count once."""
+    body = "<body{1}>{2}<div class=x><p>Story {0}</div>"
+    same, other = "<div id=intro><p>Welcome to us</div>", "<div id=desk><p>From our desk</div>"
+    rows = [(k, f"http://two{k // 2}.example/", body.format(k, "", same)) for k in range(60)]
+    rows += [(k, "http://big.example/", body.format(k, "", same if k % 4 else "")) for k in range(100, 160)]
+    rows += [(k, "http://big.example/", body.format(k, " class=second", other)) for k in range(160, 170)]
+    rows += [(k, "http://big.example/", body.format("shared", f" id=n{k}", "")) for k in range(170, 173)]
+    rows += [(k, "http://again.example/", body.format("again", "", same)) for k in range(180, 185)]
+    rows += [(k, "http://posts.example/", f"<article id=post-{k} class='post post-{k}'><p>Story {k}<div class=by><p>Our staff</div></article>") for k in range(190, 200)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k: t for k, t in got.items() if k < 170 or k >= 190} == {k: f"Story {k}" for k, *_ in rows if k < 170 or k >= 190}
+    assert all(got[k] == "Story shared" for k in range(170, 173)) and all(got[k] == "Welcome to us\nStory again" for k in range(180, 185))
+
+
+def test_html_paths_find_what_tree_matching_finds():
+    rng = random.Random(5)
+
+    def tree(depth):
+        inner = "".join(tree(depth - 1) if depth and rng.random() < 0.6 else f"<p>{rng.choice('abc')}" for _ in range(rng.randrange(1, 4)))
+        return f"<{(t := rng.choice(['div', 'section', 'div class=k']))}>{inner}</{t.split()[0]}>"
+
+    for _ in range(200):
+        a, b = html_extract.parsed(tree(3)), html_extract.parsed(tree(3))
+        here, there = html_extract.marks(a), html_extract.marks(b)
+        both = {t for *_, t in here} & {t for *_, t in there}
+        for p, q in html_extract.pairs(a, b):
+            if p.text() == q.text() and p.text().strip():
+                assert {t for n, _, t in here if n is p} <= both
+
+
 def _joined(df, module):
     held, module.BROADCAST = module.BROADCAST, -1
     try:
