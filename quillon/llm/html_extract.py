@@ -23,8 +23,6 @@ from quillon.llm import common
 #: A text is template if it stands in more than SHARE of the distinct pages with its path, and in LEAST of them (in all, if
 #: fewer have the path; never in one alone). Up to BROADCAST bytes, all hosts' templates are broadcast.
 SHARE, LEAST, BROADCAST = 0.5, 3, 32_000_000
-#: Containers nested deeper than this are read as part of the one around them.
-DEPTH = 100
 
 # HTML's element groups, and words of class, id and role that name what isn't main text.
 RAW = "script|style|template|textarea|title|iframe|noscript|noembed|noframes|svg|math|select|object|audio|video|canvas"
@@ -61,7 +59,13 @@ class Node:
         return [k for k in self.kids if type(k) is Node]
 
     def text(self) -> str:
-        return "\n".join(k if type(k) is str else k.text() for k in self.kids)
+        out, todo = [], [self]
+        while todo:
+            if type(k := todo.pop()) is str:
+                out.append(k)
+            else:
+                todo += reversed(k.kids)
+        return "\n".join(out)
 
 
 _keys: dict[tuple[str, str], tuple[str, frozenset, bool]] = {}
@@ -93,6 +97,7 @@ def parsed(html: str | None) -> Node:
     """The tree of a page; never fails, whatever the markup. Character references are decoded and white space is collapsed."""
     root = Node("root", "root", frozenset())
     stack, parts, linked, quiet = [root], [], 0, 0
+    opened: dict[str, int] = {}  # containers in the stack by tag
     in_link = False
     data, at = html or "", 0
 
@@ -125,9 +130,10 @@ def parsed(html: str | None) -> Node:
                     quiet -= 1
             elif tag in CONTAINERS:
                 flush()
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        del stack[k:]
+                while opened.get(tag):
+                    shut = stack.pop().tag
+                    opened[shut] -= 1
+                    if shut == tag:
                         break
             elif tag in BLOCKS:
                 flush()
@@ -144,10 +150,10 @@ def parsed(html: str | None) -> Node:
             if hidden:
                 quiet = 1
                 continue
-            if len(stack) < DEPTH:
-                node = Node(tag, key, words)
-                stack[-1].kids.append(node)
-                stack.append(node)
+            node = Node(tag, key, words)
+            stack[-1].kids.append(node)
+            stack.append(node)
+            opened[tag] = opened.get(tag, 0) + 1
         elif tag in BLOCKS:
             flush()
         elif tag == "br":
@@ -243,19 +249,31 @@ def main_text(tree: Node, template: frozenset[int] | None) -> str:
     """
     fixed = {id(node) for node, _, text in marks(tree) if text in template} if template else set()
 
-    def blocks(node: Node, inside: bool, fixed: set[int], out: list[str]) -> list[str]:
-        for k in node.kids:
+    lengths: dict[int, tuple[int, int]] = {}
+
+    def sizes(node: Node) -> tuple[int, int]:
+        """(characters, characters of link text) of a container; those of all containers are summed up once, kids first."""
+        if not lengths:
+            order = [tree]
+            for n in order:
+                order += n.nodes()
+            for n in reversed(order):
+                own = [(len(k) + 1, 0) if type(k) is str else lengths[id(k)] for k in n.kids]
+                lengths[id(n)] = sum(c for c, _ in own), n.links + sum(c for _, c in own)
+        return lengths[id(node)]
+
+    def blocks(root: Node, inside: bool, fixed: set[int]) -> list[str]:
+        out, todo = [], list(reversed(root.kids))
+        while todo:
+            k = todo.pop()
             if type(k) is str:
                 out.append(k)
             elif not not_main(k, inside) and id(k) not in fixed:
-                if not inside and k.tag in ("ul", "ol", "table", "div") and (n := len(k.text())) and linked(k) > 0.6 * n:
+                if not inside and k.tag in ("ul", "ol", "table", "div") and (n := sizes(k))[0] and n[1] > 0.6 * (n[0] - 1):
                     continue  # a list of links
-                blocks(k, inside, fixed, out)
+                todo += reversed(k.kids)
         return out
 
-    def linked(node: Node) -> int:
-        return node.links + sum(linked(k) for k in node.nodes())
-
     def named(fixed: set[int]) -> list[str]:
         for tags, roles in ((("article",), ()), (("main",), ("role=main",))):
             roots, todo = [], [tree]
@@ -267,11 +285,11 @@ def main_text(tree: Node, template: frozenset[int] | None) -> str:
                     roots.append(node)
                 else:
                     todo += reversed(node.nodes())
-            if out := [b for r in roots for b in blocks(r, True, fixed, [])]:
+            if out := [b for r in roots for b in blocks(r, True, fixed)]:
                 return out
         return []
 
-    return "\n".join(named(fixed) or blocks(tree, False, fixed, []) or named(set()))
+    return "\n".join(named(fixed) or blocks(tree, False, fixed) or named(set()))
 
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"

@@ -567,6 +567,17 @@ def test_markup_of_any_kind_is_read():
         html_extract.main_text(html_extract.parsed(t), None)
 
 
+def test_deep_pages_keep_their_tail():
+    """No depth of containers moves a block out of its article, or a menu's or a hidden one's text into it, and none takes long."""
+    for n in (10, 90, 150, 3000, 50_000):
+        page = "<div><article><p>head" + "<div>" * n + "<p>deep<nav>menu</nav>" + "</div>" * n + "<p>tail</article></div><p>outside"
+        tree = html_extract.parsed(page)
+        assert html_extract.main_text(tree, None) == "head\ndeep\ntail", n
+        assert html_extract.marks(tree) and tree.text() == "head\ndeep\nmenu\ntail\noutside"
+        bare = "<section>" * n + "<ul><li><a href=x>link</a></ul><p>plain text" + "</table></section>" * n + "<p>end"
+        assert html_extract.main_text(html_extract.parsed(bare), None) == "plain text\nend"
+
+
 # -- 10 ---------------------------------------------------------------------------------------------------------------------
 def test_language_id(spark, sf, empty):
     docs = common.table(spark, "/root/testdata/sf0.01", "documents")
