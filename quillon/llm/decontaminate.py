@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from quillon.llm import common
 
-#: Q-gram length, characters of a window, and characters of a window for each edit.
-Q, WINDOW, RATE = 12, 120, 20
+#: Q-gram length, that of windows whose bound isn't positive with it, characters of a window, and characters of a window for each edit.
+Q, SHORT_Q, WINDOW, RATE = 12, 8, 120, 20
 #: Bytes of benchmark text whose index goes to tasks at once; a larger benchmark is run in several such blocks.
 BLOCK_BYTES = 8_000_000
 FILTER_BITS = 22
@@ -31,14 +31,14 @@ def normalised(text: str | None) -> bytes:
     return " ".join((text or "").lower().split()).encode("utf-8", "replace")
 
 
-def grams(data: bytes) -> np.ndarray:
+def grams(data: bytes, q: int = Q) -> np.ndarray:
     """A 64-bit hash of the q-gram at each byte."""
-    n = len(data) - Q + 1
+    n = len(data) - q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     at = lambda k: np.ndarray((n,), "<u8", data, k, (1,))  # noqa: E731  eight bytes from k on, at each byte
     h = at(0) * A
-    h = (h ^ (h >> np.uint64(32)) ^ at(Q - 8)) * A
+    h = (h ^ (h >> np.uint64(32)) ^ at(q - 8)) * A
     return h ^ (h >> np.uint64(29))
 
 
@@ -89,18 +89,23 @@ class Index:
                 continue
             for at in sorted({*range(0, max(1, len(data) - WINDOW + 1), WINDOW // 2), max(0, len(data) - WINDOW)}):
                 self.windows.append((item, data[at : at + WINDOW]))
-        hashes = [grams(w) for _, w in self.windows]
-        sizes = [len(h) for h in hashes]
-        all_ = np.concatenate([*hashes, np.zeros(0, np.uint64)])
-        window = np.repeat(np.arange(len(hashes)), sizes)
-        place = np.concatenate([*(np.arange(n) for n in sizes), np.zeros(0, np.int64)])
-        order = np.argsort(all_, kind="stable")
-        self.hash, self.window, self.place = all_[order], window[order], place[order]
         self.size = np.array([len(w) for _, w in self.windows], np.int64)
         self.most = self.size // RATE
-        self.bound = np.maximum(1, self.size - Q + 1 - Q * self.most)
-        self.filter = np.zeros(1 << FILTER_BITS, bool)
-        self.filter[self._bit(self.hash)] = True
+        q = np.where(self.size - Q + 1 - Q * self.most > 0, Q, SHORT_Q)
+        self.bound = self.size - q + 1 - q * self.most
+        self.tables = [(n, *self._table(n, np.flatnonzero(q == n))) for n in (Q, SHORT_Q) if (q == n).any()]
+
+    def _table(self, q: int, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the windows' q-grams in order, the window and the place in it of each, and a filter of the hashes."""
+        hashes = [grams(self.windows[k][1], q) for k in windows]
+        sizes = [len(h) for h in hashes]
+        hash_ = np.concatenate(hashes)
+        window = np.repeat(windows.astype(np.int32), sizes)
+        place = np.concatenate([np.arange(n, dtype=np.int16) for n in sizes])
+        order = np.argsort(hash_, kind="stable")
+        held = np.zeros(1 << FILTER_BITS, bool)
+        held[self._bit(hash_)] = True
+        return hash_[order], window[order], place[order], held
 
     def _bit(self, h: np.ndarray) -> np.ndarray:
         return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
@@ -117,15 +122,17 @@ class Index:
             at = (b" " + data + b" ").find(b" " + t + b" ")
             if at >= 0:
                 add(item, 0, at, at + len(t))
-        h = grams(data)
-        at = np.flatnonzero(self.filter[self._bit(h)])
-        if len(at):
-            lo, hi = np.searchsorted(self.hash, h[at], "left"), np.searchsorted(self.hash, h[at], "right")
+        for q, hash_, window, place, held in self.tables:
+            h = grams(data, q)
+            at = np.flatnonzero(held[self._bit(h)])
+            if not len(at):
+                continue
+            lo, hi = np.searchsorted(hash_, h[at], "left"), np.searchsorted(hash_, h[at], "right")
             n = hi - lo
             if n.any():
                 at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
                 k = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-                self._bands(data, np.repeat(at, n), self.window[k], self.place[k], add)
+                self._bands(data, np.repeat(at, n), window[k].astype(np.int64), place[k].astype(np.int64), add)
         return out
 
     def _bands(self, data, at, window, place, add) -> None:

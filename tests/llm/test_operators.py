@@ -479,6 +479,23 @@ def test_automaton_matching_statistics():
                 assert templates[k][end - n : end] == x[e - n : e]
 
 
+# -- 2, parts and short items -----------------------------------------------------------------------------------------------
+def test_parts_and_short_items_are_found_at_any_alignment():
+    """Every part of 179 bytes of an item is found, and so are items of 20 to 23 bytes with an edit anywhere."""
+    rng = random.Random(8)
+    item = " ".join("".join(rng.choice("abcdefghijklm") for _ in range(rng.randrange(3, 9))) for _ in range(60))
+    index = decontaminate.Index([(1, item)])
+    assert all(1 in index.found(f"zz yy {item[at : at + 179]} xx ww".encode()) for at in range(len(item) - 179))
+    assert not index.found(" ".join(sorted(item.split())).encode())
+    for n in range(20, 24):
+        short = item[: n - 1].replace(" ", "q") + "q"
+        own = decontaminate.Index([(2, short)])
+        for at in range(n):
+            for other in (short[:at] + "Z" + short[at + 1 :], short[:at] + short[at + 1 :], short[:at] + "Z" + short[at:]):
+                assert 2 in own.found(f"some text {other} some more".encode()), (n, at)
+        assert not own.found(f"some text {short[:5]}Z{short[6:12]}Z{short[13:]} some more".encode())
+
+
 # -- 1 ----------------------------------------------------------------------------------------------------------------------
 PAGE = '<html><head><title>t {0}</title><script>var a = "</p>{0}";</script></head><body><div class="cookie-notice">We use cookies</div><header>Site <a href=/>home</a></header><nav><a href="/{0}">{0}</a></nav><div id=c1><p>Welcome to our site</p></div><div id=c2><h2>Head {0}</h2><p>Story {0} one &amp; two&nbsp;x<p>more {0}<br>text &lt;b&gt;</p><ul><li>item {0}</ul></div><div class="comments"><p>nice {0}</p></div><aside>side {0}</aside><form>mail {0}<input></form><!-- {0} --><footer>All rights {0}</footer></body></html>'
 
