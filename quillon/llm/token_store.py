@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from quillon.llm import common
 
-#: Ids of the rolling hash's window, and one cut in about MEAN ids, with chunks of LEAST to MOST ids.
-WINDOW, MEAN, LEAST, MOST = 4, 1024, 128, 8192
+#: Ids of the rolling hash's window, and one cut in about MEAN ids, with chunks of LEAST to MOST ids: well under the usual document, so that
+#: passages that documents share are stored once too.
+WINDOW, MEAN, LEAST, MOST = 4, 128, 32, 1024
 #: Digests a task remembers so as to send a chunk once; more are sent again, and dropped by the store.
 REMEMBERED = 1 << 20
 MIXED = "kind int, slot long, doc_id long, n long, digests array<binary>, root binary, digest binary, payload binary"

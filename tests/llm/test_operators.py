@@ -277,6 +277,19 @@ def test_cuts_are_by_content():
     assert one[-1] == len(ids) and len(set(one) & {c - 37 for c in two}) > len(one) // 2
 
 
+def test_chunks_of_shared_passages_are_stored_once():
+    """Documents of a usual length that share two thirds of their ids, at any place, share most of those chunks."""
+    rng = np.random.default_rng(4)
+    passage, total, chunks = rng.integers(0, 50_000, 400).astype("<u4"), 0, {}
+    for _ in range(60):
+        own, at = rng.integers(0, 50_000, 200).astype("<u4"), int(rng.integers(0, 200))
+        ids, lo = np.concatenate([own[:at], passage, own[at:]]), 0
+        for hi in token_store.cuts(ids):
+            chunks[ids[lo:hi].tobytes()], lo = hi - lo, hi
+        total += len(ids)
+    assert sum(chunks.values()) < 0.75 * total
+
+
 def test_piece_codec(spark, docs, texts, empty):
     import sentencepiece
 
