@@ -191,8 +191,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return common.per_document(picked, make, "doc_id long, held_out boolean, lang_pred string, score double", ["doc_id", "held_out", "text"])
 
 
-def accepted(docs: DataFrame, model: Model, least_score: float = 0.3) -> DataFrame:
-    """docs' rows, all columns, whose text has a language: a letter, and a calibrated score of least_score or more."""
+def accepted(docs: DataFrame, model: Model, least_score: float = 0.0) -> DataFrame:
+    """docs' rows, all columns, whose text has a language, that is, isn't `und`, and a calibrated score of least_score or more."""
     spark = docs.sparkSession
     common.ship(spark)
     shared = spark.sparkContext.broadcast((model.langs, model.weights, model.bias, model.temperature))

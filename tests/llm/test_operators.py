@@ -627,6 +627,13 @@ def test_language_id(spark, sf, empty):
     assert language_id.predict(odd, none).where("lang_pred <> 'und'").count() == 0
 
 
+def test_unsure_languages_are_accepted(spark):
+    """With many languages no score need reach 0.3; only null texts and texts without a letter go."""
+    model = language_id.Model([f"l{k}" for k in range(8)], np.zeros((language_id.DIM, 8)), np.zeros(8), 1.0)
+    df = spark.createDataFrame([(1, "a mixed text"), (2, None), (3, "12 !"), (4, "é")], "doc_id long, text string")
+    assert {r["doc_id"] for r in language_id.accepted(df, model).collect()} == {1, 4}
+
+
 def test_prediction_ignores_the_label(spark):
     docs = common.table(spark, "/root/testdata/sf0.001", "documents")
     model = language_id.train(docs)
