@@ -555,6 +555,32 @@ def test_html_templates_count_all_pages_of_a_host(spark):
     assert all(got[k] == "Story shared" for k in range(170, 173)) and all(got[k] == "Welcome to us\nStory again" for k in range(180, 185))
 
 
+def test_html_blocks_are_nodes(spark):
+    """Paragraphs and headings that most articles of a host share are template; articles that are near copies keep theirs."""
+    a = "<body class=has-sidebar><nav><a href=/>n{0}</a></nav><article class='post share-enabled'><h1>Head {0}</h1><p>Story {0} goes on and on<p>Read us daily<p>More {0} to be told<p>Share this</article><div><p>Our desk<p>Call {0}</div>"
+    near = "<article><h1>The same head</h1>" + "".join(f"<p>Paragraph {k} of a long story" for k in range(9)) + "<p>Edit {0}</article>"
+    copy = "<nav><a href=/{0}>link {0}</a></nav><article><p>One text<p>on many pages</article><footer>foot {0}</footer>"
+    rows = [(k, f"http://{h}.example/{k}", page.format(f"v{k}")) for at, (h, page) in enumerate((("a", a), ("near", near), ("copy", copy))) for k in range(100 * at, 100 * at + 12)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    off = {k: html_extract.main_text(html_extract.parsed(html), None) for k, _, html in rows}
+    assert all(got[k] == f"Head v{k}\nStory v{k} goes on and on\nMore v{k} to be told" != off[k] for k in range(12))
+    assert all(off[k] == f"Head v{k}\nStory v{k} goes on and on\nRead us daily\nMore v{k} to be told\nShare this" for k in range(12))
+    assert all(got[k] == off[k] and got[k].endswith(f"a long story\nEdit v{k}") for k in range(100, 112))
+    assert all(got[k] == "One text\non many pages" for k in range(200, 212))
+
+
+def test_class_words_never_empty_a_page():
+    story = "<h1>Head</h1><p>The story is told here at some length"
+    for page in (
+        '<body class="has-sidebar"><article>{}</article>', "<body class=sidebar><article>{}</article>", '<html class="no-comments"><body class="menu-open"><div>{}</div>',
+        '<article class="post share-enabled">{}</article>', "<article class='post comment widget'>{}</article>", '<div class="layout-sidebar-right"><article>{}</article></div><div>Site</div>',
+        '<form id="form"><main class="banner">{}</main></form>', "<div class=sidebar><div class=x>{}</div></div>", "<nav>menu</nav><div class='content subscribe'>{}</div>",
+    ):
+        assert html_extract.main_text(html_extract.parsed(page.format(story)), None) == "Head\nThe story is told here at some length", page
+    for page in ("<div>{}</div><section id=comments><article>nice</article></section>", "<div>{}</div><div class=sidebar><article>teaser</article></div>", "<div>{}</div><aside><article>teaser</article></aside>", "<article>{}<div class=ad>buy</div><div class=share>tell</div></article><article class=related>x</article>"):
+        assert html_extract.main_text(html_extract.parsed(page.format(story)), None) == "Head\nThe story is told here at some length", page
+
+
 def test_html_paths_find_what_tree_matching_finds():
     rng = random.Random(5)
 
@@ -565,10 +591,10 @@ def test_html_paths_find_what_tree_matching_finds():
     for _ in range(200):
         a, b = html_extract.parsed(tree(3)), html_extract.parsed(tree(3))
         here, there = html_extract.marks(a), html_extract.marks(b)
-        both = {t for *_, t in here} & {t for *_, t in there}
+        both = {x[2] for x in here} & {x[2] for x in there}
         for p, q in html_extract.pairs(a, b):
             if p.text() == q.text() and p.text().strip():
-                assert {t for n, _, t in here if n is p} <= both
+                assert {t for n, _, t, _ in here if n is p} <= both
 
 
 def _joined(df, module):
