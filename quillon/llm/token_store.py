@@ -15,6 +15,7 @@ import hashlib
 import re
 import zlib
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from quillon.llm import common
 
 #: Ids of the rolling hash's window, and one cut in about MEAN ids, with chunks of LEAST to MOST ids: well under the usual document, so that
 #: passages that documents share are stored once too.
-WINDOW, MEAN, LEAST, MOST = 4, 128, 32, 1024
+WINDOW, MEAN, LEAST, MOST = 4, 256, 64, 2048
 #: Digests a task remembers so as to send a chunk once; more are sent again, and dropped by the store.
 REMEMBERED = 1 << 20
 MIXED = "kind int, slot long, doc_id long, n long, digests array<binary>, root binary, digest binary, payload binary"
@@ -46,6 +47,12 @@ _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 17
 BYTES = {b: chr(256 + k) for k, b in enumerate(_HIDDEN)}
 
 
+def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... n[0] of them, then those of start[1], and so on."""
+    ends = np.cumsum(n, dtype=n.dtype)
+    return np.repeat(start - ends + n, n) + np.arange(ends[-1] if len(ends) else 0, dtype=n.dtype)
+
+
 class Encoder(dict):
     """Ids of texts, as the tokenizers library gives them with add_special_tokens=False.
 
@@ -55,7 +62,7 @@ class Encoder(dict):
     token, and tokenizers of another kind, go to the library whole.
     """
 
-    UNITS, CALL, SLICE = 800_000, 64, 16 << 20
+    UNITS, CALL, SLICE = 700_000, 64, 16 << 20
 
     def __init__(self, path: str):
         import json
@@ -65,6 +72,7 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.again = np.zeros(0, bool)
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -76,9 +84,19 @@ class Encoder(dict):
         self._forget()
 
     def _forget(self) -> None:
-        """Empty: ids of all units one after another, each unit's start and number of ids (-1: unsafe), units not learned yet."""
+        """Keeps the units that were met again since the last time, if they are few enough: ids of all units one after another, each
+        unit's start and number of ids (-1: unsafe), how many slices met it again, and units not learned yet."""
+        kept = np.flatnonzero(self.again) if len(self) else np.zeros(0, np.int64)
+        if len(kept) > self.UNITS // 2:
+            kept = kept[:0]
+        units = list(self)
+        start, n = (np.array(x, np.int64)[kept] for x in (self.at, self.n)) if len(kept) else (kept, kept)
+        flat, width = np.array(self.store, "<u4") if len(kept) else np.zeros(0, "<u4"), np.maximum(n, 0)
         self.clear()
-        self.store, self.at, self.n, self.new = array("I"), array("q"), array("q"), []
+        self.update((units[k], i) for i, k in enumerate(kept.tolist()))
+        self.store = array("I", flat[spread(start, width)].tobytes())
+        self.at, self.n, self.new = array("q", (np.cumsum(width) - width).tobytes()), array("q", n.tobytes()), []
+        self.again = np.zeros(len(kept), bool)
 
     def __missing__(self, unit: str) -> int:
         self.new.append(unit)
@@ -89,42 +107,36 @@ class Encoder(dict):
         """Ids of the new units. One that white space at an edge makes depend on its neighbours, or that holds a special token, is unsafe."""
         if not self.new:
             return
-        store, word, texts, places, stems = self.store, self.tokenizer.model.tokenize, [], [], []
-        got: dict[int, array] = {}
-        first = k = len(self.n)
-        while k < len(self):  # grows by the stems that it meets
-            u = self.new[k - first]
-            if u.isalpha():  # one word, which the library's model takes as it is, in its byte alphabet
-                got[k] = array("I", [t.id for t in word("\u0120" + (u if u.isascii() else u.encode().decode("latin-1").translate(BYTES)))])
+        store, at, n, word, texts, places = self.store, self.at, self.n, self.tokenizer.model.tokenize, [], []
+        signs = {c: self._library(c) for c in ".,"}
+        for u in self.new:
+            at.append(len(store))
+            if u.isalpha():
+                own, sign = u, None
+            elif u[-1:] in signs and u[:-1].isalpha():  # a word and one sign: tokens of their own
+                own, sign = u[:-1], signs[u[-1]]
             else:
                 core = u[1:] if u[:1] == "\n" else u
                 if core and not core[0].isspace() and not core[-1].isspace() and not self.unsafe.search(u):
-                    if core[-1] in ".," and core[-2:-1].isalpha():  # a word and one sign: tokens of their own
-                        stems.append((k, self[u[:-1]], u[-1]))
-                    else:
-                        texts.append(u if u[0] == "\n" else " " + u)
-                        places.append(k)
-            k += 1
-        for at in range(0, len(texts), self.CALL):
-            ids = np.array(self._library(self.mark["content"].join(texts[at : at + self.CALL])), "<u4")
-            ends, load = np.flatnonzero(ids == self.mark["id"]).tolist(), array("I", ids.tobytes())
-            for k, lo, hi in zip(places[at : at + self.CALL], [0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True):
-                got[k] = load[lo:hi]
-        if stems:
-            signs = {c: array("I", self._library(c)) for c in ".,"}
-            for k, stem, sign in stems:
-                own = got.get(stem)
-                if own is None and stem < first and self.n[stem] >= 0:
-                    own = store[self.at[stem] : self.at[stem] + self.n[stem]]
-                if own is not None:
-                    got[k] = own + signs[sign]
-        none = array("I")
-        for k in range(first, len(self)):
-            own = got.get(k)
-            self.at.append(len(store))
-            self.n.append(-1 if own is None else len(own))
-            store.extend(own or none)
+                    texts.append(u if u[0] == "\n" else " " + u)
+                    places.append(len(n))
+                n.append(-1)
+                continue
+            # one word, which the library's model takes as it is, in its byte alphabet
+            ids = [t.id for t in word("\u0120" + (own if own.isascii() else own.encode().decode("latin-1").translate(BYTES)))]
+            if sign:
+                ids += sign
+            store.fromlist(ids)
+            n.append(len(ids))
         self.new.clear()
+        for lo in range(0, len(texts), self.CALL):
+            ids = np.array(self._library(self.mark["content"].join(texts[lo : lo + self.CALL])), "<u4")
+            ends = np.append(np.flatnonzero(ids == self.mark["id"]), len(ids))
+            starts = np.append(0, ends[:-1] + 1)
+            base = len(store)
+            store.frombytes(ids.tobytes())
+            for k, x, y in zip(places[lo : lo + self.CALL], starts.tolist(), ends.tolist(), strict=True):
+                at[k], n[k] = base + x, y - x
 
     def _library(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -148,8 +160,10 @@ class Encoder(dict):
         coded = parts.flatten().dictionary_encode()
         idx, bounds = coded.indices.to_numpy(), np.asarray(parts.offsets, np.int64) - parts.offsets[0].as_py()
         places = np.fromiter(map(self.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        self.again[places[places < len(self.again)]] = True
         self._learn()
-        width, start, flat = np.array(self.n)[places], np.array(self.at)[places], np.array(self.store)
+        self.again = np.concatenate([self.again, np.zeros(len(self) - len(self.again), bool)])
+        width, start, flat = np.array(self.n, np.int32)[places], np.array(self.at, np.int32)[places], np.array(self.store)
         unsafe = (width < 0)[idx]
         width = np.maximum(width, 0)
         firsts = bounds[:-1]
@@ -160,11 +174,11 @@ class Encoder(dict):
         heads = parts.flatten().take(pa.array(firsts)).to_pylist()
         for lo in range(0, len(texts), 1000):
             own = slice(bounds[lo], bounds[min(lo + 1000, len(texts))])
-            n = width[idx[own]]
+            units = idx[own]
+            n = width[units]
             n[firsts[lo : lo + 1000] - bounds[lo]] = 0
-            ends = np.cumsum(n)
-            ids = flat[np.repeat(start[idx[own]] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
-            cut = np.concatenate([[0], ends])[bounds[lo : lo + 1001] - bounds[lo]]
+            ids = flat[spread(start[units], n)]
+            cut = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])[bounds[lo : lo + 1001] - bounds[lo]].tolist()
             for k in range(lo, min(lo + 1000, len(texts))):
                 head = heads[k]
                 if broken[k] or not head or head[-1].isspace():
@@ -183,24 +197,31 @@ def encoder_of(path: str) -> Encoder:
     return _encoders[path]
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Chunk ends: after LEAST ids, where a rolling hash of the last WINDOW ids says so, after MOST ids at the latest."""
-    n, out, at = len(ids), [], 0
-    if n > LEAST:
-        x = (ids.astype(np.uint64) + np.uint64(1)) * MULT
-        roll = np.zeros(n, np.uint64)
-        for k in range(WINDOW):
-            roll[k:] = roll[k:] + (x[: n - k] << np.uint64(7 * k))
-        roll = (roll ^ (roll >> np.uint64(29))) * MULT
-        marks = np.flatnonzero((roll >> np.uint64(40)) % np.uint64(MEAN) == 0) + 1
-        while n - at > LEAST:
-            k = np.searchsorted(marks, at + LEAST)
-            end = min(int(marks[k]) if k < len(marks) else n, at + MOST, n)
-            if end >= n:
-                break
-            out.append(end)
-            at = end
-    return [*out, n]
+def marked(ids: np.ndarray) -> list[int]:
+    """Where chunks may end: after an id at which a rolling hash of the last WINDOW ids says so."""
+    x = (ids.astype(np.uint64) + np.uint64(1)) * MULT
+    roll = x.copy()
+    for k in range(1, min(WINDOW, len(x))):
+        roll[k:] += x[: len(x) - k] << np.uint64(7 * k)
+    roll = (roll ^ (roll >> np.uint64(29))) * MULT
+    return (np.flatnonzero((roll >> np.uint64(40)) % np.uint64(MEAN) == 0) + 1).tolist()
+
+
+def cuts(ids: np.ndarray, marks: list[int] | None = None, at: int = 0, end: int | None = None) -> list[int]:
+    """Chunk ends of ids[at:end]: at the first mark after LEAST ids, after MOST ids at the latest. marks: of all of ids.
+
+    LEAST is more than WINDOW, so that no mark that counts depends on ids before `at`.
+    """
+    out, end = [], len(ids) if end is None else end
+    marks = marked(ids) if marks is None else marks
+    k = bisect_left(marks, at + LEAST)
+    while end - at > LEAST:
+        k = bisect_left(marks, at + LEAST, k)
+        at = min(marks[k] if k < len(marks) else end, at + MOST, end)
+        if at >= end:
+            break
+        out.append(at)
+    return [*out, end]
 
 
 def packed(ids: np.ndarray) -> bytes:
@@ -238,51 +259,107 @@ def gf_mul(a: int, b: int) -> int:
     return out
 
 
-class Joined(dict):
-    """crc32(a + b) from the parts' checksums; keeps x^(8n) for the lengths met."""
+def gf_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """gf_mul of each pair of two uint32 columns."""
+    out, a = np.zeros(len(a), np.uint32), a.astype(np.uint32)
+    for k in range(31, -1, -1):
+        out ^= a * (b >> np.uint32(k) & np.uint32(1))
+        a = (a >> np.uint32(1)) ^ (a & np.uint32(1)) * np.uint32(0xEDB88320)
+    return out
+
+
+class Joined:
+    """Checksums of what is put together from parts. x^(32 n) modulo the polynomial is for many n at once a product of two powers out
+    of tables of STEP, which grow as needed."""
+
+    STEP = 4096
 
-    def __missing__(self, n: int) -> int:
-        if len(self) > 100_000:
-            self.clear()
-        self[n] = out = crc_shift(0x80000000, n)
-        return out
+    def __init__(self):
+        self.low = self._powers(crc_shift(0x80000000, 4), self.STEP)
+        self.base, self.high = crc_shift(0x80000000, 4 * self.STEP), np.zeros(0, np.uint32)
+
+    @staticmethod
+    def _powers(base: int, n: int) -> np.ndarray:
+        out = np.array([0x80000000], np.uint32)
+        while len(out) < n:  # doubled: the powers so far times the next one
+            more = gf_mul(int(out[-1]), base)
+            out = np.concatenate([out, gf_products(out, np.full(len(out), more, np.uint32))])
+        return out[:n]
+
+    def _shift(self, n: np.ndarray) -> np.ndarray:
+        hi, lo = n // self.STEP, n % self.STEP
+        if len(hi) and hi.max() >= len(self.high):
+            self.high = self._powers(self.base, 2 * int(hi.max()) + 2)
+        return gf_products(self.low[lo], self.high[hi]) if len(hi) and hi.any() else self.low[lo]
 
     def __call__(self, a: int, b: int, n: int) -> int:
-        return gf_mul(a, self[n]) ^ b
+        """crc32 of two parts, from theirs and the second one's bytes."""
+        return crc_shift(a, n) ^ b
+
+    def many(self, crc: np.ndarray, n: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """crc32 of each group of parts, from the parts' checksums and numbers of 32-bit ids; first: where groups begin."""
+        total = np.cumsum(n)
+        ends = total[np.append(first[1:], len(n)) - 1]
+        after = np.repeat(ends, np.diff(np.append(first, len(n)))) - total
+        return np.bitwise_xor.reduceat(gf_products(crc.astype(np.uint32), self._shift(after)), first)
 
 
-def mixed(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), MIXED_ARROW, strict=True)], schema=MIXED_ARROW)
+_joined: list[Joined] = []
 
 
-_joined = Joined()
+def of_kind(kind: int, **columns: pa.Array) -> pa.RecordBatch:
+    n = len(columns["slot"])
+    every = {"kind": pa.array(np.full(n, kind, np.int32))} | columns
+    return pa.RecordBatch.from_arrays([every[f.name] if f.name in every else pa.nulls(n, f.type) for f in MIXED_ARROW], schema=MIXED_ARROW)
 
 
 def encoded(docs: DataFrame, vocabulary: str, end_id: int, slots: int) -> DataFrame:
+    """Rows of two kinds: documents' recipes (0), and chunks (1), each at least once for each task that met it."""
+
     def make():
         encoder, sent = encoder_of(vocabulary), set()
         end = np.array([end_id], "<u4")
 
-        def work(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            rows, weight = [], 0
-            for doc, ids in zip(b.column(0).to_pylist(), encoder.many(pc.fill_null(b.column(1), "")), strict=True):
-                ids = np.concatenate([ids, end])
-                marks, names = cuts(ids), []
-                for lo, hi in zip([0, *marks[:-1]], marks, strict=True):
-                    load = packed(ids[lo:hi])
+        def cut(docs: list, ids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            flat = np.concatenate([x for own in ids for x in (own, end)])
+            ends = np.cumsum([len(own) + 1 for own in ids]).tolist()
+            marks, narrow = marked(flat), flat.max() < 65536
+            raw = flat.astype("<u2").tobytes() if narrow else b""
+            names, firsts, roots, fresh, loads, sizes = [], [0], [], [], [], []
+            at = 0
+            for stop in ends:
+                first = len(names)
+                for hi in cuts(flat, marks, at, stop):
+                    load = b"\x02" + raw[2 * at : 2 * hi] if narrow else packed(flat[at:hi])
                     name = hashlib.sha256(load).digest()
                     names.append(name)
                     if name not in sent:
                         if len(sent) < REMEMBERED:
                             sent.add(name)
-                        rows.append((1, int.from_bytes(name[:4], "little") % slots, None, hi - lo, None, None, name, load))
-                        weight += len(load)
-                rows.append((0, zlib.crc32(str(doc).encode()) % slots, doc, len(ids), names, merkle(names), None, None))
-                if weight > 4 << 20:
-                    yield mixed(rows)
-                    rows, weight = [], 0
-            if rows:
-                yield mixed(rows)
+                        fresh.append(name)
+                        loads.append(load)
+                        sizes.append(hi - at)
+                    at = hi
+                firsts.append(len(names))
+                roots.append(merkle(names[first:]))
+            where = [zlib.crc32(str(doc).encode()) % slots for doc in docs]
+            recipe = pa.ListArray.from_arrays(pa.array(firsts, pa.int32()), pa.array(names, pa.binary()))
+            yield of_kind(0, slot=pa.array(where, pa.int64()), doc_id=pa.array(docs, pa.int64()), n=pa.array(np.diff([0, *ends])), digests=recipe, root=pa.array(roots, pa.binary()))
+            if fresh:
+                slot = np.frombuffer(b"".join(fresh), "<u4")[::8].astype(np.int64) % slots
+                yield of_kind(1, slot=pa.array(slot), n=pa.array(sizes, pa.int64()), digest=pa.array(fresh, pa.binary()), payload=pa.array(loads, pa.binary()))
+
+        def work(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            docs, ids, weight = [], [], 0
+            for doc, own in zip(b.column(0).to_pylist(), encoder.many(pc.fill_null(b.column(1), "")), strict=True):
+                docs.append(doc)
+                ids.append(own)
+                weight += len(own)
+                if weight > 1 << 20:
+                    yield from cut(docs, ids)
+                    docs, ids, weight = [], [], 0
+            if docs:
+                yield from cut(docs, ids)
 
         return work
 
@@ -290,19 +367,20 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int, slots: int) -> DataFr
 
 
 def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by digest, recipes first: the first of each digest, once equal digests' payloads have been compared."""
-    name = load = None
+    """Rows sorted by digest, recipes, which have none, first: the first of each digest, once equal digests' payloads have been compared."""
+    last = None
     for b in batches:
-        keep = []
-        for i, (kind, digest, payload) in enumerate(zip(b.column(0).to_pylist(), b.column(6).to_pylist(), b.column(7).to_pylist(), strict=True)):
-            if kind == 0:
-                keep.append(i)
-            elif digest != name:
-                name, load = digest, payload
-                keep.append(i)
-            elif payload != load:
-                raise ValueError("two chunks have the same SHA-256 digest")
-        yield b.take(pa.array(keep, pa.int32()))
+        if not b.num_rows:
+            continue
+        rows = pa.Table.from_batches([b if last is None else last, b] if last is not None else [b]).combine_chunks()
+        digest, load = rows["digest"].combine_chunks(), rows["payload"].combine_chunks()
+        n = rows.num_rows
+        again = pc.fill_null(pc.equal(digest.slice(1), digest.slice(0, n - 1)), False)
+        if pc.any(pc.and_(again, pc.invert(pc.fill_null(pc.equal(load.slice(1), load.slice(0, n - 1)), False)))).as_py():
+            raise ValueError("two chunks have the same SHA-256 digest")
+        new = pa.concat_arrays([pa.array([last is None]), pc.invert(again)])
+        last = b.slice(b.num_rows - 1, 1)
+        yield from rows.filter(new).to_batches()
 
 
 def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +402,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
     common.ship(spark)
     slots = common.shuffle_partitions(spark)
     rows = encoded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), vocabulary or default_vocabulary(), end_id, 1 << 30)
-    rows = rows.repartition(slots, "slot").sortWithinPartitions("kind", "digest").mapInArrow(once, MIXED)
+    rows = rows.repartition(slots, "slot").sortWithinPartitions("digest").mapInArrow(once, MIXED)
     rows.select("kind", "doc_id", "n", "digests", "root", "digest", "payload").write.partitionBy("kind").option("parquet.enable.dictionary", "false").parquet(f"{path}/staged")
     staged = spark.read.schema("doc_id long, n long, digests array<binary>, root binary").parquet(f"{path}/staged/kind=0") if _there(spark, f"{path}/staged/kind=0") else spark.createDataFrame([], "doc_id long, n long, digests array<binary>, root binary")
     ordered = staged.withColumnRenamed("n", "n_tokens").repartitionByRange(slots, "doc_id", "root").sortWithinPartitions("doc_id", "root")
@@ -348,34 +426,45 @@ def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["digest", "c_n", "c_crc"])
 
 
+REBUILT = "part int, local_start long, doc_id long, n_tokens long, ids_crc32 long"
+
+
 def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document, chunks in order: joined checksum and length, with length and Merkle root held against the recipe."""
-    join, out = _joined, []
-    doc = None
-
-    def close():
-        key, root, n_tokens, n, crc, names = doc
-        if n != n_tokens or merkle(names) != root:
-            raise ValueError(f"document {key[2]} can't be rebuilt from the store")
-        out.append((*key, n_tokens, crc))
+    held: list[pa.RecordBatch] = []  # of the last document, which the next batch may go on with
+
+    def closed(t: pa.Table) -> pa.RecordBatch:
+        part, start, doc_id, n_tokens, n, crc = (np.asarray(t[c].combine_chunks().fill_null(-1)) for c in ("part", "local_start", "doc_id", "n_tokens", "c_n", "c_crc"))
+        if (n < 0).any():
+            raise ValueError(f"a chunk of document {doc_id[n < 0][0]} is missing from the store")
+        first = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (start[1:] != start[:-1])))
+        size, names, roots = np.add.reduceat(n, first), t["digest"].to_pylist(), t["root"].take(pa.array(first)).to_pylist()
+        for k, (lo, hi) in enumerate(zip(first.tolist(), [*first[1:].tolist(), len(n)], strict=True)):
+            if size[k] != n_tokens[lo] or merkle(names[lo:hi]) != roots[k]:
+                raise ValueError(f"document {doc_id[lo]} can't be rebuilt from the store")
+        if not _joined:
+            _joined.append(Joined())
+        crcs = _joined[0].many(crc, n, first).astype(np.int64)
+        of = t.take(pa.array(first)).combine_chunks()
+        cols = [of[c].combine_chunks() for c in ("part", "local_start", "doc_id", "n_tokens")]
+        return pa.RecordBatch.from_arrays([*cols, pa.array(crcs)], [c.split()[0] for c in REBUILT.split(", ")])
 
     for b in batches:
-        for part, start, doc_id, n_tokens, root, _pos, name, n, crc in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if n is None:
-                raise ValueError(f"a chunk of document {doc_id} is missing from the store")
-            if doc is None or doc[0] != (part, start, doc_id):
-                if doc is not None:
-                    close()
-                doc = [(part, start, doc_id), root, n_tokens, 0, 0, []]
-            doc[4] = join(doc[4], crc, 4 * n) if doc[3] else crc
-            doc[3] += n
-            doc[5].append(name)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.int64()] * 4), strict=True)], ["part", "local_start", "doc_id", "n_tokens", "ids_crc32"])
-            out.clear()
-    if doc is not None:
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.int64()] * 4), strict=True)], ["part", "local_start", "doc_id", "n_tokens", "ids_crc32"])
+        if not b.num_rows:
+            continue
+        part, start = np.asarray(b.column(0)), np.asarray(b.column(1))
+        new = np.flatnonzero((part != part[-1]) | (start != start[-1]))
+        cut = int(new[-1]) + 1 if len(new) else 0  # rows of documents that end here
+        last = held[-1].slice(held[-1].num_rows - 1) if held else None
+        if held and (last.column(0)[0].as_py(), last.column(1)[0].as_py()) != (part[-1], start[-1]) and not cut:
+            yield closed(pa.Table.from_batches(held))
+            held = []
+        if cut:
+            yield closed(pa.Table.from_batches([*held, b.slice(0, cut)]))
+            held = []
+        held.append(b.slice(cut))
+    if held:
+        yield closed(pa.Table.from_batches(held))
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -392,8 +481,8 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     offsets = parts.select("part", (F.sum("t").over(Window.orderBy("part")) - F.col("t")).alias("offset"))  # a row for each part
     refs = recipes.select("part", "local_start", "doc_id", "n_tokens", "root", F.posexplode("digests").alias("pos", "digest"))
     found = refs.join(chunks, "digest", "left").select("part", "local_start", "doc_id", "n_tokens", "root", "pos", "digest", "c_n", "c_crc")
-    whole = found.repartition(common.shuffle_partitions(spark), "part", "local_start").sortWithinPartitions("part", "local_start", "pos")
-    whole = whole.mapInArrow(rebuilt, "part int, local_start long, doc_id long, n_tokens long, ids_crc32 long")
+    whole = found.repartition(common.shuffle_partitions(spark), "part", "local_start").sortWithinPartitions("local_start", "part", "pos")
+    whole = whole.mapInArrow(rebuilt, REBUILT)
     return whole.join(F.broadcast(offsets), "part").select("doc_id", (F.col("local_start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
 
