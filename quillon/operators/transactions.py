@@ -3,18 +3,26 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
+class CommitConflict(RuntimeError):
+    """Another commit came first; nothing of this one is to be seen."""
+
+
 class Snapshots:
-    """Tables under a root: <root>/<table>/v<N>, and <root>/_manifest/<K>.json naming each table's current version.
+    """Tables under a root: <root>/<table>/v<N>-<attempt>, and <root>/_manifest/<K>.json naming each table's current version.
 
     A commit writes all new folders first and then one manifest; readers take the last manifest, so they see all of a commit or
-    nothing of it. Two committers at once are told apart by the manifest's number: the second fails to create it and raises.
+    nothing of it. Each attempt has folders of its own, so that no committer touches what another one has written. Two committers
+    at once are told apart by the manifest's number: it is written aside and then named in one step that fails where the name
+    is taken (a hard link on local disks, a rename elsewhere); the second raises CommitConflict and its folders are deleted.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -45,16 +53,42 @@ class Snapshots:
 
     def commit(self, tables: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None) -> int:
         number, versions = self.current()
-        versions = dict(versions)
-        for name, df in tables.items():
-            versions[name] = f"{name}/v{number + 1}"
-            df.write.mode("overwrite").partitionBy(*(partition_by or {}).get(name, [])).parquet(f"{self.root}/{versions[name]}")
-        out = self.fs.create(self.path(f"{self.root}/_manifest/{number + 1}.json"), False)  # fails if it is there
+        attempt, versions = uuid.uuid4().hex[:12], dict(versions)
+        try:
+            for name, df in tables.items():
+                versions[name] = f"{name}/v{number + 1}-{attempt}"
+                df.write.mode("errorifexists").partitionBy(*(partition_by or {}).get(name, [])).parquet(f"{self.root}/{versions[name]}")
+            self._publish(number + 1, json.dumps(versions), attempt)
+        except Exception:
+            for name in tables:
+                if versions.get(name, "").endswith(attempt):
+                    self.fs.delete(self.path(f"{self.root}/{versions[name]}"), True)
+            raise
+        return number + 1
+
+    def _publish(self, number: int, text: str, attempt: str) -> None:
+        aside, name = self.path(f"{self.root}/_manifest/{attempt}.tmp"), self.path(f"{self.root}/_manifest/{number}.json")
+        out = self.fs.create(aside, False)
         try:
-            out.write(bytearray(json.dumps(versions).encode()))
+            out.write(bytearray(text.encode()))
         finally:
             out.close()
-        return number + 1
+        try:
+            if self.fs.getUri().getScheme() == "file":
+                file = lambda p: self.jvm.java.io.File(p.toUri().getPath()).toPath()
+                try:
+                    self.jvm.java.nio.file.Files.createLink(file(name), file(aside))
+                    done = True
+                except Py4JJavaError as x:
+                    if "FileAlreadyExistsException" not in str(x.java_exception.getClass().getName()):
+                        raise
+                    done = False
+            else:
+                done = not self.fs.exists(name) and self.fs.rename(aside, name)
+        finally:
+            self.fs.delete(aside, False)
+        if not done:
+            raise CommitConflict(f"commit {number} came from somewhere else")
 
 
 Operation = Callable[[dict[str, DataFrame]], dict[str, DataFrame]]
