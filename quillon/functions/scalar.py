@@ -80,13 +80,41 @@ class Udfs:
     def register(self, name: str, f: Callable[..., Column]) -> None:
         self.by_name[name.lower()] = f
 
-    def get(self, name: str) -> Callable[..., Column] | None:
-        return self.by_name.get(name.lower())
+    def get(self, name: str, digest: bool = False) -> Callable[..., Column] | None:
+        """digest: whether the argument is a stored digest (binary), for which a function may have a form of its own."""
+        return (self.by_name.get(f"{name.lower()}@digest") if digest else None) or self.by_name.get(name.lower())
+
+
+#: Values of an enumeration whose histogram is exact; the sketch under it tracks twice as many. More raise an error when run.
+VALUES = 10_000
 
 
 def histogram_text(c: Column) -> Column:
-    """An enumeration histogram as text: value=count pairs in order of value. Its size is that of the enumeration."""
-    return F.array_join(F.array_sort(F.transform(F.collect_set(c.cast("string")), lambda v: v)), ",")
+    """An enumeration histogram as text: value=count pairs in order of value; nulls aren't counted.
+
+    Counts come from a frequent-items sketch, which combines before the shuffle and is exact while it needn't drop values.
+    """
+    pairs = F.filter(F.call_function("approx_top_k", c, F.lit(VALUES + 1), F.lit(4 * VALUES)), lambda x: x["item"].isNotNull())
+    error = F.raise_error(F.lit(f"a histogram of more than {VALUES} values")).cast("string")
+    text = F.array_join(F.transform(F.array_sort(pairs), lambda x: F.concat(x["item"].cast("string"), F.lit("="), x["count"].cast("string"))), ",")
+    return F.when(F.size(pairs) > VALUES, error).otherwise(text)
+
+
+def _quantile(c: Column, q: Column) -> Column:
+    return F.call_function("kll_sketch_get_quantile_double", F.call_function("kll_merge_agg_double", c), q.cast("double"))
+
+
+def _spread(c: Column) -> Column:
+    """Quantiles of a merged digest at the middles of 200 equal shares."""
+    return F.call_function("kll_sketch_get_quantile_double", F.call_function("kll_merge_agg_double", c), F.array(*[F.lit((k + 0.5) / 200) for k in range(200)]))
+
+
+def _mean(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)
+
+
+def _variance(values: Column) -> Column:
+    return _mean(F.transform(values, lambda x: x * x)) - _mean(values) * _mean(values)
 
 
 DEFAULT: dict[str, Callable[..., Column]] = {
@@ -98,5 +126,13 @@ DEFAULT: dict[str, Callable[..., Column]] = {
     "p.cardinality": F.count,
     "eh.cardinality": lambda c: F.count(c).cast("double"),
     "eh.tostring": histogram_text,
-    "digest.merge": lambda c: F.kll_sketch_agg_double(c),
+    "digest.merge": lambda c: F.kll_sketch_agg_double(c.cast("double")),
+    # Over stored digests: merged exactly as sketches merge; average and variance are those of their quantiles.
+    "digest.merge@digest": lambda c: F.call_function("kll_merge_agg_double", c),
+    "p.getquantile@digest": _quantile,
+    "p.minimum@digest": lambda c: _quantile(c, F.lit(0.0)),
+    "p.maximum@digest": lambda c: _quantile(c, F.lit(1.0)),
+    "p.cardinality@digest": lambda c: F.sum(F.call_function("kll_sketch_get_n_double", c)),
+    "p.average@digest": lambda c: _mean(_spread(c)),
+    "p.variance@digest": lambda c: _variance(_spread(c)),
 }

@@ -161,7 +161,8 @@ def function(e: A.Func, s: Scope) -> Column:
         return isof(e, s)
     if e.name == "contains" and len(e.args) == 2 and isinstance(e.args[1], A.Items):
         return column(e.args[0], s).isin(*[column(i, s) for i in e.args[1].items])
-    own = s.udfs.get(e.name)
+    kind = s.property_of(e.args[0]) if e.args else None
+    own = s.udfs.get(e.name, kind is not None and isinstance(kind.type, T.BinaryType))
     if own is not None:
         return own(*[column(a, s) for a in e.args])
     try:
