@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -22,15 +23,26 @@ def latest(df: DataFrame, keys: list[str], time: str) -> DataFrame:
     return got.select(*[ref(c) if c in keys else F.col(f"`?b`.`{c}`").alias(c) for c in df.columns])
 
 
+def no_older(time: str) -> Column:
+    """For merge: a matched row gives way to one that isn't older than it, so that a late row never replaces a newer one."""
+    return ref(time).isNull() | (ref(f"?s.{time}") >= ref(time))
+
+
 class Cache:
     """A cached table with its watermark, in versioned snapshots.
 
-    load(since) gives rows written after since, or all for None. A refresh reads the chunks, retries failing ones, upserts and
-    promotes the watermark; when a chunk fails for good, what succeeded is kept but the watermark stays, so that it is read again.
+    load(since) gives rows written after since, or all for None. A refresh reads the chunks, at most `workers` at once, retries failing
+    ones, upserts and promotes the watermark; when a chunk fails for good, what succeeded is kept but the watermark stays, so that
+    it is read again. Watermarks are compared in the type of the time column. Rows older than the cached one of their key are
+    left out. late: an interval, such as "2 days", by which since lies before the watermark, for rows that arrive late;
+    maximum_days: rows that are older than the newest by more are dropped.
     """
 
-    def __init__(self, spark: SparkSession, root: str, name: str, keys: list[str], time: str, retries: int = 3, full_every: int | None = None):
+    def __init__(
+        self, spark: SparkSession, root: str, name: str, keys: list[str], time: str, retries: int = 3, full_every: int | None = None, workers: int = 16, late: str | None = None, maximum_days: int | None = None
+    ):
         self.spark, self.name, self.keys, self.time, self.retries, self.full_every = spark, name, keys, time, retries, full_every
+        self.workers, self.late, self.maximum_days = workers, late, maximum_days
         self.snapshots = Snapshots(spark, root)
         self.frame: DataFrame | None = None
 
@@ -50,32 +62,43 @@ class Cache:
         state = self.state()
         n = state.get("refreshes", 0)
         full = "watermark" not in state or bool(self.full_every) and n % self.full_every == 0
-        since = None if full else state["watermark"]
-        got, failed = [], []
-        for load in loaders:
+        since = None if full else self._since(state["watermark"])
+
+        def loaded(load) -> DataFrame | Exception:
             for attempt in range(self.retries):
                 try:
                     df = load(since)
                     df.agg(F.max(ref(self.time))).first()
-                    got.append(df)
-                    break
+                    return df
                 except Exception as x:  # what a source may raise isn't known here; it is given back
-                    if attempt == self.retries - 1:
-                        failed.append(x)
+                    error = x
+            return error
+
+        with ThreadPoolExecutor(max(1, min(self.workers, len(loaders)))) as pool:
+            results = list(pool.map(loaded, loaders))
+        got, failed = [x for x in results if isinstance(x, DataFrame)], [x for x in results if not isinstance(x, DataFrame)]
         if got:
             new = got[0]
             for df in got[1:]:
                 new = new.unionByName(df, allowMissingColumns=True)
             new = latest(new, self.keys, self.time)
-            top = new.agg(F.max(ref(self.time)).cast("string").alias("m")).first()["m"]
-            table = new if full and not failed or self.name not in self.snapshots.current()[1] else merge(self.snapshots.read(self.name), new, self.keys)
+            kind = new.schema[self.time].dataType
+            top = new.agg(F.greatest(F.max(ref(self.time)), F.lit(state.get("watermark")).cast(kind)).cast("string").alias("m")).first()["m"]
+            table = new if full and not failed or self.name not in self.snapshots.current()[1] else merge(self.snapshots.read(self.name), new, self.keys, condition=no_older(self.time))
             state["refreshes"] = n + 1
             if top is not None and not failed:
-                state["watermark"] = max(top, state.get("watermark") or top)
+                state["watermark"] = top
+            if self.maximum_days is not None and top is not None:
+                table = table.where(ref(self.time) >= F.lit(top).cast(kind) - F.make_dt_interval(F.lit(self.maximum_days)))
             self.snapshots.commit({self.name: table, f"{self.name}_state": self.spark.createDataFrame([(json.dumps(state),)], "state string")})
             self.frame = None
         return failed
 
+    def _since(self, watermark: str) -> str:
+        if not self.late:
+            return watermark
+        return self.spark.range(1).select((F.lit(watermark).cast("timestamp_ntz") - F.expr(f"interval {self.late}")).cast("string")).first()[0]
+
     def rows(self) -> DataFrame:
         if self.frame is None:
             self.frame = self.snapshots.read(self.name).cache()
@@ -102,7 +125,7 @@ def refresh_stream(stream: DataFrame, snapshots: Snapshots, table: str, keys: li
         if done in versions and snapshots.read(done).first()["epoch"] >= epoch:
             return
         new = latest(df, keys, time)
-        out = merge(snapshots.read(table), new, keys) if table in versions else new
+        out = merge(snapshots.read(table), new, keys, condition=no_older(time)) if table in versions else new
         snapshots.commit({table: out, done: spark.createDataFrame([(epoch,)], "epoch long")})
 
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
