@@ -1,7 +1,8 @@
 """$expand: targets of navigations nested into their owners, level by level.
 
 A collection is filtered, ordered and paged per owner, gathered into an array of structs and joined to the owner on its key;
-a single target becomes a struct. Owners stay when they have no targets; a collection then is empty.
+a single target becomes a struct. Owners stay when they have no targets; a collection then is empty. Where the roots are
+a page, targets are first cut down to those of the page's rows by a semi join, level by level, so that no other target is shuffled.
 """
 
 from __future__ import annotations
@@ -16,18 +17,22 @@ from quillon.model import Navigation
 from quillon.plans.columns import BindError, column, ref
 
 
-def expanded(planner, rows, df: DataFrame, q: A.Query, columns: list[Column]) -> DataFrame:
-    """df: rows' frame, filtered and paged. columns: what the query itself projects."""
+#: Rows of a page whose keys are broadcast to its targets.
+BROADCAST = 10_000
+
+
+def expanded(planner, rows, df: DataFrame, q: A.Query, columns: list[Column], page: int | None = None) -> DataFrame:
+    """df: rows' frame, filtered and paged; page: how many rows it has at most, if that is known. columns: what the query itself projects."""
     placed = bool(q.orderby or q.top is not None or q.skip)
-    df = df.withColumn("?order", F.monotonically_increasing_id()) if placed else df
-    out = nested(planner, rows, df, q, columns, ["?order"] if placed else [])
+    out = nested(planner, rows, df.withColumn("?order", F.monotonically_increasing_id()) if placed else df, q, columns, ["?order"] if placed else [], df if page is not None else None, page)
     if placed:
         out = out.orderBy(ref("?order"))
     return out.drop(*[c for c in out.columns if c.startswith("?")])
 
 
-def nested(planner, rows, df: DataFrame, q: A.Query, columns: list[Column], carried: list[str]) -> DataFrame:
-    """columns and carried of df, and a column for each navigation that q expands. Helpers' names are unique in the plan."""
+def nested(planner, rows, df: DataFrame, q: A.Query, columns: list[Column], carried: list[str], owners: DataFrame | None = None, page: int | None = None) -> DataFrame:
+    """columns and carried of df, and a column for each navigation that q expands. Helpers' names are unique in the plan. owners: df's
+    rows if they are few of all, page of them at most."""
     tagged, links = [], []
     for e in q.expand:
         nav = rows._navigations(rows.type).get(e.path[0])
@@ -36,14 +41,18 @@ def nested(planner, rows, df: DataFrame, q: A.Query, columns: list[Column], carr
         planner.quantifiers += 1
         own = [f"?own{planner.quantifiers}.{k}" for k in range(len(nav.pairs))]
         links += [ref(rows.name((a,))).alias(n) for (a, _), n in zip(nav.pairs, own, strict=True)]
-        tagged.append((e, nav, own))
+        few = None
+        if owners is not None:
+            few = owners.select(*[ref(rows.name((a,))).alias(f"{n}!") for (a, _), n in zip(nav.pairs, own, strict=True)])
+            few = F.broadcast(few) if page is not None and page <= BROADCAST else few
+        tagged.append((e, nav, own, few))
     out = df.select(*columns, *[ref(c) for c in carried], *links)
-    for e, nav, own in tagged:
-        out = joined(planner, out, e, nav, own).drop(*own)
+    for e, nav, own, few in tagged:
+        out = joined(planner, out, e, nav, own, few).drop(*own)
     return out
 
 
-def joined(planner, out: DataFrame, e: A.Expand, nav: Navigation, own: list[str]) -> DataFrame:
+def joined(planner, out: DataFrame, e: A.Expand, nav: Navigation, own: list[str], few: DataFrame | None = None) -> DataFrame:
     from quillon.plans.reader import Rows
 
     planner.quantifiers += 1
@@ -60,12 +69,13 @@ def joined(planner, out: DataFrame, e: A.Expand, nav: Navigation, own: list[str]
     if e.ref:
         q = replace(q, select=[A.Path((p,)) for p in planner.model.key(target)])
     child, names = Rows(planner, target, planner.scan(target)), [f"{tag}{k}" for k in range(len(nav.pairs))]
+    asked = lambda df: df if few is None else df.join(few, [ref(n) == ref(c) for n, c in zip(names, few.columns, strict=True)], "left_semi")
     if nav.bridge:
         far = [f"{tag}far{k}" for k in range(len(nav.bridge_pairs))]
         b = planner.bridge(nav).select(*[ref(c).alias(n) for (_, c), n in zip(nav.pairs, names, strict=True)], *[ref(c).alias(n) for (c, _), n in zip(nav.bridge_pairs, far, strict=True)])
-        child.df = child.df.join(b, [ref(n) == ref(d) for (_, d), n in zip(nav.bridge_pairs, far, strict=True)]).drop(*far)
+        child.df = child.df.join(asked(b), [ref(n) == ref(d) for (_, d), n in zip(nav.bridge_pairs, far, strict=True)]).drop(*far)
     else:
-        child.df = child.df.select("*", *[ref(b).alias(n) for (_, b), n in zip(nav.pairs, names, strict=True)])
+        child.df = asked(child.df.select("*", *[ref(b).alias(n) for (_, b), n in zip(nav.pairs, names, strict=True)]))
     held, planner.aliases = planner.aliases, {n.alias: n.expr for n in q.compute}
     child.where(A.conjunction([x for x in (q.filter, q.where) if x is not None]), None, planner.aliases)
     child.need(*[n.expr for n in q.compute], *[o.expr for o in q.orderby])
@@ -84,7 +94,7 @@ def joined(planner, out: DataFrame, e: A.Expand, nav: Navigation, own: list[str]
     if nav.many and (q.top is not None or q.skip):
         first = q.skip or 0
         df = df.where((ref(place) > first) & ((ref(place) <= first + q.top) if q.top is not None else F.lit(True)))
-    df = nested(planner, child, df, q, columns, [*names, place])
+    df = nested(planner, child, df, q, columns, [*names, place], df if few is not None else None)
     df = df.select(*[ref(n) for n in names], ref(place), F.struct(*[ref(c) for c in df.columns if not c.startswith("?")]).alias(row))
     on = F.lit(True)
     for a, b in zip(own, names, strict=True):

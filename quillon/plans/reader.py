@@ -193,6 +193,15 @@ class Rows:
     def crosses(self, e: A.Expr, var: str | None) -> bool:
         return any(isinstance(x, A.Path) and x.parts and x.parts[0] != var for x in _outside(e))
 
+    def looked_at(self, e: A.Quant) -> list[str]:
+        """Columns of this row that a quantifier's predicate looks at."""
+        out = []
+        for x in _outside(e.predicate):
+            if isinstance(x, A.Path) and x.parts and x.parts[0] != e.var:
+                navs, prop = self.split(self._own(x.parts))
+                out += [self.name((*navs, prop))] if prop is not None else [self.name((*navs, a)) for nav in [self._navigations(self.target(navs[:-1]))[navs[-1]]] for a, _ in nav.pairs]
+        return out
+
     def exists(self, e: A.Quant, negated: bool) -> None:
         """any: semi join; all: anti join with what breaks it; not turns one into the other."""
         child, keys, both = self.matching(e, e.kind == "all")
@@ -206,11 +215,15 @@ class Rows:
             x = stack.pop()
             if isinstance(x, A.Quant):
                 child, keys, both = self.matching(x, x.kind == "all")
-                if both is not None:
-                    raise BindError("any or all that looks at the outer row must be a condition of its own")
                 flag = f"?flag{self.planner.quantifiers}"
-                found = child.df.select(*[ref(b).alias(f"{flag}.{k}") for k, (_, b) in enumerate(keys)]).distinct().withColumn(flag, F.lit(True))
-                self.df = self.df.join(found, [ref(a) == ref(f"{flag}.{k}") for k, (a, _) in enumerate(keys)], "left").drop(*[f"{flag}.{k}" for k in range(len(keys))])
+                if both is not None:  # by the values of the outer row that the predicate looks at, each set of them once
+                    outer = list(dict.fromkeys([*[a for a, _ in keys], *self.looked_at(x)]))
+                    found = self.df.select(*[ref(a) for a in outer]).distinct().join(child.df, [*[ref(a) == ref(b) for a, b in keys], both], "left_semi")
+                    found = found.select(*[ref(a).alias(f"{flag}.{k}") for k, a in enumerate(outer)]).withColumn(flag, F.lit(True))
+                    self.df = self.df.join(found, [ref(a).eqNullSafe(ref(f"{flag}.{k}")) for k, a in enumerate(outer)], "left").drop(*found.columns[:-1])
+                else:
+                    found = child.df.select(*[ref(b).alias(f"{flag}.{k}") for k, (_, b) in enumerate(keys)]).distinct().withColumn(flag, F.lit(True))
+                    self.df = self.df.join(found, [ref(a) == ref(f"{flag}.{k}") for k, (a, _) in enumerate(keys)], "left").drop(*[f"{flag}.{k}" for k in range(len(keys))])
                 here = F.coalesce(ref(flag), F.lit(False))
                 self.planner.flags[id(x)] = here if x.kind == "any" else ~here
                 continue
@@ -366,6 +379,8 @@ class Planner:
         top = q.top if q.top is not None else size
         order = [self._order(column(o.expr, s), o.descending) for o in q.orderby]
         page = paged and (top is not None or q.skip)
+        if page and order and q.expand:  # the page is looked at from several places of the plan: no ties
+            order += [ref(rows.name((k,))).asc() for k in self.model.key(rows.type)]
         if page and not order:
             keys = self.model.key(rows.type)
             if not keys:
@@ -382,7 +397,8 @@ class Planner:
         if q.expand:
             from quillon.plans.expand import expanded
 
-            return expanded(self, rows, df, q, columns)
+            few = page and top is not None and not q.with_ties and self.model.key(rows.type)
+            return expanded(self, rows, df, q, columns, top if few else None)
         return df.select(*columns)
 
     def ties(self, df: DataFrame, order: list[tuple[Column, bool]], top: int | None, skip: int | None) -> DataFrame:
