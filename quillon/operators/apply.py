@@ -129,20 +129,26 @@ def _number(df: DataFrame, n) -> int:
 
 
 def _cumulated(df: DataFrame, kind: str, n, order, down: bool) -> DataFrame:
-    """A running sum over the whole table in two levels: rows of equal value are summed, then the distinct values, range by range.
+    """Rows from the largest (smallest) value on until their sum is reached.
 
-    No task gets the whole table: sums of ranges of values are added up first, and each range then starts from its offset.
+    Rows of equal value are summed first; of the distinct values, groups of like size are summed, and each then starts from its
+    offset, so that no task gets the whole table. The value at which the sum is reached, and how many of its rows it takes, is
+    one row that is fetched while planning; rows beyond that value are a filter, those of it a sorted limit.
     """
     values = df.groupBy("?by").agg(F.count(F.lit(1)).alias("?n"))
-    ranged = values.repartitionByRange(ref("?by").desc() if down else ref("?by").asc()).withColumn("?part", F.spark_partition_id())
-    sums = ranged.groupBy("?part").agg(F.sum(ref("?by") * ref("?n")).alias("?s"))
-    start = sums.select("?part", (F.sum("?s").over(Window.orderBy("?part")) - ref("?s")).alias("?start"))  # a row for each part
-    w = Window.partitionBy("?part").orderBy(ref("?by").desc() if down else ref("?by").asc())
-    own = ranged.join(F.broadcast(start), "?part").withColumn("?before", ref("?start") + F.sum(ref("?by") * ref("?n")).over(w) - ref("?by") * ref("?n"))
+    by = ref("?by").cast("double")
+    values = values.withColumn("?group", F.signum(by) * F.floor(F.log2(F.abs(by) + 1) * 64))  # grows with the value
+    sums = values.groupBy("?group").agg(F.sum(ref("?by") * ref("?n")).alias("?s"))
+    w = Window.orderBy(ref("?group").desc() if down else ref("?group").asc())
+    start = sums.select(ref("?group"), (F.sum("?s").over(w) - ref("?s")).alias("?start"))  # a row for each of some thousand groups
+    w = Window.partitionBy("?group").orderBy(ref("?by").desc() if down else ref("?by").asc())
+    own = values.join(F.broadcast(start), "?group").withColumn("?before", ref("?start") + F.sum(ref("?by") * ref("?n")).over(w) - ref("?by") * ref("?n"))
     most = n if kind == "sum" else df.agg((F.sum("?by") * n / 100).alias("m")).scalar()
-    edge = own.where(ref("?before") < most)
-    # whole values before the last one; of the last one, as many rows as it takes
-    picked = df.join(edge.select("?by", "?before", most.alias("?most")), "?by")
-    inside = Window.partitionBy("?by").orderBy(*order[1:])
-    picked = picked.withColumn("?r", F.row_number().over(inside))
-    return picked.where(ref("?before") + (ref("?r") - 1) * ref("?by") < ref("?most")).drop("?before", "?most", "?r")
+    edge = own.where(ref("?before") < most).orderBy(ref("?by").asc() if down else ref("?by").desc()).limit(1)
+    rows = F.when(ref("?by") > 0, F.least(ref("?n"), F.ceil((most - ref("?before")) / ref("?by")))).otherwise(ref("?n"))
+    last = edge.select(ref("?by"), rows.cast("long").alias("rows")).first()
+    if last is None:
+        return df.limit(0)
+    value = F.lit(last[0]).cast(df.schema["?by"].dataType)
+    beyond = df.where(ref("?by") > value if down else ref("?by") < value)
+    return beyond.unionByName(df.where(ref("?by") == value).orderBy(*order[1:]).limit(last["rows"]))

@@ -72,9 +72,9 @@ def merge(
     if top is not None:
         source = source.orderBy(*keys).limit(top)
     src = checked_source(source, keys)
-    s = src.select(*[ref(c).alias(f"?s.{c}") for c in source.columns], F.lit(True).alias("?s"))
-    t = target.withColumn("?t", F.lit(True))
-    j = t.join(s, [ref(k) == ref(f"?s.{k}") for k in keys], "full_outer")
+    s = src.select(*[ref(c).alias(f"?s.{c}") for c in source.columns], ref("?salt").alias("?s.salt"), F.lit(True).alias("?s"))
+    t = salted(target, keys).withColumnRenamed("?salt", "?t.salt").withColumn("?t", F.lit(True))
+    j = t.join(s, [*[ref(k) == ref(f"?s.{k}") for k in keys], ref("?t.salt") == ref("?s.salt")], "full_outer")
     in_t, in_s = ref("?t").isNotNull(), ref("?s").isNotNull()
     both = in_t & in_s
     met = both if condition is None else both & F.coalesce(condition, F.lit(False))
@@ -119,15 +119,26 @@ def merge(
     return j.where(keep & ~dead).select(*out)
 
 
+#: Rows with a null in their key are dealt to so many tasks.
+SALTS = 1024
+
+
+def salted(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df with ?salt: 0, but for rows with a null in their key, which match nothing, a hash of the row that keeps them apart."""
+    whole = _all([ref(k).isNotNull() for k in keys])
+    plain = [ref(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return df.withColumn("?salt", F.when(whole, F.lit(0)).otherwise(F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int")))
+
+
 def checked_source(source: DataFrame, keys: list[str]) -> DataFrame:
-    """source, failing when run if a key comes twice. Rows with a null in their key match nothing and are left as they are.
+    """source with ?salt, failing when run if a key comes twice. Rows with a null in their key match nothing and are left as they are.
 
-    Counted over the merge's own keys, so that the join after it needs no further shuffle of source.
+    Counted over the merge's own keys and salt, so that the join after it needs no further shuffle of source.
     """
-    n = F.count(F.lit(1)).over(Window.partitionBy(*[ref(k) for k in keys]))
+    n = F.count(F.lit(1)).over(Window.partitionBy(*[ref(k) for k in keys], ref("?salt")))
     whole = _all([ref(k).isNotNull() for k in keys])
     error = F.raise_error(F.lit("merge source has a key twice")).cast("boolean")
-    return source.withColumn("?n", n).where(F.when(whole & (ref("?n") > 1), error).otherwise(F.lit(True))).drop("?n")
+    return salted(source, keys).withColumn("?n", n).where(F.when(whole & (ref("?n") > 1), error).otherwise(F.lit(True))).drop("?n")
 
 
 def delete(target: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
