@@ -38,6 +38,11 @@ class Session:
             return self.call(q.path[0].name, **{k: v.value for k, v in (q.path[0].keys or {}).items() if k})
         return self.planner(q).plan(q)
 
+    def nested(self, q: str | A.Query) -> DataFrame:
+        """A grouped query whose keys stand in the shape of their paths: Customer/Nation/n_name as Customer.Nation.n_name."""
+        q = self._query(q)
+        return regraphed(self.query(q), [e.parts for e in (*q.groupby, *q.rollup) if isinstance(e, A.Path) and len(e.parts) > 1])
+
     def total(self, q: str | A.Query) -> DataFrame:
         """One row with the number of rows without top and skip."""
         q = self._query(q)
@@ -114,6 +119,33 @@ class Builder:
         return self._session.count(self._q)
 
 
+def regraphed(df: DataFrame, paths: list[tuple[str, ...]]) -> DataFrame:
+    """df with the columns of paths (a_b for a/b) gathered into structs, each where its first column stood; a struct of nulls only is null."""
+    from pyspark.sql import functions as F
+
+    from quillon.plans.columns import ref
+
+    def struct(prefix: tuple[str, ...]):
+        own = [p for p in paths if p[: len(prefix)] == prefix]
+        fields = dict.fromkeys(p[len(prefix)] for p in own)
+        leaves = {p[len(prefix)] for p in own if len(p) == len(prefix) + 1}
+        made = F.struct(*[(ref("_".join((*prefix, f))) if f in leaves else struct((*prefix, f))).alias(f) for f in fields])
+        some = [ref("_".join(p)).isNotNull() for p in own]
+        there = some[0]
+        for c in some[1:]:
+            there = there | c
+        return F.when(there, made)
+
+    flat, out, seen = {"_".join(p): p for p in paths}, [], set()
+    for c in df.columns:
+        if c not in flat:
+            out.append(ref(c))
+        elif flat[c][0] not in seen:
+            seen.add(flat[c][0])
+            out.append(struct(flat[c][:1]).alias(flat[c][0]))
+    return df.select(*out)
+
+
 def union(*queries: DataFrame, distinct: bool = False, order: list | None = None) -> DataFrame:
     """Union with columns aligned by name and padded with nulls, in the order of their names; orders inside are not kept."""
     if not queries:
