@@ -33,10 +33,14 @@ def made(name: str, sql: str) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from quillon.plans import suite_ops  # noqa: F401  registers its own
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    from quillon.plans import suite_ops  # noqa: F401
+
     return dict(_sql)
 
 
