@@ -4,14 +4,19 @@ Benchmark items are cut into overlapping windows of WINDOW characters (short ite
 that stands in a text with at most e = n // RATE edits shares n - q + 1 - q * e of its q-grams with it, all within 2e + 1
 adjacent diagonals. So q-gram hits are counted in overlapping diagonal bands; bands that reach the bound are aligned, and
 a window that aligns within e edits is a leak of its item.
+
+Texts are worked on in segments that their own q-grams cut, so that a passage that is repeated, in one text or in many, is worked
+on once; hits are counted for each window before they are gathered, and gathered HITS at a time. Windows that are equal are one.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +26,14 @@ from quillon.llm import common
 Q, SHORT_Q, WINDOW, RATE = 12, 8, 120, 20
 #: Bytes of benchmark text whose index goes to tasks at once; a larger benchmark is run in several such blocks.
 BLOCK_BYTES = 8_000_000
+#: Least and most bytes of a segment; bytes before and after it that its bands and alignments look at.
+LEAST, MOST, BEFORE, AFTER = 1024, 4096, 64, WINDOW + 96
+#: Hits gathered at once, alignments made at once, segments whose results are remembered.
+HITS, PAIRS, REMEMBERED = 2_000_000, 2048, 50_000
 FILTER_BITS = 22
 FOUND = "doc_id long, item_id long, n_windows long, edits long, start long, end long"
 A = np.uint64(0x9E3779B97F4A7C15)
+NEVER, COST = np.int32(1 << 29), np.int32(1 << 12)  # a cell is its edits times COST, less the start: of equal edits the latest start
 
 
 def normalised(text: str | None) -> bytes:
@@ -42,44 +52,51 @@ def grams(data: bytes, q: int = Q) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def edits(pattern: bytes, text: bytes, most: int) -> tuple[int, int, int] | None:
-    """Least edits of the whole pattern against a part of text, with that part's start and end, or None over `most`.
+def aligned(patterns: np.ndarray, texts: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least edits (most + 1 for more than `most`), start and end of whole patterns against parts of texts, many pairs at once.
 
-    Free start and end in text; only cells within `most` diagonals of a possible match are filled, for text is the pattern's length
-    and a few more on each side.
+    patterns: pairs x n; texts: pairs x m bytes as int16, of which the first ends[k] are the text and the rest -1. Free start and end in
+    the text; cells are kept by diagonal, from -most to m - n + most. Pairs are dropped once no cell is within most.
     """
-    n, m = len(pattern), len(text)
-    if (at := text.find(pattern)) >= 0:
-        return 0, at, at + n
-    spare = m - n + most  # diagonals -most..spare
-    big = most + 1
-    cost, start = [0] * (m + 1), list(range(m + 1))
-    for i in range(1, n + 1):
-        lo, hi = max(0, i - most), min(m, i + spare)
-        before, b_start = cost, start
-        cost, start = [big] * (m + 1), [0] * (m + 1)
-        if lo == 0:
-            cost[0], start[0], lo = i, 0, 1
-        c, alive = pattern[i - 1], cost[0] <= most
-        for j in range(lo, hi + 1):
-            best, s = before[j - 1] + (c != text[j - 1]), b_start[j - 1]
-            if before[j] + 1 < best:
-                best, s = before[j] + 1, b_start[j]
-            if cost[j - 1] + 1 < best:
-                best, s = cost[j - 1] + 1, start[j - 1]
-            cost[j], start[j] = best, s
-            alive = alive or best <= most
-        if not alive:
-            return None
-    end = min(range(m + 1), key=cost.__getitem__)
-    return (cost[end], start[end], end) if cost[end] <= most else None
+    pairs, n = patterns.shape
+    m = texts.shape[1]
+    width = m - n + 2 * most + 1
+    step = np.arange(width, dtype=np.int32) * COST
+    wide = np.full((pairs, n + width + 1), -1, np.int16)
+    wide[:, most : most + m] = texts
+    first = np.arange(width, dtype=np.int32) - most  # where a cell of row 0 stands in the text
+    cells = np.tile(np.where(first >= 0, COST - 1 - first, NEVER).astype(np.int32), (pairs, 1))
+    cost, start, end = np.full(pairs, most + 1), np.zeros(pairs, np.int64), np.zeros(pairs, np.int64)
+    live = np.arange(pairs)
+    limit = (most + 1) * COST
+    for i in range(n):
+        below = cells[:, 1:] + COST
+        cells = cells + (wide[:, i : i + width] != patterns[:, i : i + 1]) * COST
+        np.minimum(cells[:, :-1], below, out=cells[:, :-1])
+        cells = np.minimum.accumulate(cells - step, 1) + step
+        if i % 8 == 7:
+            on = (cells < limit).any(1)
+            if not on.any():
+                return cost, start, end
+            if 4 * on.sum() < 3 * len(on):
+                cells, wide, patterns, live = cells[on], wide[on], patterns[on], live[on]
+    place = n + first
+    cells = np.where((place >= 0) & (place <= ends[live][:, None]), cells, NEVER)
+    at = cells.argmin(1)
+    best = cells[np.arange(len(at)), at]
+    good = best < limit
+    cost[live[good]] = best[good] // COST
+    start[live[good]] = COST - 1 - best[good] % COST
+    end[live[good]] = place[at[good]]
+    return cost, start, end
 
 
 class Index:
-    """Windows of benchmark items, and where each q-gram stands in them."""
+    """Distinct windows of benchmark items, the items that have them, and where each q-gram stands in them."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.windows: list[tuple[int, bytes]] = []
+        number: dict[bytes, int] = {}
+        self.items: list[list[int]] = []
         self.short: list[tuple[int, bytes]] = []
         for item, text in items:
             data = normalised(text)
@@ -88,16 +105,24 @@ class Index:
             if len(data) < Q:
                 continue
             for at in sorted({*range(0, max(1, len(data) - WINDOW + 1), WINDOW // 2), max(0, len(data) - WINDOW)}):
-                self.windows.append((item, data[at : at + WINDOW]))
-        self.size = np.array([len(w) for _, w in self.windows], np.int64)
+                k = number.setdefault(data[at : at + WINDOW], len(number))
+                if k == len(self.items):
+                    self.items.append([])
+                self.items[k].append(item)
+        self.windows = list(number)
+        self.size = np.array([len(w) for w in self.windows], np.int64)
+        self.codes = np.zeros((len(self.windows), WINDOW), np.int16)
+        for k, w in enumerate(self.windows):
+            self.codes[k, : len(w)] = np.frombuffer(w, np.uint8)
         self.most = self.size // RATE
         q = np.where(self.size - Q + 1 - Q * self.most > 0, Q, SHORT_Q)
         self.bound = self.size - q + 1 - q * self.most
-        self.tables = [(n, *self._table(n, np.flatnonzero(q == n))) for n in (Q, SHORT_Q) if (q == n).any()]
+        self.tables = [(n, *self._table(n, np.flatnonzero(q == n)), int(self.bound[q == n].min())) for n in (Q, SHORT_Q) if (q == n).any()]
+        self.known: dict[bytes, list[tuple[int, int, int, int, int]]] = {}
 
     def _table(self, q: int, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Hashes of the windows' q-grams in order, the window and the place in it of each, and a filter of the hashes."""
-        hashes = [grams(self.windows[k][1], q) for k in windows]
+        hashes = [grams(self.windows[k], q) for k in windows]
         sizes = [len(h) for h in hashes]
         hash_ = np.concatenate(hashes)
         window = np.repeat(windows.astype(np.int32), sizes)
@@ -111,64 +136,159 @@ class Index:
         return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
     def found(self, data: bytes) -> dict[int, list[int]]:
-        """Of a normalised text: item -> [windows found, least edits of one, start of the first, end of the last]."""
+        """Of a normalised text: item -> [places where one of its windows stands, least edits of one, start of the first, end of the last]."""
+        seen: dict[int, list[int]] = {}  # the same by window
+        for table in self.tables:
+            q, hash_, held, least = table[0], table[1], table[4], table[5]
+            h = grams(data, q)
+            at = np.flatnonzero(held[self._bit(h)])
+            if len(at) == 0:
+                continue
+            lo = np.searchsorted(hash_, h[at], "left")
+            n = np.searchsorted(hash_, h[at], "right") - lo
+            at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
+            if n.sum() < least:
+                continue
+            sums = np.concatenate([[0], np.cumsum(n)])
+            for a, b in segments(h, len(data)):
+                x0, x1 = max(0, a - BEFORE), b + AFTER
+                i, j = np.searchsorted(at, [x0, x1 - q + 1])
+                if sums[j] - sums[i] < least:
+                    continue
+                own = data[x0:x1]
+                key = xxhash.xxh3_128_digest(own, b - a << 8 | a - x0) + bytes([q])
+                hits = self.known.get(key)
+                if hits is None:
+                    if len(self.known) >= REMEMBERED:
+                        self.known.clear()
+                    hits = self.known[key] = self._segment(table, own, a - x0, b - x0, at[i:j] - x0, lo[i:j], n[i:j])
+                for v, count, cost, start, end in hits:
+                    x = seen.setdefault(v, [0, cost, x0 + start, x0 + end])
+                    seen[v] = [x[0] + count, min(x[1], cost), min(x[2], x0 + start), max(x[3], x0 + end)]
         out: dict[int, list[int]] = {}
-
-        def add(item, cost, start, end):
-            x = out.setdefault(item, [0, cost, start, end])
-            out[item] = [x[0] + 1, min(x[1], cost), min(x[2], start), max(x[3], end)]
-
         for item, t in self.short:  # too short for a q-gram, and for an edit: found as it stands, as words
             at = (b" " + data + b" ").find(b" " + t + b" ")
             if at >= 0:
-                add(item, 0, at, at + len(t))
-        for q, hash_, window, place, held in self.tables:
-            h = grams(data, q)
-            at = np.flatnonzero(held[self._bit(h)])
-            if not len(at):
-                continue
-            lo, hi = np.searchsorted(hash_, h[at], "left"), np.searchsorted(hash_, h[at], "right")
-            n = hi - lo
-            if n.any():
-                at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-                k = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-                self._bands(data, np.repeat(at, n), window[k].astype(np.int64), place[k].astype(np.int64), add)
+                seen_ = out.setdefault(item, [0, 0, at, at + len(t)])
+                out[item] = [seen_[0] + 1, 0, min(seen_[2], at), max(seen_[3], at + len(t))]
+        for v, (count, cost, start, end) in seen.items():
+            for item in self.items[v]:
+                x = out.setdefault(item, [0, cost, start, end])
+                out[item] = [x[0] + count, min(x[1], cost), min(x[2], start), max(x[3], end)]
         return out
 
-    def _bands(self, data, at, window, place, add) -> None:
-        """Each diagonal is in two bands, of 4e + 2 diagonals every 2e + 1, so that 2e + 1 adjacent ones are in one band."""
+    def _segment(self, table, data: bytes, a: int, b: int, at: np.ndarray, lo: np.ndarray, n: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(window, places, least edits, first start, last end) of windows that start in data[a:b]; at, lo, n: the hits' places and postings."""
+        window, place = table[2], table[3]
+        posted = np.zeros(len(self.windows), np.int64)
+        runs = np.flatnonzero(np.diff(np.cumsum(n) // HITS, prepend=-1))  # hits are counted HITS at a time
+        parts = [slice(x, y) for x, y in zip(runs, [*runs[1:], len(n)], strict=True)]
+        for p in parts:
+            posted += np.bincount(window[spread(lo[p], n[p])], minlength=len(posted))
+        left = np.flatnonzero(posted >= self.bound)
+        if not len(left):
+            return []
+        groups = np.cumsum(posted[left]) // HITS
+        bands = []
+        for g in np.unique(groups):
+            own = left[groups == g]
+            on = np.zeros(len(posted), bool)
+            on[own] = True
+            places, windows, inner = [], [], []
+            for p in parts:
+                k = spread(lo[p], n[p])
+                keep = on[window[k]]
+                k = k[keep]
+                places.append(np.repeat(at[p], n[p])[keep])
+                windows.append(window[k].astype(np.int64))
+                inner.append(place[k].astype(np.int64))
+            bands.append(self._bands(np.concatenate(places), np.concatenate(windows), np.concatenate(inner), a, b))
+        v, base = (np.concatenate(x) for x in zip(*bands, strict=True))
+        return self._placed(data, a, b, v, base)
+
+    def _bands(self, at, window, place, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """(window, first diagonal) of the bands that hold enough distinct q-grams of a window. Each diagonal is in two bands, of 4e + 2
+        diagonals every 2e + 1, so that 2e + 1 adjacent ones are in one band; the first band starts one step before the segment."""
         step = 2 * self.most[window] + 1
-        diagonal = at - place + WINDOW
-        band = diagonal // step
-        window2, band2 = np.concatenate([window, window]), np.concatenate([band, band - 1])
-        key = window2 << 40 | band2 + 1
-        order = np.argsort(key, kind="stable")
-        key, first = key[order], None
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        w, own = window2[order][first], band2[order][first]
-        pos = np.concatenate([place, place])[order]
-        count = np.diff([*first, len(key)])
-        done: dict[int, int] = {}
-        for k in np.flatnonzero(count >= self.bound[w]):
-            v = int(w[k])
-            if len(np.unique(pos[first[k] : first[k] + count[k]])) < self.bound[v]:
-                continue  # one q-gram many times over
-            item, pattern = self.windows[v]
-            e = int(self.most[v])
-            base = int(own[k]) * (2 * e + 1) - WINDOW
-            lo = max(0, base - e)
-            if done.get(v, -1) >= lo:
-                continue
-            hit = edits(pattern, data[lo : base + 4 * e + 2 + len(pattern) + e], e)
-            if hit is not None:
-                add(item, hit[0], lo + hit[1], lo + hit[2])
-                done[v] = lo + hit[2]
+        band = (at - place - a + step) // step
+        n_bands = b - a + 3
+        window, band, place = np.concatenate([window, window]), np.concatenate([band, band - 1]), np.concatenate([place, place])
+        keep = (band >= 0) & (band < n_bands)
+        key = np.unique((window[keep] * n_bands + band[keep]) * WINDOW + place[keep]) // WINDOW
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+        count, key = np.diff(np.append(first, len(key))), key[first]
+        v = key // n_bands
+        v, key = v[count >= self.bound[v]], key[count >= self.bound[v]]
+        return v, a + (key % n_bands - 1) * (2 * self.most[v] + 1)
+
+    def _placed(self, data: bytes, a: int, b: int, v: np.ndarray, base: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """Bands aligned: what _segment gives. Of overlapping places of one window the first counts."""
+        text = np.frombuffer(data, np.uint8).astype(np.int16)
+        e, size = self.most[v], self.size[v]
+        lo = np.maximum(0, base - e)
+        hi = np.minimum(len(data), base + 5 * e + 2 + size)
+        hits: dict[int, list[tuple[int, int, int]]] = {}
+        todo = np.ones(len(v), bool)
+        for k in np.flatnonzero(hi - lo >= size):
+            x = data.find(self.windows[v[k]], lo[k], hi[k])
+            if x >= 0:  # as it stands
+                todo[k] = False
+                hits.setdefault(int(v[k]), []).append((x, 0, x + int(size[k])))
+        todo = np.flatnonzero(todo & (e > 0))
+        for own in np.unique(size[todo]):
+            same = todo[size[todo] == own]
+            most = int(own) // RATE
+            m = int(own) + 6 * most + 2
+            for part in (same[x : x + PAIRS] for x in range(0, len(same), PAIRS)):
+                ends = hi[part] - lo[part]
+                cols = lo[part][:, None] + np.arange(m)
+                texts = np.where(cols < hi[part][:, None], text[np.minimum(cols, len(text) - 1)], np.int16(-1))
+                cost, start, end = aligned(self.codes[v[part], : int(own)], texts, ends, most)
+                for k in np.flatnonzero(cost <= most):
+                    hits.setdefault(int(v[part[k]]), []).append((int(lo[part[k]] + start[k]), int(cost[k]), int(lo[part[k]] + end[k])))
+        out = []
+        for w, found in hits.items():
+            found = sorted(x for x in found if a <= x[0] < b)
+            if found:
+                count, last = 0, -1
+                for x, _, y in found:
+                    if x >= last:
+                        count, last = count + 1, y
+                out.append((w, count, min(x[1] for x in found), found[0][0], max(x[2] for x in found)))
+        return out
+
+
+def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... n[0] of them, then those of start[1], and so on."""
+    ends = np.cumsum(n)
+    return np.repeat(start - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def segments(h: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
+    """Segments of a text of n bytes whose q-grams are h: each is cut at the least hash of LEAST to MOST bytes after its start, so that
+    what repeats is soon cut alike."""
+    a = 0
+    while n - a > MOST:
+        b = a + LEAST + int(h[a + LEAST : a + MOST].argmin())
+        yield a, b
+        a = b
+    yield a, n
+
+
+_index: list[tuple[str, Index]] = []
+
+
+def index_of(name: str, items: list[tuple[int, str]]) -> Index:
+    """The worker's index of a block of the benchmark, kept for its next tasks."""
+    if not _index or _index[0][0] != name:
+        _index[:] = [(name, Index(items))]
+    return _index[0][1]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, n_windows, edits, start, end: a row per document row and benchmark item found in it.
 
-    start and end are bytes of the normalised text (lower case, runs of white space as one blank). Null and empty texts and items
+    n_windows counts places where windows of the item stand. start and end are bytes of the normalised text (lower case, runs of white space as one blank). Null and empty texts and items
     give no rows; items of fewer than Q characters must stand unchanged, as whole words. Documents that repeat give repeated
     rows; items that repeat an item_id are pooled under it. Other columns are ignored. Tasks get the index of one block of the
     benchmark of at most BLOCK_BYTES (an item that alone is longer is a block); larger benchmarks are run block by block.
@@ -178,8 +298,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
     for block in blocks(benchmark, item_col, item_text):
-        shared = spark.sparkContext.broadcast(block)
-        found = common.per_document(picked, lambda shared=shared: finder(Index(shared.value)), FOUND, ["doc_id", "text"])
+        shared, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
+        found = common.per_document(picked, lambda shared=shared, name=name: finder(index_of(name, shared.value)), FOUND, ["doc_id", "text"])
         out = found if out is None else out.union(found)
     return out
 
@@ -215,10 +335,10 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     common.ship(spark)
     for block in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(block)
+        shared, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def make(shared=shared):
-            index = Index(shared.value)
+        def make(shared=shared, name=name):
+            index = index_of(name, shared.value)
             return lambda text: not index.found(normalised(text))
 
         docs = common.rows_where(docs, make, ["text"])
