@@ -77,6 +77,7 @@ def star_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
             "event_view": kind("view", "event_id", "props"),
             "event_purchase": kind("purchase", "event_id", "value"),
         },
+        schemas={name: schema(name) for name in SCHEMAS},
     )
 
 

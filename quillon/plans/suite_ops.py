@@ -10,13 +10,14 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.api import Session
+from quillon.api import Session, union
 from quillon.functions.memory import compiled
 from quillon.lang.parser import parse_url
 from quillon.lang.unparse import from_xml, to_xml
 from quillon.lang.unparse import url as written
 from quillon.model import EntityModel
-from quillon.operators import ddl, etl, graph, load, merge, shards
+from quillon.operators import ddl, etl, graph, joins, load, merge, shards
+from quillon.operators.pipeline import Engine
 from quillon.operators.transactions import ChangeSet, Snapshots, Transaction, run_batch
 from quillon.plans.star import star_catalog, star_model, star_session
 from quillon.plans.suite import made, url
@@ -358,6 +359,64 @@ def nested_groups(spark, sf_dir):
     return got.select(F.col("Nation.Region.r_name").alias("region"), F.col("Nation.n_name").alias("nation"), "c_mktsegment", "n")
 
 
+# -- joins of frames --------------------------------------------------------------------------------------------------------
+@made("join_right", "select s_suppkey, n_nationkey, n_name from supplier right join nation on s_nationkey = n_nationkey and s_acctbal > 5000")
+def join_right(spark, sf_dir):
+    s, n = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("supplier", "nation"))
+    got = joins.join(s, n, [("s_nationkey", "n_nationkey")], "right", unless=~(F.col("s_acctbal") > 5000))
+    return got.select("s_suppkey", F.col("`right.n_nationkey`").alias("n_nationkey"), F.col("`right.n_name`").alias("n_name"))
+
+
+@made("join_merge", "select o_orderkey, c_name from orders join customer on o_custkey = c_custkey where o_orderkey < 1000")
+def join_merge(spark, sf_dir):
+    """An inner join by sorting both sides, whatever their sizes."""
+    o, c = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))
+    got = joins.join(o.where("o_orderkey < 1000"), c, [("o_custkey", "c_custkey")], "merge")
+    assert "SortMergeJoin" in got._jdf.queryExecution().executedPlan().toString()
+    return got.select("o_orderkey", F.col("`right.c_name`").alias("c_name"))
+
+
+@made("join_composite", "select count(*) as n, cast(sum(a.l_quantity) as bigint) as q from lineitem a join (select l_orderkey, l_linenumber, max(l_quantity) as m from lineitem group by 1, 2) b on a.l_orderkey = b.l_orderkey and a.l_linenumber = b.l_linenumber and a.l_quantity = b.m")
+def join_composite(spark, sf_dir):
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    top = li.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("m"))
+    got = joins.join(li, top, [("l_orderkey", "l_orderkey"), ("l_linenumber", "l_linenumber"), ("l_quantity", "m")])
+    return got.agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").cast("long").alias("q"))
+
+
+@made("join_unless", "select c_custkey, o_orderkey from customer left join orders on o_custkey = c_custkey and not o_orderstatus = 'O' where c_custkey < 200")
+def join_unless(spark, sf_dir):
+    c, o = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "orders"))
+    got = joins.join(c.where("c_custkey < 200"), o, [("c_custkey", "o_custkey")], "left", unless=F.col("`right.o_orderstatus`") == "O")
+    return got.select("c_custkey", F.col("`right.o_orderkey`").alias("o_orderkey"))
+
+
+@made("skip_anti", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 10 offset 30")
+def skip_anti(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice")
+    return joins.skipped(o, [F.col("o_totalprice").desc(), F.col("o_orderkey")], ["o_orderkey"], 30, 10)
+
+
+# -- feeds ------------------------------------------------------------------------------------------------------------------
+_LATEST = "select user_id as who, max(ts) as seen, arg_max(value, (ts, value)) as value from events where event_type = '{}' group by 1"
+
+
+@made(
+    "feed_engine",
+    f"with c as ({_LATEST.format('click')}), v as ({_LATEST.format('view')}), r as (select * from c where seen >= (select max(seen) from c) - interval 1 day) "
+    "select 'click' as feed, date_trunc('day', seen) as period, count(*) as n, max(value) as top from r group by 2 union all select 'view', date_trunc('day', seen), count(*), max(value) from v group by 2",
+)
+def feed_engine(spark, sf_dir):
+    """Two configured feeds with a common base, run twice: the newest row of each user, one of them purged, and daily aggregates."""
+    base = {"Namespace": "F", "Name": "Base", "Kind": "Feed", "Abstract": True, "Keys": ["who"], "Watermark": "seen", "Columns": {"who": "user_id", "seen": "ts", "value": "value", "one": "one"}}
+    daily = {"Period": "Daily", "Grain": [], "Measures": {"n": ["sum", "one"], "top": ["max", "value"]}}
+    feed = lambda kind, **more: {"Namespace": "F", "Name": kind, "Base": "F.Base", "Abstract": False, "Table": kind, "Source": {"Kind": "events", "Type": kind}, "Aggregates": {f"{kind}_daily": daily}} | more
+    read = lambda spark, source: spark.read.parquet(f"{sf_dir}/events.parquet").where(F.col("event_type") == source["Type"]).withColumn("one", F.lit(1))
+    engine = Engine(Configuration([base, feed("click", MaximumDays=1, LateDays=1, DependsOn=["F.view"]), feed("view")]), Snapshots(spark, scratch(spark)), {"events": read})
+    assert engine.run() == engine.run() == ["F.view", "F.click"]
+    return union(*[engine.snapshots.read(f"{k}_daily").withColumn("feed", F.lit(k)) for k in ("click", "view")])
+
+
 # -- caches -----------------------------------------------------------------------------------------------------------------
 @made("cache_watermark", "with o as (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey desc) as r from orders) select o_custkey, o_orderkey, (select max(o_orderkey) from orders) as mark from o where r = 1")
 def cache_watermark(spark, sf_dir):

@@ -7,16 +7,21 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillon.model import EntityModel, EntityType
 from quillon.plans.columns import TYPE_NAME, BindError, ref
 
 
 class Catalog:
-    """Tables by name. A table is a DataFrame, a function of this catalog, or a Parquet file or folder under root."""
+    """Tables by name. A table is a DataFrame, a function of this catalog, or a Parquet file or folder under root.
 
-    def __init__(self, spark: SparkSession, root: str | None = None, tables: dict[str, DataFrame | Callable[[Catalog], DataFrame]] | None = None, shard_column: str | None = None):
-        self.spark, self.root, self.shard_column = spark, root, shard_column
+    schemas: those of tables under root that are known, so that planning a query reads no file."""
+
+    def __init__(
+        self, spark: SparkSession, root: str | None = None, tables: dict[str, DataFrame | Callable[[Catalog], DataFrame]] | None = None, shard_column: str | None = None, schemas: dict[str, StructType] | None = None
+    ):
+        self.spark, self.root, self.shard_column, self.schemas = spark, root, shard_column, schemas or {}
         self.tables: dict[str, DataFrame | Callable] = dict(tables or {})
         self.procedures: dict[str, Callable[..., DataFrame | list[DataFrame]]] = {}
 
@@ -25,7 +30,8 @@ class Catalog:
         if got is None:
             if self.root is None:
                 raise BindError(f"no table {name!r}")
-            got = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+            reader = self.spark.read.schema(self.schemas[name]) if name in self.schemas else self.spark.read
+            got = reader.parquet(f"{self.root}/{name}.parquet")
         df = got(self) if callable(got) else got
         if shards is not None and self.shard_column and self.shard_column in df.columns:
             df = df.where(ref(self.shard_column).isin(*shards))  # a partition column: other shards aren't listed
