@@ -80,6 +80,15 @@ class Udfs:
     def register(self, name: str, f: Callable[..., Column]) -> None:
         self.by_name[name.lower()] = f
 
+    def configure(self, config: dict[str, str]) -> None:
+        """A stored type's functions by configuration: Name, and the functions under AggregateFunction (rows to a value), Merge (values to
+        one), ToBinary and FromBinary, each the name of a registered function or of one of Spark's. They become name.aggregate and so on;
+        name.aggregate of a stored (binary) value merges."""
+        for key, own in (("AggregateFunction", "aggregate"), ("Merge", "aggregate@digest"), ("ToBinary", "tobinary"), ("FromBinary", "frombinary")):
+            if key in config:
+                f = self.get(config[key])
+                self.register(f"{config['Name']}.{own}", f or (lambda *args, name=config[key]: F.call_function(name, *args)))
+
     def get(self, name: str, digest: bool = False) -> Callable[..., Column] | None:
         """digest: whether the argument is a stored digest (binary), for which a function may have a form of its own."""
         return (self.by_name.get(f"{name.lower()}@digest") if digest else None) or self.by_name.get(name.lower())

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from quillon.api import Session, union
 from quillon.functions.memory import compiled
+from quillon.functions.scalar import Udfs
 from quillon.lang.parser import parse_url
 from quillon.lang.unparse import from_xml, to_xml
 from quillon.lang.unparse import url as written
@@ -478,3 +479,39 @@ def digest_merge(spark, sf_dir):
     near, mean = (F.col("mid") >= F.col("q")[0]) & (F.col("mid") <= F.col("q")[1]), F.abs(F.col("mean") - F.col("avg")) <= 0.05 * F.abs(F.col("avg"))
     return got.join(true, "c_nationkey").select("c_nationkey", "n", "lo", "hi", near.alias("near"), mean.alias("near_mean"))
 
+
+
+@made("digest_configured", "select c_nationkey, count(*) as n from orders join customer on o_custkey = c_custkey group by 1")
+def digest_configured(spark, sf_dir):
+    """A stored type whose functions a configuration names: aggregated for each customer, merged for each nation, and read."""
+    udfs = Udfs()
+    udfs.configure({"Name": "Sketch", "AggregateFunction": "kll_sketch_agg_double", "Merge": "kll_merge_agg_double", "FromBinary": "kll_sketch_get_n_double"})
+    first = Session(spark, star_model(), star_catalog(spark, sf_dir), udfs).query("/Orders?groupby=(o_custkey,Customer/c_nationkey)&aggregate=Sketch.aggregate(o_totalprice) with merge as d")
+    stored = first.withColumnRenamed("Customer_c_nationkey", "c_nationkey")
+    m = EntityModel()
+    m.entity("Digest", "digest", stored.schema, ("o_custkey",), "Digests")
+    got = Session(spark, m, Catalog(spark, tables={"digest": stored}), udfs).query("/Digests?groupby=(c_nationkey)&aggregate=Sketch.aggregate(d) with merge as d")
+    return got.select("c_nationkey", udfs.get("Sketch.frombinary")(F.col("d")).alias("n"))
+
+
+# -- levels and counts inside $expand ---------------------------------------------------------------------------------------
+@made(
+    "expand_levels",
+    "with n as (select p_partkey as id, p_partkey // 4 as parent from part) select a.id, count(distinct b.id) as kids, count(c.id) as grandkids from n a left join n b on b.parent = a.id left join n c on c.parent = b.id where a.id <= 6 group by 1",
+)
+def expand_levels(spark, sf_dir):
+    """A tree's nodes with two levels of what is below them."""
+    m = EntityModel()
+    m.entity("Node", "node", T.StructType([T.StructField("id", T.LongType()), T.StructField("parent", T.LongType())]), ("id",), "Nodes")
+    m.one("Node", "Parent", "Node", [("parent", "id")], "Children")
+    node = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.expr("p_partkey div 4").alias("parent"))
+    df = Session(spark, m, Catalog(spark, tables={"node": node})).query("/Nodes?$filter=id le 6&$expand=Children($levels=2)")
+    below = F.aggregate(F.transform("Children", lambda c: F.size(c["Children"])), F.lit(0), lambda a, x: a + x)
+    return df.select("id", F.size("Children").cast("long").alias("kids"), below.cast("long").alias("grandkids"))
+
+
+@made("expand_count", "select c_custkey, count(o_orderkey) as orders, least(count(o_orderkey), 2) as shown from customer left join orders on o_custkey = c_custkey and o_orderstatus = 'F' where c_custkey <= 50 group by 1")
+def expand_count(spark, sf_dir):
+    """How many targets there are beside the few that are given."""
+    df = star_session(spark, sf_dir).query("/Customers?$filter=c_custkey le 50&$select=c_custkey&$expand=Orders($filter=o_orderstatus eq 'F';$count=true;$top=2)")
+    return df.select("c_custkey", F.col("Orders@count").alias("orders"), F.size("Orders").cast("long").alias("shown"))
