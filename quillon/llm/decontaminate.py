@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -278,10 +279,10 @@ def segments(h: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
 _index: list[tuple[str, Index]] = []
 
 
-def index_of(name: str, items: list[tuple[int, str]]) -> Index:
-    """The worker's index of a block of the benchmark, kept for its next tasks."""
+def index_of(name: str, shared: Broadcast) -> Index:
+    """The worker's index of a broadcast block of the benchmark, kept for its next tasks."""
     if not _index or _index[0][0] != name:
-        _index[:] = [(name, Index(items))]
+        _index[:] = [(name, Index(shared.value))]
     return _index[0][1]
 
 
@@ -299,7 +300,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     out = None
     for block in blocks(benchmark, item_col, item_text):
         shared, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
-        found = common.per_document(picked, lambda shared=shared, name=name: finder(index_of(name, shared.value)), FOUND, ["doc_id", "text"])
+        found = common.per_document(picked, lambda shared=shared, name=name: finder(index_of(name, shared)), FOUND, ["doc_id", "text"])
         out = found if out is None else out.union(found)
     return out
 
@@ -338,7 +339,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def make(shared=shared, name=name):
-            index = index_of(name, shared.value)
+            index = index_of(name, shared)
             return lambda text: not index.found(normalised(text))
 
         docs = common.rows_where(docs, make, ["text"])
