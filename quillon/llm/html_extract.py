@@ -25,16 +25,18 @@ from quillon.llm import common
 #: all, if fewer have the path; never in one alone). Blocks that are more than OWN of their container's text aren't left out: such
 #: pages are near copies of each other. Up to BROADCAST bytes, all hosts' templates are broadcast.
 SHARE, LEAST, OWN, BROADCAST = 0.5, 3, 0.5, 32_000_000
+#: Hosts whose pages are kept apart from the rest where templates aren't broadcast.
+HOT = 1000
 
 # HTML's element groups, and words of class, id and role that name what isn't main text.
-RAW = "script|style|template|textarea|title|iframe|noscript|noembed|noframes|svg|math|select|object|audio|video|canvas"
+RAW = "script|style|template|textarea|title|iframe|noscript|noembed|noframes|svg|math|select|button|datalist|object|audio|video|canvas"
 CONTAINERS = frozenset("html body div section article main nav header footer aside form ul ol dl menu table tbody thead tfoot tr figure details dialog fieldset center".split())
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption address summary legend hr hgroup option search".split())
 VOID = frozenset("br img input meta link hr wbr area base col embed source track param".split())
 NOT_MAIN_TAGS = frozenset("nav footer aside form menu dialog head".split())
 NOT_MAIN_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 NOT_MAIN_WORDS = frozenset("nav navbar navigation menu menubar sidebar footer ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr notice notices banner popup modal overlay newsletter subscribe subscription signup login share sharing social breadcrumb breadcrumbs pagination pager related recommended widget comment comments disqus respond replies skip toolbar copyright masthead topbar".split())
-MODIFIERS = frozenset("has no not with without hide show enable enabled disabled open closed active".split())
+MODIFIERS = frozenset("has no not with without hide show enable enabled disabled open closed active visible hidden fixed sticky layout".split())
 ALWAYS_OTHERS = frozenset("comment comments disqus respond replies related recommended".split())
 
 TOKEN = re.compile(
@@ -49,9 +51,9 @@ PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Block(str):
-    """A block's text; tag: of the element it stands in, or empty."""
+    """A block's text; tag: of the element it stands in, or empty; other: whether that says by its names that it isn't main text."""
 
-    tag = ""
+    tag, other = "", False
 
 
 class Node:
@@ -112,18 +114,18 @@ def parsed(html: str | None) -> Node:
     stack, parts, linked, quiet = [root], [], 0, 0
     opened: dict[str, int] = {}  # containers in the stack by tag
     in_link = False
-    data, at, kind = html or "", 0, ""
+    data, at, kind, other = html or "", 0, "", False
 
-    def flush(then: str = ""):
-        nonlocal linked, kind
+    def flush(then: str = "", then_other: bool = False):
+        nonlocal linked, kind, other
         if parts:
             block = Block(" ".join(entities.unescape("".join(parts)).split()))
             parts.clear()
             if block:
-                block.tag = kind
+                block.tag, block.other = kind, other
                 stack[-1].kids.append(block)
                 stack[-1].links += min(linked, len(block))
-        linked, kind = 0, then
+        linked, kind, other = 0, then, then_other
 
     for m in TOKEN.finditer(data):
         start = m.start()
@@ -169,7 +171,8 @@ def parsed(html: str | None) -> Node:
             stack.append(node)
             opened[tag] = opened.get(tag, 0) + 1
         elif tag in BLOCKS:
-            flush(tag)
+            _, words, hidden = described(tag, own)
+            flush(tag, hidden or bool(words & NOT_MAIN_WORDS))
         elif tag == "br":
             parts.append(" ")
         elif tag == "a":
@@ -306,7 +309,8 @@ def main_text(tree: Node, template: frozenset[int] | None) -> str:
             if id(k) in fixed:
                 continue
             if type(k) is Block:
-                out.append(k)
+                if loose or not k.other:
+                    out.append(k)
             elif not not_main(k, inside, loose):
                 if not inside and k.tag in ("ul", "ol", "table", "div") and (n := lengths[id(k)])[0] and n[1] > 0.6 * (n[0] - 1):
                     continue  # a list of links
@@ -382,6 +386,21 @@ def templates(pages: DataFrame, path: str) -> DataFrame:
     return most.groupBy("host").agg(F.collect_set("text").alias("template"))
 
 
+def with_template(pages: DataFrame, found: DataFrame, path: str) -> DataFrame:
+    """pages with their host's template or null. Templates are broadcast if they are few enough; else those of the HOT hosts with
+    most pages are, so that no task gets a large host's pages, and the others are joined by sorting."""
+
+    def few(t: DataFrame) -> bool:
+        return (t.agg(F.sum(F.size("template") * 8 + F.length("host")).alias("n")).first()["n"] or 0) <= BROADCAST
+
+    if few(found):
+        return pages.join(F.broadcast(found), "host", "left")
+    hosts = common.stored(pages.groupBy("host").count().orderBy(F.desc("count"), "host").limit(HOT).select("host"), f"{path}/hot")
+    hot = common.stored(found.join(F.broadcast(hosts), "host", "left_semi"), f"{path}/hot_templates")
+    large = pages.join(F.broadcast(hosts), "host", "left_semi").join(F.broadcast(hot) if few(hot) else hot.hint("merge"), "host", "left")
+    return large.unionByName(pages.join(F.broadcast(hosts), "host", "left_anti").join(found.hint("merge"), "host", "left"))
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars, a row per input row.
 
@@ -396,8 +415,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     shared = common.shared_dir(spark)
     found = common.stored(templates(given.where("host <> ''"), f"{shared}/marks"), f"{shared}/templates")
     common.dropped(spark, f"{shared}/marks")
-    size = found.agg(F.sum(F.size("template") * 8 + F.length("host")).alias("n")).first()["n"] or 0
-    joined = given.join(F.broadcast(found) if size <= BROADCAST else found.hint("merge"), "host", "left")
+    joined = with_template(given, found, shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
