@@ -1,6 +1,7 @@
 """Operator 4, exact dedup by content-defined chunk recipes. DataFrame functions only: no Python runs on executors.
 
-A text without its ASCII white space is cut where its own characters say so, never at fixed offsets. A chunk's
+A text without its ASCII white space is cut where its own characters say so, letters and digits of any common script; only
+where MOST characters have no boundary is it cut at their end. A chunk's
 identifier is a 64-bit hash; identifiers are verified by comparing the SHA-256 digests of all chunks that carry them,
 and one that stands for several contents is told apart by the digest. Two texts are equal when their ordered identifier
 lists are. Long texts are read once and never shuffled: only identifiers move.
@@ -13,11 +14,20 @@ from pyspark.sql import functions as F
 
 from quillon.llm import common
 
-#: Chunks have LEAST to MOST characters and end after a boundary of three character classes where there is one.
+#: Chunks have LEAST to MOST characters and end after a boundary of character classes where there is one.
 LEAST, MOST = 256, 2048
-BOUNDARY = r"(?<=[aeiou][n-t][a-i])"
+#: Scripts beyond ASCII as (first, last, step, width): of every step characters, width are of the first class and the next width of the
+#: second, so that both hold like shares of alphabets, syllables and ideographs.
+SCRIPTS = ((0x00C0, 0x0FFF, 0x20, 0x08), (0x3040, 0x30FF, 0x20, 0x08), (0x4E00, 0x9FFF, 0x800, 0x200), (0xAC00, 0xD7A3, 0x400, 0x100))
+
+
+def _beyond_ascii(place: int) -> str:
+    return "".join(rf"\x{{{a + place * width:X}}}-\x{{{a + place * width + width - 1:X}}}" for first, last, step, width in SCRIPTS for a in range(first, last, step))
+
+
+BOUNDARY = rf"(?:(?<=[aeiouAEIOU0-3][n-tN-T4-7][a-iA-I2-5])|(?<=[^\x00-\x7F])(?<=[{_beyond_ascii(0)}][{_beyond_ascii(1)}]))"
 CHUNK = rf"(?s).{{{LEAST},{MOST}}}?{BOUNDARY}|.{{1,{MOST}}}"
-#: A group's rows are dealt to so many parts, so that no task gets a hot group whole.
+#: A group's rows are dealt to so many parts, or as many as there are shuffle partitions, so that no task gets a hot group whole.
 SALTS = 64
 
 
@@ -55,12 +65,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         base = base.join(mended, same, "left").select("doc_id", "n_cp", "sha", "ids", "mend")
         key = ["ids", "mend"]
     recipe = F.struct(*key).alias("recipe")
-    rows = base.select("doc_id", "n_cp", "sha", recipe, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    best = F.max(F.struct("n_cp", (-F.col("doc_id")).alias("neg")))
+    salts = max(SALTS, common.shuffle_partitions(spark))
+    rows = base.select("doc_id", "n_cp", "sha", recipe, F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"))
+    best = F.max(F.struct("n_cp", F.bitwise_not("doc_id").alias("neg")))  # falls as doc_id grows, and never overflows
     parts = rows.groupBy("recipe", "salt").agg(F.count("*").alias("n"), best.alias("best"))
     whole = parts.groupBy("recipe").agg(F.sum("n").alias("group_size"), F.max("best").alias("best"))
     by_part = parts.select("recipe", "salt").join(whole, "recipe")
-    keep = -F.col("best.neg")
+    keep = F.bitwise_not(F.col("best.neg"))
     return rows.join(by_part, ["recipe", "salt"]).select(
         "doc_id", keep.alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256")
     )
