@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -21,10 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir. Only where that is unset (tests, a single machine) is a temporary one set."""
+    """A fresh folder under spark.checkpoint.dir. Only where that is unset and all of Spark is one process (tests) is a temporary one
+    set; on a cluster a folder of one machine would lose data, so that is an error."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_quillon_dir", None)
     if not base:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = sc._quillon_dir = "file://" + tempfile.mkdtemp(prefix=f"{PACKAGE}-")
     return f"{base.rstrip('/')}/{PACKAGE}-{uuid.uuid4().hex}"
 
@@ -105,6 +109,19 @@ def rows_where(df: DataFrame, make: Callable[[], Callable], columns: list[str])
     return df.mapInArrow(run, df.schema)
 
 
+def apart(spans: list[tuple[str, int, int]], base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Of spans (kind, start, end) those that overlap none of base's: base is sorted and united once, and each span looked up in it."""
+    starts, ends = [], []
+    for _, a, e in sorted(base, key=lambda s: s[1]):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(a)
+            ends.append(e)
+    at = lambda a: bisect_right(ends, a)  # noqa: E731  the first that ends after a
+    return [s for s in spans if (k := at(s[1])) == len(ends) or starts[k] >= s[2]]
+
+
 def grouped_stream(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Groups of consecutive rows with equal keys, out of batches sorted by them; a group may span batches."""
     open_parts: list[pa.RecordBatch] = []
@@ -126,6 +143,22 @@ def grouped_stream(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterat
         yield pa.Table.from_batches(open_parts)
 
 
+#: Edges up to which their vertices' least neighbours are broadcast; beyond it only those of the vertices with most edges are, which are
+#: HOT at most.
+BROADCAST_EDGES, HOT = 2_000_000, 200_000
+
+
+def with_least(edges: DataFrame, n: int, path: str) -> DataFrame:
+    """Edges (a, b), n of them at most, with m, the least b of each a. No task gets all edges of a vertex that has many."""
+    if n <= BROADCAST_EDGES:
+        return edges.join(F.broadcast(edges.groupBy("a").agg(F.min("b").alias("m"))), "a")
+    edges = stored(edges, f"{path}-edges")
+    least = stored(edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("edges")), f"{path}-least")
+    hot = F.broadcast(least.where(F.col("edges") * HOT >= n).select("a", "m"))
+    rest = edges.join(hot, "a", "left_anti").join(least.select("a", "m").hint("merge"), "a")
+    return edges.join(hot, "a").unionByName(rest)
+
+
 def connected(edges: DataFrame, path: str) -> DataFrame:
     """Connected components of edges (a, b): returns (id, root) for every id that is not the least of its component.
 
@@ -136,15 +169,14 @@ def connected(edges: DataFrame, path: str) -> DataFrame:
     star = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{path}/cc0")
     before, step = sums(star), 0
     while before["n"]:
-        both = star.union(star.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        lesser = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lesser, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         step += 1
+        both = with_least(star.union(star.select("b", "a")), 2 * before["n"], f"{path}/large{step}")
+        large = both.where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct()
+        small = with_least(large, 2 * before["n"], f"{path}/small{step}").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         star = stored(small.where("a <> b").distinct(), f"{path}/cc{step}")
         after = sums(star)
-        dropped(star.sparkSession, f"{path}/cc{step - 1}")
+        for name in (f"cc{step - 1}", *(f"{half}{step}-{kind}" for half in ("large", "small") for kind in ("edges", "least") if before["n"] * 2 > BROADCAST_EDGES)):
+            dropped(star.sparkSession, f"{path}/{name}")
         if after == before:
             break
         before = after

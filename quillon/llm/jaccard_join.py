@@ -369,19 +369,40 @@ def jaccard_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100,
     """doc_id, n_shingles, component_id, a row per input row; component_id is the least doc_id reachable by links.
 
     Null, empty and blank texts have the empty set and link with nothing. A text of fewer words than width has one shingle. Rows
-    with a null doc_id get a null component_id. Rows that repeat a doc_id are one document: what any of them links with, all do.
+    with a null doc_id get a null component_id. Rows that repeat a doc_id are one document: what any of them links with, all do;
+    where there are such rows, all rows get numbers of their own, in the order of doc_id, and those of one doc_id are linked.
     Other columns are ignored; an empty table gives an empty result. Texts of any length are taken whole.
     """
-    with common.batch_rows(docs.sparkSession, 1000):
-        return _jaccard_join(docs, width, num, den, id_col, text_col)
-
-
-def _jaccard_join(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     common.ship(spark)
-    ws, n_parts = common.shared_dir(spark), common.shuffle_partitions(spark)
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    known = given.where("doc_id is not null")
+    known, without = given.where("doc_id is not null"), given.where("doc_id is null")
+
+    def sized(batches):
+        shingle = Shingler(width)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(shingle(t)) for t in b.column(1).to_pylist()], pa.int64()), pa.nulls(b.num_rows, pa.int64())], ["doc_id", "n_shingles", "component_id"])
+
+    with common.batch_rows(spark, 1000):
+        if known.groupBy("doc_id").count().where("count > 1").isEmpty():
+            out = _joined(known, width, num, den)
+        else:
+            path = common.shared_dir(spark)
+            rows = known.repartitionByRange(common.shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id").withColumn("row", F.monotonically_increasing_id())
+            rows = common.stored(rows, f"{path}/rows")
+            first = common.stored(rows.groupBy("doc_id").agg(F.min("row").alias("b")), f"{path}/first")
+            same = rows.select("doc_id", F.col("row").alias("a")).join(first, "doc_id").where("a <> b").select("a", "b")
+            out = _joined(rows.select(F.col("row").alias("doc_id"), "text"), width, num, den, same)
+            own, root = rows.select(F.col("row").alias("own"), F.col("doc_id").alias("id")), rows.select(F.col("row").alias("root"), F.col("doc_id").alias("root_id"))
+            out = out.join(own, F.col("doc_id") == F.col("own")).join(root, F.col("component_id") == F.col("root"))
+            out = out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("root_id").alias("component_id"))
+        return out.unionByName(without.mapInArrow(sized, "doc_id long, n_shingles long, component_id long"))
+
+
+def _joined(known: DataFrame, width: int, num: int, den: int, same: DataFrame | None = None) -> DataFrame:
+    """jaccard_join of rows with distinct doc_ids that aren't null; same: links (a, b) that hold whatever the texts."""
+    spark = known.sparkSession
+    ws, n_parts = common.shared_dir(spark), common.shuffle_partitions(spark)
     bits = max(6, min(20, (16 * n_parts - 1).bit_length()))
     packed = keyed(known, width, num, den, bits).repartition(n_parts, "bucket").sortWithinPartitions("bucket")
     packed.mapInArrow(met, GOT).write.partitionBy("kind").parquet(f"{ws}/met")
@@ -396,30 +417,30 @@ def _jaccard_join(docs: DataFrame, width: int, num: int, den: int, id_col: str,
     whole = parts.groupBy("h1", "h2").agg(F.min("rep").alias("rep"))
     reps = full.join(parts.select("h1", "h2", "salt").join(whole, ["h1", "h2"]), ["h1", "h2", "salt"])
     reps = common.stored(reps.select("doc_id", "n", "h1", "rep").union(about.where("n = 0").select("doc_id", "n", "h1", F.col("doc_id").alias("rep"))), f"{ws}/reps")
-    of = reps.where("n > 0").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"))
-    twice = of.where("rep <> last").select("doc_id", F.col("rep").alias("least")).join(reps, "doc_id").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
-    to = lambda c: of.select(F.col("doc_id").alias(c), F.col("rep").alias(f"{c}_rep"))
+    to = lambda c: reps.select(F.col("doc_id").alias(c), F.col("rep").alias(f"{c}_rep"))
+    # Tables that are joined on a hub are stored first, so that Spark can split a hub's rows over tasks (skewed joins of AQE).
 
     # Groups around hubs, of classes. A document leaves the groups of its most common keys, as many as it can spare.
     own = across.select("doc", "bit", "level", "n").union(within.select("doc", "bit", F.lit(LEVELS).cast("long"), "n"))
     own = own.groupBy("doc", "bit").agg(*[F.sum(F.when(F.col("level") >= k, F.col("n")).otherwise(0)).alias(f"from{k}") for k in range(1, LEVELS + 1)])
-    spare = about.where("n > 0").groupBy("doc_id").agg(F.min("spare0").alias("spare0"), F.min("spare1").alias("spare1"))
+    spare = about.where("n > 0").select("doc_id", "spare0", "spare1")
     own = own.join(spare, own["doc"] == spare["doc_id"]).withColumn("spare", F.expr("if(bit = 0, spare0, spare1)"))
     below = F.lit(LEVELS + 1)
     for k in range(LEVELS, 0, -1):
         below = F.when(F.col(f"from{k}") <= F.col("spare"), k).otherwise(below)
     keeps = common.stored(own.select("doc", "bit", below.alias("below")).where("below > 1"), f"{ws}/keeps")
     up = across.where(f"level = {LEVELS} and hub <> doc").select(F.col("hub").alias("above"), F.col("doc").alias("hub"), "bit").distinct()
+    up = common.stored(up, f"{ws}/up")
     local = within.join(keeps.where(f"below > {LEVELS}"), ["doc", "bit"]).select("hub", "doc", "bit")
     near = across.join(keeps, ["doc", "bit"]).where("level < below").select("hub", "doc")
     near = near.union(local.select("hub", "doc")).union(local.join(up, ["hub", "bit"]).select("above", "doc")).distinct()
     near = near.join(to("hub"), "hub").join(to("doc"), "doc").select(F.col("hub_rep").alias("hub"), F.col("doc_rep").alias("doc")).distinct()
     near = common.stored(near, f"{ws}/near")
     # A group whose members all are in the group of its hub's least hub adds nothing.
-    above = near.where("hub < doc").groupBy("doc").agg(F.min("hub").alias("up")).withColumnRenamed("doc", "hub")
+    above = common.stored(near.where("hub < doc").groupBy("doc").agg(F.min("hub").alias("up")).withColumnRenamed("doc", "hub"), f"{ws}/above")
     inside = near.join(above, "hub").join(near.withColumnRenamed("hub", "up"), ["up", "doc"], "left_semi").groupBy("hub").count()
     members_in_all = near.groupBy("hub").agg(F.count("*").alias("members"))
-    needless = inside.join(members_in_all, "hub").where("count = members").select("hub")
+    needless = common.stored(inside.join(members_in_all, "hub").where("count = members").select("hub"), f"{ws}/needless")
     near = common.stored(near.join(needless, "hub", "left_anti"), f"{ws}/own")
     facts = reps.where("doc_id = rep").select(F.col("rep").alias("doc"), "n", "h1").distinct()
     members = near.join(facts, "doc")
@@ -430,7 +451,7 @@ def _jaccard_join(docs: DataFrame, width: int, num: int, den: int, id_col: str,
     members = members.join(shares.select("hub", "salt").join(sizes, "hub"), ["hub", "salt"]).drop("salt")
     members = common.stored(members, f"{ws}/members")
 
-    for name in ("met", "keeps", "near", "own", "grouped"):
+    for name in ("met", "keeps", "near", "up", "above", "needless", "own", "grouped"):
         common.dropped(spark, f"{ws}/{name}")
 
     def tokenised(batches):
@@ -453,31 +474,32 @@ def _jaccard_join(docs: DataFrame, width: int, num: int, den: int, id_col: str,
 
     own_block = F.when(F.col("hub") == F.col("doc"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")))
     dealt = members.select("hub", "doc", "h1", F.explode(own_block).alias("block"), F.lit(0).alias("other"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("label"))
-    links = walk(dealt, "links").union(twice)
+    links = walk(dealt, "links")
+    if same is not None:
+        links = links.union(same.join(to("a"), "a").join(to("b"), "b").select("a_rep", "b_rep"))
     large = members.where("blocks > 1")
     if not large.isEmpty():  # sets outside the main component of a group of several blocks
         roots = common.connected(links, f"{ws}/first")
         placed = large.join(roots.withColumnRenamed("id", "doc"), "doc", "left").select("hub", "doc", "h1", "n", "blocks", F.coalesce("root", "doc").alias("label"))
         placed = common.stored(placed, f"{ws}/placed")
-        main = placed.groupBy("hub", "label").count().groupBy("hub").agg(F.max_by("label", "count").alias("main"))
+        main = stored_few(placed.groupBy("hub", "label").count().groupBy("hub").agg(F.max_by("label", "count").alias("main")), f"{ws}/main")
         rest = placed.join(main, "hub").where("label <> main").drop("main")
         much = rest.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("others"))
+        much = stored_few(much, f"{ws}/much")
         block, other = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("doc", F.lit(1)), F.col("others")).cast("int")
         all_ = placed.join(much, "hub").select("hub", "doc", "h1", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"), F.lit(0).alias("side"), "label")
         few = rest.join(much, "hub").select("hub", "doc", "h1", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), other.alias("other"), F.lit(1).alias("side"), "label")
         links = links.union(walk(all_.unionByName(few), "more"))
     roots = common.connected(links, f"{ws}/last")
-    for name in ("members", "wanted", "sets", "links", "first", "placed", "more"):
+    for name in ("members", "wanted", "sets", "links", "first", "placed", "main", "much", "more"):
         common.dropped(spark, f"{ws}/{name}")
-    out = reps.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
-    without = given.where("doc_id is null").select("doc_id", "text")
+    return reps.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
 
-    def sized(batches):
-        shingle = Shingler(width)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(shingle(t)) for t in b.column(1).to_pylist()], pa.int64()), pa.nulls(b.num_rows, pa.int64())], ["doc_id", "n_shingles", "component_id"])
 
-    return out.unionByName(without.mapInArrow(sized, "doc_id long, n_shingles long, component_id long"))
+def stored_few(table: DataFrame, path: str) -> DataFrame:
+    """A table of large groups, one row for each: stored, and broadcast if it has no more than BROADCAST_IDS rows."""
+    table = common.stored(table, path)
+    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table.hint("merge")
 
 
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
