@@ -29,9 +29,10 @@ KINDS = {"assign": 0, "access": 1, "hex": 2, "crf": 3}
 KEYWORDS = {"password", "passwd", "pwd", "secret", "token", "key", "apikey", "api_key", "auth", "bearer", "credential", "credentials", "access_key", "secret_key", "access_token", "private_key", "authorization"}
 PREFIXES = ("AKIA", "ghp_", "gho_", "sk-", "xox", "eyJ", "glpat-", "AIza")
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]+|\S")
-#: Neighbours that a token's score looks at, the sampled documents whose lines are trained on, a found secret's least length.
-OFFSETS = (-3, -2, -1, 0, 1)
-SAMPLE_DOCS, LEAST = 200, 8
+#: Neighbours that a token's score looks at, a found secret's least length.
+OFFSETS, LEAST = (-3, -2, -1, 0, 1), 8
+#: Bounds of what is trained on: sampled documents, distinct lines of them, words and characters of a line, tokens of a sequence.
+SAMPLE_DOCS, SAMPLE_LINES, LINE_WORDS, LINE_CHARS, MOST_TOKENS = 200, 600, 20, 400, 48
 O, B, I = 0, 1, 2
 
 
@@ -189,7 +190,7 @@ def generated(rng: np.random.Generator, lines: list[str], n: int = 1200) -> list
 def fit(lines: list[str], epochs: int = 12, batch: int = 64, seed: int = 11) -> Field:
     """Maximum likelihood by AdaGrad with a small L2 penalty; forward-backward runs over padded batches."""
     rng = np.random.default_rng(seed)
-    data = [d for d in generated(rng, lines) if 0 < len(d[0]) <= 48]
+    data = [d for d in generated(rng, lines) if 0 < len(d[0]) <= MOST_TOKENS]
     names: dict[tuple[int, str], int] = {}
     rows = []
     for tokens, tags, file in data:
@@ -258,12 +259,19 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field:
-    """A field trained on generated lines and on the prose lines of at most sample_docs documents, drawn by a hash of doc_id."""
+    """A field trained on generated lines and on prose lines of at most sample_docs documents, drawn by a hash of doc_id.
+
+    Prose lines have no digit, colon, equals or at sign. Of all that the sampled documents have, SAMPLE_LINES distinct ones are
+    drawn by a hash of the line and cut to LINE_WORDS words and LINE_CHARS characters; no more than these reach the driver.
+    """
     ids = docs.where(F.length("text") > 0).select("doc_id", F.xxhash64("doc_id", F.lit("secrets")).alias("u")).orderBy("u", "doc_id").limit(sample_docs)
     ids = [r["doc_id"] for r in ids.collect() if r["doc_id"] is not None]  # the ids first: a sorted limit of texts would send many to the driver
-    lines = [line for r in docs.where(F.col("doc_id").isin(ids)).select("doc_id", "text").orderBy("doc_id", "text").collect() for line in (r["text"] or "").split("\n")] if ids else []
-    prose = [" ".join(line.split()[:20]) for line in lines if line.strip() and not re.search(r"[0-9=:@]", line)]
-    return fit(prose[:600])
+    if not ids:
+        return fit([])
+    lines = docs.where(F.col("doc_id").isin(ids)).select(F.explode(F.split("text", "\n")).alias("line")).where(~F.col("line").rlike("[0-9=:@]"))
+    lines = lines.select(F.substring(F.array_join(F.slice(F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " "), 1, LINE_WORDS), " "), 1, LINE_CHARS).alias("line"))
+    drawn = lines.where("line <> ''").distinct().orderBy(F.xxhash64("line"), "line").limit(SAMPLE_LINES)
+    return fit([r["line"] for r in drawn.collect()])
 
 
 SCANNED = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
@@ -287,7 +295,7 @@ def secret_scan(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col:
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 base = base_spans(text or "")
-                found = [("crf", a, e) for a, e in own.spans(text or "") if not any(a < y and x < e for _, x, y in base)]
+                found = common.apart([("crf", a, e) for a, e in own.spans(text or "")], base)
                 count = [sum(k == kind for k, _, _ in base) for kind in ("assign", "access", "hex")]
                 rows.append((doc, *count, hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + found)))
             types = [pa.int64()] * 4 + [pa.string()] * 2
