@@ -333,7 +333,7 @@ def personal_data(docs: DataFrame, network: Network, id_col: str = "doc_id", tex
             rows = []
             for k, (doc, text) in enumerate(zip(b.column(0).to_pylist(), texts, strict=True)):
                 base = base_spans(text)
-                more = [(f"net-{kind}", a, e) for kind, a, e in found.get(k, ()) if not any(a < y and x < e for _, x, y in base)]
+                more = common.apart([(f"net-{kind}", a, e) for kind, a, e in found.get(k, ())], base)
                 rows.append((doc, *(sum(s[0] == kind for s in base) for kind in KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + more)))
             types = [pa.int64()] * 5 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [c.split()[0] for c in SCANNED.split(", ")])
