@@ -44,11 +44,32 @@ TEMPLATES = {
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "cc-by-sa": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "cc-by-nd": ["This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "cc-by-nc-sa": ["This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "cc-by-nc-nd": ["This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."],
+    "cc0": ["To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty."],
+    "agpl-3": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    ],
+    "bsd-2": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED",
+    ],
+    "boost": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so",
+    ],
+    "zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    ],
+    "epl-2": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
+    "ofl": ["This Font Software is licensed under the SIL Open Font License, Version 1.1."],
+    "eupl": ["Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission - subsequent versions of the EUPL"],
+    "wtfpl": ["Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed."],
 }
 
 #: Words of the shortest stretch that counts, the share of a template's words that gives its label, and the most words of
-#: the file between two stretches of one chain.
-LEAST, COVER, GAP = 3, 0.8, 12
+#: the file between two stretches of one chain; the share of a chain's words that another label's chain must have to beat it.
+LEAST, COVER, GAP, SAME = 3, 0.8, 12, 0.8
 #: What parts words: A-Z become a-z, other ASCII than 0-9 and a-z becomes a blank.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -58,23 +79,22 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Automaton:
-    """Generalised suffix automaton over templates' word numbers; first: a template and end where a state's longest stretch occurs."""
+    """Generalised suffix automaton over templates' word numbers; ends: the templates and places in them where a state's stretches end."""
 
     def __init__(self, templates: list[list[int]]):
-        self.next, self.link, self.length, self.ends = [{}], [-1], [0], [[]]
+        self.next, self.link, self.length, self.own = [{}], [-1], [0], [[]]
         for k, t in enumerate(templates):
             last = 0
             for at, c in enumerate(t):
                 last = self._add(last, c)
-                self.ends[last].append((k, at + 1))
-        for s in sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True):
-            self.ends[self.link[s]] += [e for e in self.ends[s] if self.link[s]]
+                self.own[last].append((k, at + 1))
+        self.ends = Ends(self)
 
     def _state(self, length: int, nxt: dict, link: int) -> int:
         self.next.append(nxt)
         self.link.append(link)
         self.length.append(length)
-        self.ends.append([])
+        self.own.append([])
         return len(self.length) - 1
 
     def _split(self, p: int, q: int, c: int) -> int:
@@ -119,6 +139,33 @@ class Automaton:
             yield at + len(ids), n, state
 
 
+class Ends(dict):
+    """A state's ends are its own and those of all states that link to it. They are gathered for the states that files reach, and as
+    many as MOST are kept, so that the automaton stays linear in its templates."""
+
+    MOST = 1_000_000
+
+    def __init__(self, automaton: Automaton):
+        super().__init__()
+        self.below: list[list[int]] = [[] for _ in automaton.link]
+        for s, up in enumerate(automaton.link):
+            if up > 0:
+                self.below[up].append(s)
+        self.own, self.n = automaton.own, 0
+
+    def __missing__(self, state: int) -> list[tuple[int, int]]:
+        out, todo = [], [state]
+        while todo:
+            s = todo.pop()
+            out += self.own[s]
+            todo += self.below[s]
+        if self.n + len(out) > self.MOST:
+            self.clear()
+            self.n = 0
+        self[state], self.n = out, self.n + len(out)
+        return out
+
+
 class Scanner:
     def __init__(self, templates: dict[str, list[str]] | None = None, phrases: dict[str, str] | None = None):
         self.own = [(label, words(t)) for label, ts in (TEMPLATES if templates is None else templates).items() for t in ts]
@@ -145,7 +192,8 @@ class Scanner:
         return sorted(out)
 
     def spans(self, ws: list[bytes]) -> list[tuple[str, int, int, float]]:
-        """(label, start word, end word, share of the template covered) of every chain that covers COVER of a template."""
+        """(label, start word, end word, share of the template covered) of every chain that covers COVER of a template; of chains of
+        two labels over the same words, only the one that covers more words."""
         ids = list(map(self.number.get, ws))
         by: dict[int, list[tuple[int, int, int]]] = {}
         at, n = 0, len(ids)
@@ -181,8 +229,19 @@ class Scanner:
                         spans[-1] = [min(start, spans[-1][0]), max(f + length, spans[-1][1]), max(cover, spans[-1][2])]
                     else:
                         spans.append([start, f + length, cover])
-            out += [(label, s, e, min(1.0, c / len(t))) for s, e, c in spans]
-        return sorted(out, key=lambda x: (x[1], x[2], x[0]))
+            out += [(label, s, e, min(1.0, c / len(t)), c) for s, e, c in spans]
+        out.sort(key=lambda x: (x[1], x[2], x[0]))
+        beaten = set()
+        for i, (label, s, e, _, c) in enumerate(out):
+            for j in range(i + 1, len(out)):
+                label2, s2, e2, _, c2 = out[j]
+                if s2 >= e:
+                    break
+                if label2 != label and c2 != c:
+                    less = i if c < c2 else j
+                    if min(e, e2) - s2 >= SAME * (out[less][2] - out[less][1]):
+                        beaten.add(less)
+        return [x[:4] for k, x in enumerate(out) if k not in beaten]
 
 
 SCANNED = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string"
