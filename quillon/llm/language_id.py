@@ -1,8 +1,9 @@
 """Operator 10, language identification by sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Training uses a bounded sample of labelled documents (PER_LANG for each language; a documented parameter) and
-follow-the-regularised-leader with an elastic net; a temperature is then fitted on sampled documents that training did
-not see. Document frequencies come from all documents of the training fold. Prediction reads whole texts.
+Training uses a bounded sample of labelled documents (PER_LANG for each language; a documented parameter), of which the driver
+gets n-gram counts and no texts, and follow-the-regularised-leader with an elastic net; a temperature is then fitted on sampled
+documents that training did not see. Document frequencies come from all documents of the training fold. The weights that
+aren't zero go to tasks; if they are over BROADCAST bytes, training is repeated with a doubled l1. Prediction reads whole texts.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +24,9 @@ DIM, ORDERS, PER_LANG = 1 << 16, 3, 500
 STEP = 1 << 20
 #: More distinct labels than this are not languages: such a table is refused.
 MOST_LANGS = 1000
-LETTER = re.compile(r"[^\W\d_]")
+#: Bytes of weights that are broadcast, and the elastic net's penalties.
+BROADCAST, L1, L2 = 64_000_000, 1e-3, 1e-6
+ALNUM = re.compile(r"[^\W\d_]")
 MULTS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -32,6 +34,11 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
+def lettered(text: str) -> bool:
+    """Whether a text has a letter, that is, a character of a Unicode category L*; numerals, fractions and superscripts are none."""
+    return any(m.group().isalpha() for m in ALNUM.finditer(text))
+
+
 def codes(text: str) -> np.ndarray:
     return np.frombuffer((" " + " ".join(text.lower().split()) + " ").encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
 
@@ -56,22 +63,34 @@ def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """weights: DIM x languages, with the inverse document frequencies multiplied in; bias; temperature."""
+    """Sparse weights, with the inverse document frequencies multiplied in: of column c the languages lang[at[c]:at[c + 1]] and their
+    weights; bias; temperature."""
 
     def __init__(self, langs: list[str], weights: np.ndarray, bias: np.ndarray, temperature: float):
-        self.langs, self.weights, self.bias, self.temperature = langs, weights.astype(np.float32), bias, temperature
+        """weights: DIM x languages, as training has them."""
+        self.langs, self.bias, self.temperature = langs, bias, temperature
+        cols, lang = np.nonzero(weights)
+        self.lang, self.value = lang.astype(np.int16), weights[cols, lang].astype(np.float32)
+        self.at = np.searchsorted(cols, np.arange(DIM + 1)).astype(np.int64)
+
+    def size(self) -> int:
+        return self.lang.nbytes + self.value.nbytes + self.at.nbytes
 
     def logits(self, text: str) -> np.ndarray:
         x, total, n = codes(text), np.zeros(len(self.langs)), 0
         for at in range(0, len(x), STEP):
             part = x[at : at + STEP + ORDERS - 1]
             for cols in grams(part):
-                total += self.weights[cols].sum(0, dtype=np.float64)
+                start = self.at[cols]
+                size = self.at[cols + 1] - start
+                ends = np.cumsum(size)
+                k = np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+                total += np.bincount(self.lang[k], weights=self.value[k], minlength=len(total))
                 n += len(cols)
         return (total / max(n, 1) + self.bias) / self.temperature
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs or not LETTER.search(text):
+        if not text or not self.langs or not lettered(text):
             return "und", 0.0
         z = self.logits(text)
         p = np.exp(z - z.max())
@@ -103,26 +122,25 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return df, int(rows.n[rows.col < 0].sum())
 
 
-def fit(sample: pd.DataFrame, df: np.ndarray, n_docs: int, epochs: int = 4, alpha: float = 2.0, beta: float = 1.0, l1: float = 1e-5, l2: float = 1e-6) -> Model:
-    """FTRL-proximal on the sample's text and lang; every fifth row is kept back to fit the temperature."""
-    langs = sorted(sample.lang.unique())
+def fit(sample: list[tuple[np.ndarray, np.ndarray, str]], df: np.ndarray, n_docs: int, epochs: int = 4, alpha: float = 2.0, beta: float = 1.0, l1: float = L1, l2: float = L2) -> Model:
+    """FTRL-proximal on the sample's (columns, frequencies, lang); every fifth row is kept back to fit the temperature."""
+    langs = sorted({x[2] for x in sample})
     if not langs:
         return Model([], np.zeros((DIM, 0)), np.zeros(0), 1.0)
     idf = np.log((1 + n_docs) / (1 + df)) + 1
-    rows = []
-    for text, lang in zip(sample.text, sample.lang, strict=True):
-        cols, tf = counts(text)
-        v = tf * idf[cols]
-        rows.append((cols, v, langs.index(lang)))
+    number = {x: k for k, x in enumerate(langs)}
+    rows = [(cols, tf * idf[cols], number[lang]) for cols, tf, lang in sample]
     rng = np.random.default_rng(7)
     order = rng.permutation(len(rows))
     held, train = order[::5], np.array([k for i, k in enumerate(order) if i % 5]) if len(rows) > 5 else order
-    width = DIM + 1  # the last row is the bias
+    width = DIM + 1  # the last row is the bias, which has no penalty
     z, n = np.zeros((width, len(langs))), np.zeros((width, len(langs)))
+    penalty = np.full((width, 1), l1)
+    penalty[DIM] = 0
 
     def weight(cols):
-        zc, nc = z[cols], n[cols]
-        return np.where(np.abs(zc) <= l1, 0, -(zc - np.sign(zc) * l1) / ((beta + np.sqrt(nc)) / alpha + l2))
+        zc, nc, own = z[cols], n[cols], penalty[cols]
+        return np.where(np.abs(zc) <= own, 0, -(zc - np.sign(zc) * own) / ((beta + np.sqrt(nc)) / alpha + l2))
 
     for _ in range(epochs):
         for k in rng.permutation(train):
@@ -139,19 +157,35 @@ def fit(sample: pd.DataFrame, df: np.ndarray, n_docs: int, epochs: int = 4, alph
             n[cols] += g * g
     w = weight(np.arange(width))
     model = Model(langs, w[:DIM] * idf[:, None], w[DIM], 1.0)
-    kept = [k for k in (held if len(rows) > 5 else order)]
+    if model.size() - model.at.nbytes > BROADCAST:
+        return fit(sample, df, n_docs, epochs, alpha, beta, 2 * l1, l2)
+    kept = held if len(rows) > 5 else order
     scores = np.array([rows[k][1] @ w[rows[k][0]] + w[DIM] for k in kept])
     truth = np.array([rows[k][2] for k in kept])
 
+    doubt = 1 / (len(truth) + 2)  # as one more row of a wrong language: held-back rows without an error would make it endlessly sure
+
     def loss(t):
         s = scores / t
         s = s - s.max(1, keepdims=True)
-        return float((np.log(np.exp(s).sum(1)) - s[np.arange(len(truth)), truth]).mean())
+        s = np.log(np.exp(s).sum(1))[:, None] - s
+        return float(((1 - doubt) * s[np.arange(len(truth)), truth] + doubt * s.mean(1)).mean())
 
-    model.temperature = min(np.geomspace(0.02, 20, 121), key=loss) if len(truth) else 1.0
+    model.temperature = min(np.geomspace(1e-3, 20, 201), key=loss) if len(truth) else 1.0
     return model
 
 
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, lang) as (doc_id, lang, columns, frequencies): at most DIM of them for a text of any length."""
+    for b in batches:
+        for at in range(0, b.num_rows, 64):
+            part = b.slice(at, 64)
+            found = [counts(t) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(2), pa.array([c.astype(np.int32) for c, _ in found], pa.list_(pa.int32())), pa.array([f for _, f in found], pa.list_(pa.float64()))], ["doc_id", "lang", "cols", "tf"]
+            )
+
+
 def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     """A model of docs' (doc_id, text, lang), from rows with text, lang and a fold other than 2. The sample of each language
     is drawn by a hash of doc_id; at most 2 * per_lang rows of each reach the driver."""
@@ -161,13 +195,14 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     if len(langs) > MOST_LANGS:
         raise ValueError(f"more than {MOST_LANGS} distinct values of lang")
     if not langs:
-        return fit(pd.DataFrame({"text": [], "lang": []}), np.zeros(DIM), 0)
+        return fit([], np.zeros(DIM), 0)
     u = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*[F.lit(x) for r in langs for x in (r["lang"], min(1.0, per_lang / r["count"]))])
     drawn = rows.withColumn("u", u).where(F.col("u") < F.element_at(share, F.col("lang")))
-    drawn = drawn.orderBy("u", "doc_id").limit(2 * per_lang * len(langs)).select("doc_id", "text", "lang").toPandas()
+    drawn = drawn.select("doc_id", "text", "lang").mapInArrow(counted, "doc_id long, lang string, cols array<int>, tf array<double>")
+    drawn = drawn.withColumn("u", u).orderBy("u", "doc_id", "lang", "cols").limit(2 * per_lang * len(langs)).drop("u").toPandas().sort_values("doc_id", kind="stable")
     df, n = document_frequencies(rows)
-    return fit(drawn.sort_values("doc_id"), df, n)
+    return fit([(np.asarray(c, np.int64), np.asarray(f), lang) for c, f, lang in zip(drawn.cols, drawn.tf, drawn.lang, strict=True)], df, n)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,10 +210,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     held_out is false for a null doc_id. Only the text is looked at; other columns are ignored; an empty table stays empty."""
     spark = docs.sparkSession
     common.ship(spark)
-    shared = spark.sparkContext.broadcast((model.langs, model.weights, model.bias, model.temperature))  # DIM x languages floats
+    shared = spark.sparkContext.broadcast(model)  # BROADCAST bytes at most
 
     def make():
-        own = Model(*shared.value)
+        own = shared.value
 
         def work(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             said = [own.predict(t) for t in b.column(2).to_pylist()]
@@ -195,10 +230,10 @@ def accepted(docs: DataFrame, model: Model, least_score: float = 0.0) -> DataFra
     """docs' rows, all columns, whose text has a language, that is, isn't `und`, and a calibrated score of least_score or more."""
     spark = docs.sparkSession
     common.ship(spark)
-    shared = spark.sparkContext.broadcast((model.langs, model.weights, model.bias, model.temperature))
+    shared = spark.sparkContext.broadcast(model)
 
     def make():
-        own = Model(*shared.value)
+        own = shared.value
 
         def holds(text):
             lang, score = own.predict(text)
