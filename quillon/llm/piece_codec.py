@@ -2,7 +2,8 @@
 
 Ids come from the library itself. The offsets come from an own normaliser: at each byte the longest key of the model's
 compiled character map (a double-array trie) is replaced and every normalised byte remembers the original byte it came
-from, so that each piece projects to a span of the original UTF-8 bytes.
+from, so that each piece projects to a span of the original UTF-8 bytes. The model that the query uses has an empty map; all that
+it changes are blanks, whose one rule is compiled into a map here, so that its texts go through the same trie.
 """
 
 from __future__ import annotations
@@ -27,6 +28,29 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def compiled(rules: dict[bytes, bytes]) -> bytes:
+    """A character map of few rules, in the form that models have. A unit of the trie has its label in bits 0 to 7, whether a key ends
+    there in bit 8, and from bit 10 the offset that with a child's label gives the child's place; label 0 leads to the key's value."""
+    pool, at = b"", {}
+    for key, value in rules.items():
+        at[key] = len(pool)
+        pool += value + b"\0"
+    units, used, todo = {0: 0}, {0}, [(0, b"")]
+    while todo:
+        place, prefix = todo.pop()
+        labels = sorted({k[len(prefix)] for k in rules if len(k) > len(prefix) and k.startswith(prefix)} | ({0} if prefix in rules else set()))
+        offset = next(o for o in range(256, 1 << 21) if all(place ^ o ^ c not in used for c in labels))
+        units[place] = units.get(place, 0) | offset << 10 | (0x100 if prefix in rules else 0)
+        used |= {place ^ offset ^ c for c in labels}
+        for c in labels:
+            units[place ^ offset ^ c] = c if c else 0x80000000 | at[prefix]
+            if c:
+                todo.append((place ^ offset ^ c, prefix + bytes([c])))
+    trie = np.zeros((max(units) | 255) + 1, "<u4")
+    trie[list(units)] = list(units.values())
+    return len(trie.tobytes()).to_bytes(4, "little") + trie.tobytes() + pool
+
+
 class CharMap:
     """Longest-prefix replacement by a compiled character map: a little-endian u32 trie size, the trie, then the NUL-ended replacements."""
 
@@ -36,6 +60,51 @@ class CharMap:
         if blob:
             size = int.from_bytes(blob[:4], "little")
             self.units, self.pool = np.frombuffer(blob[4 : 4 + size], "<u4"), blob[4 + size :]
+        u, byte = self.units, np.arange(256)
+        node = self._children(u[:1]) ^ byte if len(u) else byte
+        #: Bytes that a key can begin with, so that other places don't step at all.
+        self.first = (node < len(u)) & (u[np.where(node < len(u), node, 0)] & 0x800000FF == byte) if len(u) else np.zeros(256, bool)
+
+    @staticmethod
+    def _children(unit: np.ndarray) -> np.ndarray:
+        """Units' offsets to their children."""
+        return ((unit >> 10) << ((unit & 0x200) >> 6)).astype(np.int64)
+
+    def matches(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, lengths and values of the keys that are replaced in a text, from left to right, the longest at each place. All places
+        step down the trie together."""
+        u = self.units
+        none = np.zeros(0, np.int64)
+        if not len(u) or not len(raw):
+            return none, none, none
+        start = np.flatnonzero(self.first[raw])
+        node = self._children(u[:1]) ^ raw[start]
+        size, value = np.zeros(len(raw), np.int64), np.zeros(len(raw), np.int64)
+        depth = 0
+        while len(start):
+            label = raw[start + depth]
+            inside = node < len(u)
+            unit = u[np.where(inside, node, 0)]
+            on = inside & (unit & 0x800000FF == label)
+            start, unit, node, depth = start[on], unit[on], node[on], depth + 1
+            node = node ^ self._children(unit)
+            leaf = (unit >> 8 & 1).astype(bool)
+            size[start[leaf]], value[start[leaf]] = depth, u[node[leaf]] & 0x7FFFFFFF
+            on = start + depth < len(raw)
+            start, node = start[on], node[on]
+            node = node ^ raw[start + depth]
+        start = np.flatnonzero(size)
+        over = np.flatnonzero(start[:-1] + size[start[:-1]] > start[1:])
+        if len(over):  # a key within or across another: the first one counts
+            keep, end = np.ones(len(start), bool), 0
+            for k, a in enumerate(start.tolist()):
+                keep[k] = a >= end
+                end = a + int(size[a]) if keep[k] else end
+            start = start[keep]
+        return start, size[start], value[start]
+
+    def replacement(self, value: int) -> bytes:
+        return self.pool[value : self.pool.index(b"\0", value)]
 
     def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
         """Length and replacement of the longest key that starts at a byte."""
@@ -53,7 +122,7 @@ class CharMap:
             node ^= child(unit)
             if unit >> 8 & 1:
                 value = int(u[node]) & 0x7FFFFFFF
-                found = (i + 1 - at, self.pool[value : self.pool.index(b"\0", value)])
+                found = (i + 1 - at, self.replacement(value))
         return found
 
 
@@ -67,7 +136,9 @@ class Codec:
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
         proto = pb.ModelProto()
         proto.ParseFromString(self.sp.serialized_model_proto())
-        self.spec, self.map = proto.normalizer_spec, CharMap(proto.normalizer_spec.precompiled_charsmap)
+        self.spec = spec = proto.normalizer_spec
+        self.map = CharMap(spec.precompiled_charsmap)
+        self.blanks = CharMap(compiled({b" ": SPACE if spec.escape_whitespaces else b" "}))
         self.suffix = proto.trainer_spec.treat_whitespace_as_suffix
         #: Normalised bytes of each id's piece; -1 for the unknown piece, whose length depends on the text.
         self.width = np.array([{2: -1, 6: 1}.get(p.type, len(p.piece.encode())) for p in proto.pieces], np.int64)
@@ -77,8 +148,8 @@ class Codec:
         spec = self.spec
         if not data:
             return b"", np.zeros(1, np.int64)
-        if not len(self.map.units) and not spec.remove_extra_whitespaces:
-            return self._plain(data)
+        if not spec.remove_extra_whitespaces:
+            return self._kept(data)
         out, src = bytearray(), []
         at, end, blank = 0, len(data), spec.remove_extra_whitespaces
         while at < end:
@@ -114,35 +185,64 @@ class Codec:
                 out, src = mark + bytes(out), [src[0]] * len(mark) + src
         return bytes(out), np.array([*src, end], np.int64)
 
-    def _plain(self, data: bytes) -> tuple[bytes, np.ndarray]:
-        """The same for a model without a character map that keeps white space: only blanks become marks."""
+    def _kept(self, data: bytes) -> tuple[bytes, np.ndarray]:
+        """The same for a model that keeps white space: the map's replacements, then the blanks', on all places at once."""
+        raw, src = np.frombuffer(data, np.uint8), np.arange(len(data), dtype=np.int64)
+        for m in (self.map, self.blanks):
+            raw, src = replaced(m, raw, src)
         mark = SPACE if self.spec.escape_whitespaces else b" "
-        raw = np.frombuffer(data, np.uint8)
-        width = np.where(raw == 32, len(mark), 1)
-        src = np.repeat(np.arange(len(raw), dtype=np.int64), width)
-        out = data.replace(b" ", mark)
-        end = np.array([len(raw)], np.int64)
+        end = np.array([len(data)], np.int64)
         if self.spec.add_dummy_prefix:
             own = np.zeros(len(mark), np.int64)
-            return (out + mark, np.concatenate([src, own + len(raw), end])) if self.suffix else (mark + out, np.concatenate([own, src, end]))
-        return out, np.concatenate([src, end])
+            return (raw.tobytes() + mark, np.concatenate([src, own + len(data), end])) if self.suffix else (mark + raw.tobytes(), np.concatenate([own, src, end]))
+        return raw.tobytes(), np.concatenate([src, end])
 
     def offsets(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends of the ids' pieces as original UTF-8 byte spans; the pieces partition the normalised text."""
+        """Starts and ends of the ids' pieces as original UTF-8 byte spans; the pieces partition the normalised text. Where they don't, as
+        of a model with rules that are not known here, the library's own spans are taken."""
         norm, src = self.normalise(text.encode("utf-8", "replace"))
         own = self.width[np.array(ids, np.int64)] if ids else np.zeros(0, np.int64)
-        for k in np.flatnonzero(own < 0):  # unknown: a run of characters that no piece has
-            at = int(own[:k].sum())
-            here = norm[at:].decode("utf-8", "replace")
-            n = 1
-            while n < len(here) and self.sp.piece_to_id(here[n]) == ids[k]:
-                n += 1
-            own[k] = len(here[:n].encode())
+        at = done = 0
+        for k in np.flatnonzero(own < 0).tolist():  # unknown: a run of characters that no piece has
+            at += int(own[done:k].sum())
+            end, first = at, True
+            while end < len(norm):
+                n = end + 1
+                while n < len(norm) and norm[n] & 0xC0 == 0x80:
+                    n += 1
+                if not first and self.sp.piece_to_id(norm[end:n].decode("utf-8", "replace")) != ids[k]:
+                    break
+                end, first = n, False
+            own[k], at, done = end - at, end, k + 1
         ends = np.cumsum(own)
         if len(ends) and ends[-1] != len(norm):
-            raise ValueError("the pieces don't partition the normalised text")
+            return self._library(text)
         return src[ends - own], src[ends]
 
+    def _library(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        pieces = self.sp.encode(text, return_type="proto").pieces
+        return np.array([p.begin for p in pieces], np.int64), np.array([p.end for p in pieces], np.int64)
+
+
+def replaced(m: CharMap, raw: np.ndarray, src: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes after a map's replacements, and of each the original byte: of a replacement the one where its key starts."""
+    start, size, value = m.matches(raw)
+    if not len(start):
+        return raw, src
+    width = np.ones(len(raw), np.int64)
+    inside = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+    width[inside] = 0
+    values, which = np.unique(value, return_inverse=True)
+    texts = [np.frombuffer(m.replacement(int(v)), np.uint8) for v in values]
+    width[start] = np.array([len(t) for t in texts], np.int64)[which]
+    ends = np.cumsum(width)
+    out = np.repeat(raw, width)
+    for k, t in enumerate(texts):
+        at = ends[start[which == k]] - len(t)
+        for j, c in enumerate(t):
+            out[at + j] = c
+    return out, np.repeat(src, width)
+
 
 def digests(path: str, with_ids: bool = False):
     """A worker for per_document: ids and decoded text of every document, as digests."""
