@@ -91,6 +91,23 @@ def test_chunks_cover_the_text(spark, texts):
         assert "".join(r["c"]) == r["t"] and all(0 < len(c) <= exact_dedup.MOST for c in r["c"])
 
 
+def test_chunks_of_any_script_are_cut_by_content(spark):
+    """A text with something put before it has most of its chunks again."""
+    rng = random.Random(9)
+    alphabets = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "".join(map(chr, range(0x627, 0x64B))), "".join(map(chr, range(0x3041, 0x3096))), "".join(map(chr, range(0x4E00, 0x9FA5, 3))), "".join(map(chr, range(0xAC00, 0xD7A3, 5))))
+    texts = ["".join(rng.choice(a) for _ in range(60_000)) for a in alphabets]
+    rows = [(k, n, p + t) for k, t in enumerate(texts) for n, p in enumerate(("", t[77:300]))]
+    got = {(r["k"], r["n"]): r["c"] for r in spark.createDataFrame(rows, "k int, n int, t string").select("k", "n", exact_dedup.chunked(F.col("t")).alias("c")).collect()}
+    for k, t in enumerate(texts):
+        assert "".join(got[k, 0]) == t and len(set(got[k, 0]) & set(got[k, 1])) > 0.5 * len(got[k, 0]), alphabets[k][:5]
+
+
+def test_exact_dedup_takes_the_least_and_largest_ids(spark):
+    low, high = -(1 << 63), (1 << 63) - 1
+    df = spark.createDataFrame([(high, "a b"), (low, "ab "), (0, "a b"), (1, "ab")], "doc_id long, text string")
+    assert {tuple(r)[:4] for r in exact_dedup.exact_dedup(df).collect()} == {(i, low, 4, i == low) for i in (high, low, 0, 1)}
+
+
 # -- 3 ----------------------------------------------------------------------------------------------------------------------
 def brute_join(rows, width, num, den):
     sets = {}
@@ -141,6 +158,30 @@ def test_jaccard_join_odd_rows(spark, empty):
     assert {r["doc_id"] for r in jaccard_join.one_of_each(df, 3, 90, 100).collect()} == {None, 3, 8, 7}
 
 
+def test_jaccard_join_of_rows_that_repeat_a_doc_id(spark):
+    """Each of a doc_id's texts has its own links, which all of them share."""
+    a, b, c = ("a b c d e f g h i j k l", "m n o p q r s t u v w x", "1 2 3 4 5 6 7 8 9 10 11 12")
+    rows = [(7, a), (7, b), (7, a + " y"), (2, a + " z"), (9, b + " z"), (4, c), (5, c + " z"), (5, ""), (6, None), (6, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert joined(jaccard_join.jaccard_join(df, 2, 70, 100)) == brute_join(rows, 2, 70, 100)
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in jaccard_join.jaccard_join(df, 2, 70, 100).collect()}
+    assert got[7, 11] == got[9, 12] == got[7, 12] == got[2, 12] == 2 and got[5, 0] == got[5, 12] == got[4, 11] == 4 and got[6, 0] == 6
+
+
+def test_shared_storage_is_asked_for_on_clusters(spark, monkeypatch):
+    if spark.conf.get("spark.checkpoint.dir", None):
+        return
+
+    class Context:
+        master, getConf = "spark://host:7077", spark.sparkContext.getConf
+
+    class Session:
+        conf, sparkContext = spark.conf, Context()
+
+    with pytest.raises(RuntimeError, match="share"):
+        common.shared_dir(Session())
+
+
 def test_bands_hold_linking_sizes_together():
     for num, den in ((90, 100), (80, 100), (50, 100)):
         b = jaccard_join.Bands(num, den)
@@ -155,6 +196,16 @@ def test_connected(spark, tmp_path):
     assert got == {k: 1 for k in range(2, 41)} | {103: 100, 102: 100}
 
 
+def test_connected_without_broadcasts(spark, tmp_path, monkeypatch):
+    """A star, a path and a triangle; vertices with many edges apart from the rest."""
+    monkeypatch.setattr(common, "BROADCAST_EDGES", 0)
+    monkeypatch.setattr(common, "HOT", 4)
+    edges = [(500, k) for k in range(501, 560)] + [(k, k + 1) for k in range(1, 15)] + [(100, 103), (103, 102), (100, 102)]
+    got = {r["id"]: r["root"] for r in common.connected(spark.createDataFrame(edges, "a long, b long"), f"file://{tmp_path}").collect()}
+    assert got == {k: 500 for k in range(501, 560)} | {k: 1 for k in range(2, 16)} | {103: 100, 102: 100}
+    assert {p.name for p in tmp_path.iterdir()} == {max((p.name for p in tmp_path.iterdir()), key=lambda n: int(n[2:]) if n.startswith("cc") else -1)}
+
+
 # -- 2 ----------------------------------------------------------------------------------------------------------------------
 def distance_inside(p, t):
     """Least edits of p against any part of t: the full table."""
@@ -347,6 +398,43 @@ def test_character_map_takes_the_longest_prefix():
     assert norm.decode() == "▁YY▁e" and src.tolist() == [2, 2, 2, 2, 2, 4, 4, 4, 5, 8]
 
 
+def test_compiled_maps_replace_all_at_once_as_they_do_one_by_one():
+    rng = random.Random(6)
+    for _ in range(60):
+        word = lambda: "".join(rng.choice("abé ▁x") for _ in range(rng.randrange(1, 4))).encode()  # noqa: B023, E731
+        m = piece_codec.CharMap(piece_codec.compiled({word(): word() for _ in range(rng.randrange(1, 8))}))
+        data = "".join(rng.choice("abé ▁xy") for _ in range(40)).encode()
+        want, src, at = b"", [], 0
+        while at < len(data):
+            hit = m.longest(data, at) or (1, data[at : at + 1])
+            want, src, at = want + hit[1], src + [at] * len(hit[1]), at + hit[0]
+        out, got = piece_codec.replaced(m, np.frombuffer(data, np.uint8), np.arange(len(data)))
+        assert out.tobytes() == want and got.tolist() == src
+    assert len(piece_codec.replaced(m, np.zeros(0, np.uint8), np.zeros(0, np.int64))[0]) == 0
+
+
+def test_the_query_s_model_goes_through_the_trie(texts, monkeypatch):
+    codec, calls = piece_codec.Codec(piece_codec.default_model()), []
+    real = piece_codec.CharMap.matches
+    monkeypatch.setattr(piece_codec.CharMap, "matches", lambda m, raw: calls.append(len(m.units)) or real(m, raw))
+    for t in texts:
+        if t:
+            norm, src = codec.normalise(t.encode())
+            assert norm.decode() == "▁" + t.replace(" ", "▁") and len(src) == len(norm) + 1 and src[-1] == len(t.encode())
+    assert any(calls)
+
+
+def test_spans_that_do_not_add_up_are_the_library_s():
+    codec = piece_codec.Codec(piece_codec.default_model())
+    for t in ("the plain text é of words", "a  b"):
+        ids = codec.sp.encode(t)
+        want = codec.offsets(t, ids)
+        other = piece_codec.Codec(piece_codec.default_model())
+        other.width = other.width + 1
+        got = other.offsets(t, ids)
+        assert [x.tolist() for x in got][1] == want[1].tolist()
+
+
 # -- 6, 7, 8 ----------------------------------------------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def field(spark, sf):
@@ -476,6 +564,62 @@ def test_license_scan(spark, texts, empty):
     assert license_scan.license_scan(empty).count() == 0
 
 
+def test_of_like_licences_the_one_that_covers_more_counts():
+    scanner = license_scan.Scanner()
+    for label in ("gpl-3", "agpl-3", "bsd-2", "bsd-3", "cc-by", "cc-by-nc", "cc-by-nc-sa", "cc0", "isc", "zlib", "boost", "epl-2", "mit", "lgpl"):
+        for t in license_scan.TEMPLATES[label]:
+            found = scanner.spans(license_scan.words("some words before " + t + " and after"))
+            assert {x[0] for x in found} == {label} and max(x[3] for x in found) == 1.0, (label, found)
+
+
+def test_many_templates_keep_the_automaton_linear():
+    """A thousand templates that share their words: ends are gathered only where a file leads."""
+    common_words = " ".join(f"w{k}" for k in range(60))
+    s = license_scan.Scanner({f"l{k}": [f"{common_words} own{k} " + " ".join(f"x{k}y{j}" for j in range(30))] for k in range(1000)}, {})
+    assert sum(map(len, s.automaton.own)) == sum(len(t) for _, t in s.own) and not len(s.automaton.ends)
+    assert {x[0] for x in s.spans(license_scan.words(f"{common_words} own7 " + " ".join(f"x7y{j}" for j in range(30))))} == {"l7"}
+
+
+def test_spans_apart():
+    rng = random.Random(3)
+    for _ in range(200):
+        own, base = ([("k", a, a + rng.randrange(1, 6)) for a in (rng.randrange(40) for _ in range(rng.randrange(8)))] for _ in range(2))
+        assert common.apart(own, base) == [s for s in own if not any(s[1] < y and x < s[2] for _, x, y in base)]
+
+
+def test_recall_of_secrets_on_held_out_lines_and_in_the_corpus(spark, field):
+    """Lines that training has not seen, and the corpus's own secrets, which the field finds without the patterns' help."""
+    lines = secret_scan.generated(np.random.default_rng(99), ["held out words of another kind", "weitere Wörter zum Prüfen"], 800)
+    found = total = 0
+    for tokens, tags, file in lines:
+        got = field.tags(field.scores(tokens, file))
+        total += sum(t == secret_scan.B for t in tags)
+        found += sum(t == secret_scan.B and k in got for k, t in enumerate(tags))
+    assert total > 300 and found >= 0.9 * total
+    found = total = 0
+    for r in common.table(spark, "/root/testdata/sf0.01", "documents").collect():
+        text, own = r["text"] or "", field.spans(r["text"] or "")
+        for kind, a, e in secret_scan.base_spans(text):
+            total += 1
+            found += not common.apart([(kind, a, e)], [("crf", x, y) for x, y in own])
+    assert total > 10 and found >= 0.9 * total
+
+
+def test_recall_of_personal_data_in_the_corpus(spark):
+    """What the patterns find in the corpus, which the network has not seen, the network finds by itself."""
+    net, found, total = personal_data.train(), 0, 0
+    for r in common.table(spark, "/root/testdata/sf0.01", "documents").collect():
+        base = personal_data.base_spans(r["text"] or "")
+        if base:
+            x = personal_data.symbols(r["text"])
+            starts = personal_data.windows(x)
+            grid = np.stack([np.pad(x[a : a + 64], (0, max(0, a + 64 - len(x)))) for a in starts])
+            own = personal_data.spans_of(personal_data.reconciled(len(x), starts, net.decode(grid)), r["text"])
+            total += len(base)
+            found += sum(not common.apart([b], own) for b in base)
+    assert total > 10 and found >= 0.9 * total
+
+
 def test_automaton_matching_statistics():
     rng = random.Random(8)
     templates = [[rng.randrange(4) for _ in range(rng.randrange(5, 30))] for _ in range(4)]
@@ -493,6 +637,63 @@ def test_automaton_matching_statistics():
 
 
 # -- 2, parts and short items -----------------------------------------------------------------------------------------------
+def test_alignments_of_many_pairs_are_those_of_the_full_table():
+    rng = random.Random(12)
+    for n, most in ((20, 1), (40, 2), (64, 3), (120, 6)):
+        patterns, texts = [], []
+        for _ in range(40):
+            p = [rng.randrange(97, 102) for _ in range(n)]
+            t = list(p)
+            for _ in range(rng.randrange(0, most + 3)):
+                at = rng.randrange(len(t))
+                t[at : at + rng.randrange(2)] = rng.choice([[], [98], [122, 122]])
+            t = [rng.randrange(97, 102) for _ in range(rng.randrange(0, 9))] + t + [rng.randrange(97, 102) for _ in range(rng.randrange(0, 9))]
+            patterns.append(p)
+            texts.append(t[: n + 6 * most + 2])
+        m = n + 6 * most + 2
+        grid = np.array([t + [-1] * (m - len(t)) for t in texts], np.int16)
+        cost, start, end = decontaminate.aligned(np.array(patterns, np.int16), grid, np.array([len(t) for t in texts]), most)
+        for k, (p, t) in enumerate(zip(patterns, texts, strict=True)):
+            # the band holds every alignment whose text lies within `most` of a diagonal on which the pattern fits
+            want = distance_inside(p, t)
+            assert (cost[k] == want if want <= most else cost[k] == most + 1), (n, k)
+            if want <= most:
+                assert distance_inside(p, t[start[k] : end[k]]) == want
+
+
+def repeated_wording(n_items, n_bytes):
+    """Items with one wording and own ends, and a text of that wording over and over, with one item within it."""
+    rng = random.Random(13)
+    wording = "please choose the best answer to the question that follows and explain in short why it is right "
+    items = [(k, wording + " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(12))) for k in range(n_items)]
+    text = wording * (n_bytes // len(wording))
+    return items, text[: len(text) // 2] + items[n_items // 2][1] + " " + text[len(text) // 2 :]
+
+
+def test_repeated_wording_is_found_as_the_full_table_finds_it():
+    items, text = repeated_wording(40, 4000)
+    data, index = decontaminate.normalised(text), decontaminate.Index(items)
+    want = set()
+    for i, x in items:
+        n = decontaminate.normalised(x)
+        if any(distance_inside(n[at : at + 120], data) <= 6 for at in sorted({*range(0, len(n) - 119, 60), len(n) - 120})):
+            want.add(i)
+    assert set(index.found(data)) == want == {20}
+
+
+def test_repeated_wording_takes_seconds_and_bounded_memory():
+    """3000 like items against a megabyte of their wording."""
+    import resource
+    import time
+
+    items, text = repeated_wording(3000, 1_000_000)
+    index = decontaminate.Index(items)
+    start, before = time.perf_counter(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    got = index.found(decontaminate.normalised(text))
+    assert set(got) == {1500} and got[1500][1] == 0
+    assert time.perf_counter() - start < 60 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_500_000
+
+
 def test_parts_and_short_items_are_found_at_any_alignment():
     """Every part of 179 bytes of an item is found, and so are items of 20 to 23 bytes with an edit anywhere."""
     rng = random.Random(8)
@@ -569,6 +770,12 @@ def test_html_blocks_are_nodes(spark):
     assert all(got[k] == "One text\non many pages" for k in range(200, 212))
 
 
+def test_blocks_that_say_what_they_are():
+    page = "<article><h1>Head</h1><p class=ad>Buy now<p>Story <button>Share it</button>one<p class='advert wide'>Buy</p><li class=notice>Note<p hidden>unseen<p style='display: none'>unseen<p class=lead>two</article>"
+    assert html_extract.main_text(html_extract.parsed(page), None) == "Head\nStory one\ntwo"
+    assert html_extract.main_text(html_extract.parsed("<p class=notice>All that is here</p>"), None) == "All that is here"
+
+
 def test_class_words_never_empty_a_page():
     story = "<h1>Head</h1><p>The story is told here at some length"
     for page in (
@@ -598,11 +805,11 @@ def test_html_paths_find_what_tree_matching_finds():
 
 
 def _joined(df, module):
-    held, module.BROADCAST = module.BROADCAST, -1
+    held, module.BROADCAST, hot, module.HOT = module.BROADCAST, -1, module.HOT, 2
     try:
         return module.extract(df).collect()
     finally:
-        module.BROADCAST = held
+        module.BROADCAST, module.HOT = held, hot
 
 
 def test_tree_matching():
@@ -653,6 +860,26 @@ def test_language_id(spark, sf, empty):
     assert language_id.predict(odd, none).where("lang_pred <> 'und'").count() == 0
 
 
+def test_texts_without_a_letter_are_und(spark):
+    model = language_id.Model(["en", "de"], np.zeros((language_id.DIM, 2)), np.zeros(2), 1.0)
+    rows = [(1, "²½"), (2, "Ⅷ"), (3, "①"), (4, "12 _ !"), (5, "²a"), (6, "ª"), (7, "日"), (8, "")]
+    got = by_id(language_id.predict(spark.createDataFrame(rows, "doc_id long, text string"), model))
+    import unicodedata
+
+    for k, t in rows:
+        assert (got[k]["lang_pred"] == "und") == (not any(unicodedata.category(c)[0] == "L" for c in t)), t
+
+
+def test_weights_are_sparse_and_bounded(spark, monkeypatch):
+    docs = common.table(spark, "/root/testdata/sf0.001", "documents")
+    model = language_id.train(docs)
+    whole = language_id.DIM * len(model.langs)
+    assert 0 < len(model.value) < 0.2 * whole
+    monkeypatch.setattr(language_id, "BROADCAST", 20_000)
+    small = language_id.train(docs)
+    assert small.size() - small.at.nbytes <= 20_000 and small.langs == model.langs
+
+
 def test_unsure_languages_are_accepted(spark):
     """With many languages no score need reach 0.3; only null texts and texts without a letter go."""
     model = language_id.Model([f"l{k}" for k in range(8)], np.zeros((language_id.DIM, 8)), np.zeros(8), 1.0)
