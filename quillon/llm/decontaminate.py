@@ -30,7 +30,7 @@ BLOCK_BYTES = 8_000_000
 #: Least and most bytes of a segment; bytes before and after it that its bands and alignments look at.
 LEAST, MOST, BEFORE, AFTER = 1024, 4096, 64, WINDOW + 96
 #: Hits gathered at once, alignments made at once, segments whose results are remembered.
-HITS, PAIRS, REMEMBERED = 2_000_000, 2048, 50_000
+HITS, PAIRS, REMEMBERED = 2_000_000, 1024, 50_000
 FILTER_BITS = 22
 FOUND = "doc_id long, item_id long, n_windows long, edits long, start long, end long"
 A = np.uint64(0x9E3779B97F4A7C15)
@@ -62,33 +62,36 @@ def aligned(patterns: np.ndarray, texts: np.ndarray, ends: np.ndarray, most: int
     pairs, n = patterns.shape
     m = texts.shape[1]
     width = m - n + 2 * most + 1
-    step = np.arange(width, dtype=np.int32) * COST
-    wide = np.full((pairs, n + width + 1), -1, np.int16)
-    wide[:, most : most + m] = texts
-    first = np.arange(width, dtype=np.int32) - most  # where a cell of row 0 stands in the text
-    cells = np.tile(np.where(first >= 0, COST - 1 - first, NEVER).astype(np.int32), (pairs, 1))
+    wide = np.full((n + width + 1, pairs), -1, np.int16)  # pairs side by side, so that each step runs along them
+    wide[most : most + m] = texts.T
+    patterns = np.ascontiguousarray(patterns.T)
+    first = (np.arange(width, dtype=np.int32) - most)[:, None]  # where a cell of row 0 stands in the text
+    cells = np.tile(np.where(first >= 0, COST - 1 - first, NEVER).astype(np.int32), (1, pairs))
     cost, start, end = np.full(pairs, most + 1), np.zeros(pairs, np.int64), np.zeros(pairs, np.int64)
     live = np.arange(pairs)
     limit = (most + 1) * COST
     for i in range(n):
-        below = cells[:, 1:] + COST
-        cells = cells + (wide[:, i : i + width] != patterns[:, i : i + 1]) * COST
-        np.minimum(cells[:, :-1], below, out=cells[:, :-1])
-        cells = np.minimum.accumulate(cells - step, 1) + step
+        below = cells[1:] + COST
+        cells = cells + (wide[i : i + width] != patterns[i]) * COST
+        np.minimum(cells[:-1], below, out=cells[:-1])
+        k = 1
+        while k <= most:  # characters of the text put in, as many as edits allow
+            np.minimum(cells[k:], cells[:-k] + k * COST, out=cells[k:])
+            k *= 2
         if i % 8 == 7:
-            on = (cells < limit).any(1)
+            on = (cells < limit).any(0)
             if not on.any():
                 return cost, start, end
             if 4 * on.sum() < 3 * len(on):
-                cells, wide, patterns, live = cells[on], wide[on], patterns[on], live[on]
+                cells, wide, patterns, live = cells[:, on], wide[:, on], patterns[:, on], live[on]
     place = n + first
-    cells = np.where((place >= 0) & (place <= ends[live][:, None]), cells, NEVER)
-    at = cells.argmin(1)
-    best = cells[np.arange(len(at)), at]
+    cells = np.where((place >= 0) & (place <= ends[live]), cells, NEVER)
+    at = cells.argmin(0)
+    best = cells[at, np.arange(len(at))]
     good = best < limit
     cost[live[good]] = best[good] // COST
     start[live[good]] = COST - 1 - best[good] % COST
-    end[live[good]] = place[at[good]]
+    end[live[good]] = place[at[good], 0]
     return cost, start, end
 
 
@@ -215,7 +218,8 @@ class Index:
         n_bands = b - a + 3
         window, band, place = np.concatenate([window, window]), np.concatenate([band, band - 1]), np.concatenate([place, place])
         keep = (band >= 0) & (band < n_bands)
-        key = np.unique((window[keep] * n_bands + band[keep]) * WINDOW + place[keep]) // WINDOW
+        key = np.sort((window[keep] * n_bands + band[keep]) * WINDOW + place[keep])
+        key = key[np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]])] // WINDOW
         first = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
         count, key = np.diff(np.append(first, len(key))), key[first]
         v = key // n_bands
