@@ -275,8 +275,8 @@ def main_text(tree: Node, template: frozenset[int] | None) -> str:
 
     Class words don't leave out html, body, the page's only article or <main>, or what holds this and so half of the text. Where
     articles and main part hold nothing but template, the slots elsewhere are the text; where there are none either, tags are
-    the only evidence left, and the articles or main part are read as they stand; and if class words leave nothing, those of
-    containers with half of the text don't count.
+    the only evidence left, and the articles or main part are read as they stand; and if class words and forms leave nothing,
+    those of containers with half of the text don't count.
     """
     every = walked(tree)
     lengths: dict[int, tuple[int, int]] = {}  # characters and characters of link text of a container
@@ -296,9 +296,10 @@ def main_text(tree: Node, template: frozenset[int] | None) -> str:
     def not_main(node: Node, inside: bool, loose: bool) -> bool:
         if id(node) in sound:
             return False
-        if node.tag in NOT_MAIN_TAGS:
+        most = loose and 2 * lengths[id(node)][0] >= whole and not node.words & ALWAYS_OTHERS
+        if node.tag in NOT_MAIN_TAGS and not (most and node.tag == "form"):
             return True
-        if loose and 2 * lengths[id(node)][0] >= whole and not node.words & ALWAYS_OTHERS:
+        if most:
             return False
         return bool(node.words & NOT_MAIN_WORDS) or not inside and (node.tag == "header" or "header" in node.words)
 
