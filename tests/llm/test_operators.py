@@ -424,6 +424,15 @@ def test_the_query_s_model_goes_through_the_trie(texts, monkeypatch):
     assert any(calls)
 
 
+def test_spans_of_many_texts_are_those_of_each(texts):
+    codec = piece_codec.Codec(piece_codec.default_model())
+    given = [t or "" for t in texts] + ["\ud800 lone", "", " ", "a" * 300]
+    ids = [codec.sp.encode(t.encode("utf-8", "replace").decode()) for t in given]
+    for t, i, got in zip(given, ids, codec.spans(given, ids), strict=True):
+        assert got.tolist() == np.stack(codec.offsets(t, i), 1).tolist(), t[:40]
+    assert codec.spans([], []) == []
+
+
 def test_spans_that_do_not_add_up_are_the_library_s():
     codec = piece_codec.Codec(piece_codec.default_model())
     for t in ("the plain text é of words", "a  b"):
@@ -782,6 +791,7 @@ def test_class_words_never_empty_a_page():
         '<body class="has-sidebar"><article>{}</article>', "<body class=sidebar><article>{}</article>", '<html class="no-comments"><body class="menu-open"><div>{}</div>',
         '<article class="post share-enabled">{}</article>', "<article class='post comment widget'>{}</article>", '<div class="layout-sidebar-right"><article>{}</article></div><div>Site</div>',
         '<form id="form"><main class="banner">{}</main></form>', "<div class=sidebar><div class=x>{}</div></div>", "<nav>menu</nav><div class='content subscribe'>{}</div>",
+        "<form action=/><nav>menu</nav><div>{}</div></form>",
     ):
         assert html_extract.main_text(html_extract.parsed(page.format(story)), None) == "Head\nThe story is told here at some length", page
     for page in ("<div>{}</div><section id=comments><article>nice</article></section>", "<div>{}</div><div class=sidebar><article>teaser</article></div>", "<div>{}</div><aside><article>teaser</article></aside>", "<article>{}<div class=ad>buy</div><div class=share>tell</div></article><article class=related>x</article>"):
