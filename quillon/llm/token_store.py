@@ -53,13 +53,13 @@ def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(start - ends + n, n) + np.arange(ends[-1] if len(ends) else 0, dtype=n.dtype)
 
 
-class Encoder(dict):
+class Encoder:
     """Ids of texts, as the tokenizers library gives them with add_special_tokens=False.
 
     A byte-level BPE cuts a text before each single blank and at each single line end that stand between other characters,
     and never merges across a cut. So texts are split there, the library encodes each distinct unit once, many in one call with a special
-    token between them, and a dictionary has it from then on. Texts with other runs of white space or with a special
-    token, and tokenizers of another kind, go to the library whole.
+    token between them, and from then on it is looked up, all units of many texts at once. Texts with other runs of white space or
+    with a special token, and tokenizers of another kind, go to the library whole.
     """
 
     UNITS, CALL, SLICE = 700_000, 64, 16 << 20
@@ -71,8 +71,6 @@ class Encoder(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.again = np.zeros(0, bool)
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -81,54 +79,49 @@ class Encoder(dict):
         plain = [t for t in spec.get("added_tokens", []) if not (t["lstrip"] or t["rstrip"] or t["single_word"])]
         self.mark = plain[0] if byte_level and plain and spec["model"]["type"] == "BPE" else None
         self.unsafe = re.compile("|".join(map(re.escape, self.special)) or "(?!)")
-        self._forget()
+        #: Units learned; ids of all of them one after another; each unit's start and number of ids (-1: unsafe); whether it was met again.
+        self.units, self.store = pa.array([], pa.string()), array("I")
+        self.at, self.n, self.again = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, bool)
+        self.signs = {c: self._library(c) for c in ".,"}
 
     def _forget(self) -> None:
-        """Keeps the units that were met again since the last time, if they are few enough: ids of all units one after another, each
-        unit's start and number of ids (-1: unsafe), how many slices met it again, and units not learned yet."""
-        kept = np.flatnonzero(self.again) if len(self) else np.zeros(0, np.int64)
+        """Keeps the units that were met again since the last time, if they are few enough."""
+        kept = np.flatnonzero(self.again)
         if len(kept) > self.UNITS // 2:
             kept = kept[:0]
-        units = list(self)
-        start, n = (np.array(x, np.int64)[kept] for x in (self.at, self.n)) if len(kept) else (kept, kept)
-        flat, width = np.array(self.store, "<u4") if len(kept) else np.zeros(0, "<u4"), np.maximum(n, 0)
-        self.clear()
-        self.update((units[k], i) for i, k in enumerate(kept.tolist()))
-        self.store = array("I", flat[spread(start, width)].tobytes())
-        self.at, self.n, self.new = array("q", (np.cumsum(width) - width).tobytes()), array("q", n.tobytes()), []
+        start, self.n = self.at[kept], self.n[kept]
+        width = np.maximum(self.n, 0)
+        self.units = self.units.take(pa.array(kept))
+        self.store = array("I", np.array(self.store, "<u4")[spread(start, width)].tobytes())
+        self.at = (np.cumsum(width) - width).astype(np.int32)
         self.again = np.zeros(len(kept), bool)
 
-    def __missing__(self, unit: str) -> int:
-        self.new.append(unit)
-        self[unit] = k = len(self)
-        return k
-
-    def _learn(self) -> None:
-        """Ids of the new units. One that white space at an edge makes depend on its neighbours, or that holds a special token, is unsafe."""
-        if not self.new:
-            return
-        store, at, n, word, texts, places = self.store, self.at, self.n, self.tokenizer.model.tokenize, [], []
-        signs = {c: self._library(c) for c in ".,"}
-        for u in self.new:
+    def _word(self, unit: str, blank: str) -> list[int] | None:
+        """Ids of one word, or a word and one sign, which are tokens of their own: the library's model takes it as it is, in its byte alphabet."""
+        sign = None
+        if not unit.isalpha():
+            sign = self.signs.get(unit[-1:])
+            unit = unit[:-1]
+            if sign is None or not unit.isalpha():
+                return None
+        ids = [t.id for t in self.tokenizer.model.tokenize(blank + (unit if unit.isascii() else unit.encode().decode("latin-1").translate(BYTES)))]
+        return ids + sign if sign else ids
+
+    def _learn(self, units: list[str]) -> None:
+        """Ids of new units. One that white space at an edge makes depend on its neighbours, or that holds a special token, is unsafe."""
+        store, word, at, n, texts, places = self.store, self._word, [], [], [], []
+        for u in units:
             at.append(len(store))
-            if u.isalpha():
-                own, sign = u, None
-            elif u[-1:] in signs and u[:-1].isalpha():  # a word and one sign: tokens of their own
-                own, sign = u[:-1], signs[u[-1]]
-            else:
-                core = u[1:] if u[:1] == "\n" else u
-                if core and not core[0].isspace() and not core[-1].isspace() and not self.unsafe.search(u):
-                    texts.append(u if u[0] == "\n" else " " + u)
-                    places.append(len(n))
-                n.append(-1)
+            ids = word(u, "\u0120")
+            if ids is not None:
+                store.fromlist(ids)
+                n.append(len(ids))
                 continue
-            # one word, which the library's model takes as it is, in its byte alphabet
-            ids = [t.id for t in word("\u0120" + (own if own.isascii() else own.encode().decode("latin-1").translate(BYTES)))]
-            if sign:
-                ids += sign
-            store.fromlist(ids)
-            n.append(len(ids))
-        self.new.clear()
+            core = u[1:] if u[:1] == "\n" else u
+            if core and not core[0].isspace() and not core[-1].isspace() and not self.unsafe.search(u):
+                texts.append(u if u[0] == "\n" else " " + u)
+                places.append(len(n))
+            n.append(-1)
         for lo in range(0, len(texts), self.CALL):
             ids = np.array(self._library(self.mark["content"].join(texts[lo : lo + self.CALL])), "<u4")
             ends = np.append(np.flatnonzero(ids == self.mark["id"]), len(ids))
@@ -137,6 +130,8 @@ class Encoder(dict):
             store.frombytes(ids.tobytes())
             for k, x, y in zip(places[lo : lo + self.CALL], starts.tolist(), ends.tolist(), strict=True):
                 at[k], n[k] = base + x, y - x
+        self.at, self.n = np.concatenate([self.at, np.array(at, np.int32)]), np.concatenate([self.n, np.array(n, np.int32)])
+        self.again = np.concatenate([self.again, np.zeros(len(units), bool)])
 
     def _library(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -154,16 +149,21 @@ class Encoder(dict):
         if self.mark is None:
             yield from (np.array(self._library(t), "<u4") for t in texts.to_pylist())
             return
-        if len(self) > self.UNITS:
+        if len(self.units) > self.UNITS:
             self._forget()
         parts = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         coded = parts.flatten().dictionary_encode()
         idx, bounds = coded.indices.to_numpy(), np.asarray(parts.offsets, np.int64) - parts.offsets[0].as_py()
-        places = np.fromiter(map(self.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
-        self.again[places[places < len(self.again)]] = True
-        self._learn()
-        self.again = np.concatenate([self.again, np.zeros(len(self) - len(self.again), bool)])
-        width, start, flat = np.array(self.n, np.int32)[places], np.array(self.at, np.int32)[places], np.array(self.store)
+        if self.units.type != coded.dictionary.type:
+            self.units = self.units.cast(coded.dictionary.type)
+        places = pc.index_in(coded.dictionary, value_set=self.units)
+        fresh = coded.dictionary.filter(pc.is_null(places))
+        places = places.fill_null(-1).to_numpy().astype(np.int64)
+        self.again[places[places >= 0]] = True
+        places[places < 0] = len(self.units) + np.arange(len(fresh))
+        self._learn(fresh.to_pylist())
+        self.units = pa.concat_arrays([self.units, fresh])
+        width, start, flat = self.n[places], self.at[places], np.array(self.store)
         unsafe = (width < 0)[idx]
         width = np.maximum(width, 0)
         firsts = bounds[:-1]
@@ -184,7 +184,8 @@ class Encoder(dict):
                 if broken[k] or not head or head[-1].isspace():
                     yield np.array(self._library(texts[k].as_py()), "<u4")
                 else:
-                    yield np.concatenate([np.array(self._library(head), "<u4"), ids[cut[k - lo] : cut[k - lo + 1]]])
+                    first = self._word(head, "")
+                    yield np.concatenate([np.array(self._library(head) if first is None else first, "<u4"), ids[cut[k - lo] : cut[k - lo + 1]]])
 
 
 _encoders: dict[str, Encoder] = {}
