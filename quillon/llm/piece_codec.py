@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -219,6 +220,30 @@ class Codec:
             return self._library(text)
         return src[ends - own], src[ends]
 
+    def spans(self, texts: list[str], ids: list[list[int]]) -> list[np.ndarray]:
+        """offsets() of many texts, as a column of (start, end) pairs for each. Texts are normalised together, parted by a byte that UTF-8
+        doesn't have; those with unknown pieces, and all of a model that drops white space, are taken one by one."""
+        if self.spec.remove_extra_whitespaces or self.suffix or not texts:
+            return [np.stack(self.offsets(t, i), 1) for t, i in zip(texts, ids, strict=True)]
+        data = [t.encode("utf-8", "replace") for t in texts]
+        size = np.array([len(d) + 1 for d in data], np.int64)
+        raw, src = np.frombuffer(b"\xff".join([*data, b""]), np.uint8), np.arange(size.sum(), dtype=np.int64)
+        for m in (self.map, self.blanks):
+            raw, src = replaced(m, raw, src)
+        stops = np.flatnonzero(raw == 0xFF)
+        base = np.append(0, stops[:-1] + 1)
+        mark = (len(SPACE) if self.spec.escape_whitespaces else 1) if self.spec.add_dummy_prefix else 0
+        n = np.array([len(i) for i in ids], np.int64)
+        width = self.width[np.fromiter(chain.from_iterable(ids), np.int64, n.sum())]
+        sums, cut = np.append(0, np.cumsum(width)), np.append(0, np.cumsum(n))
+        unknown = np.append(0, np.cumsum(width < 0))
+        odd = (n > 0) & ((sums[cut[1:]] - sums[cut[:-1]] != stops - base + mark) | (unknown[cut[1:]] > unknown[cut[:-1]]))
+        ends = sums[1:] - np.repeat(sums[cut[:-1]], n)
+        shift, own = np.repeat(base - mark, n), np.repeat(np.cumsum(size) - size, n)
+        at = lambda p: np.where(p < mark, 0, src[np.clip(shift + p, 0, len(src) - 1)] - own)
+        pairs = np.stack([at(ends - width), at(ends)], 1)
+        return [np.stack(self.offsets(texts[k], ids[k]), 1) if odd[k] else pairs[cut[k] : cut[k + 1]] for k in range(len(texts))]
+
     def _library(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         pieces = self.sp.encode(text, return_type="proto").pieces
         return np.array([p.begin for p in pieces], np.int64), np.array([p.end for p in pieces], np.int64)
@@ -251,20 +276,18 @@ def digests(path: str, with_ids: bool = False):
         codec = Codec(path)
 
         def work(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            ids_col, texts = b.column(0), [t or "" for t in b.column(1).to_pylist()]
-            n, ids_sha, text_sha, spans, all_ids = [], [], [], [], []
-            for text in texts:
-                ids = codec.sp.encode(text)
-                n.append(len(ids))
-                if with_ids:
-                    all_ids.append(np.array(ids, np.int32))
-                ids_sha.append(hashlib.sha256(str(ids)[1:-1].replace(" ", "").encode()).hexdigest())
-                text_sha.append(hashlib.sha256(codec.sp.decode(ids).encode()).hexdigest())
-                starts, ends = codec.offsets(text, ids)
-                spans.append(zlib.crc32(np.stack([starts, ends], 1).astype("<i8").tobytes()))
-            cols = [ids_col, pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha), pa.array(spans, pa.int64())]
-            more = [pa.array(all_ids, pa.list_(pa.int32()))] if with_ids else []
-            yield pa.RecordBatch.from_arrays(cols + more, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32", *["ids"] * with_ids])
+            for at in range(0, b.num_rows, 64):
+                yield some(b.slice(at, 64))
+
+        def some(b: pa.RecordBatch) -> pa.RecordBatch:
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            ids = [codec.sp.encode(t) for t in texts]
+            ids_sha = [hashlib.sha256(str(i)[1:-1].replace(" ", "").encode()).hexdigest() for i in ids]
+            text_sha = [hashlib.sha256(codec.sp.decode(i).encode()).hexdigest() for i in ids]
+            spans = [zlib.crc32(np.ascontiguousarray(x, "<i8")) for x in codec.spans(texts, ids)]
+            cols = [b.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array(ids_sha), pa.array(text_sha), pa.array(spans, pa.int64())]
+            more = [pa.array([np.array(i, np.int32) for i in ids], pa.list_(pa.int32()))] if with_ids else []
+            return pa.RecordBatch.from_arrays(cols + more, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32", *["ids"] * with_ids])
 
         return work
 
@@ -309,19 +332,8 @@ def piece_digests(docs: DataFrame, model: str | None = None) -> DataFrame:
 def tokenised(docs: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids array<int>, ids_sha256, decoded_sha256, spans_crc32: the digests' rows with the ids themselves."""
     common.ship(docs.sparkSession)
-    path = model or default_model()
-
-    def make():
-        work = digests(path, with_ids=True)()
-
-        def small(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for at in range(0, b.num_rows, 256):
-                yield from work(b.slice(at, 256))
-
-        return small
-
     picked = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    return common.per_document(picked, make, DECODED + ", ids array<int>", ["doc_id", "text"])
+    return common.per_document(picked, digests(model or default_model(), with_ids=True), DECODED + ", ids array<int>", ["doc_id", "text"])
 
 
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
