@@ -235,14 +235,14 @@ def shard_aggregate(spark, sf_dir):
     from quillon.api import Session
 
     base = star_catalog(spark, sf_dir)
-    tables = base.tables | {"orders": lambda c: spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("shardlet", (F.col("o_custkey") % 8).cast("int"))}
+    tables = base.tables | {"orders": lambda c: star_catalog(spark, sf_dir).table("orders").withColumn("shardlet", (F.col("o_custkey") % 8).cast("int"))}
     return Session(spark, star_model(), Catalog(spark, sf_dir, tables, "shardlet")).query("/Orders?shard=0,5&groupby=(o_orderstatus)&aggregate=* with count as n")
 
 
 # -- writes as snapshots ----------------------------------------------------------------------------------------------------
 def _source(spark, sf_dir):
     """Changed and new customers: every third key changed, and as many new keys."""
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    c = star_catalog(spark, sf_dir).table("customer")
     old = c.where("c_custkey % 3 = 0").select("c_custkey", (F.col("c_acctbal") + F.when(F.col("c_custkey") % 2 == 0, 100.0).otherwise(0.0)).alias("c_acctbal"))
     return c, old.union(c.where("c_custkey % 3 = 1").select((F.col("c_custkey") + 1_000_000).alias("c_custkey"), F.lit(1.5)))
 
@@ -274,20 +274,20 @@ def merge_actions(spark, sf_dir):
 
 @made("delete_key", "select * from nation where n_regionkey <> 2")
 def delete_key(spark, sf_dir):
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    n = star_catalog(spark, sf_dir).table("nation")
     return merge.delete(n, n.where("n_regionkey = 2").select("n_nationkey"), ["n_nationkey"])
 
 
 @made("insert_rows", "select * from region union all select r_regionkey + 5, 'NEW ' || r_name from region")
 def insert_rows(spark, sf_dir):
-    r = spark.read.parquet(f"{sf_dir}/region.parquet")
+    r = star_catalog(spark, sf_dir).table("region")
     return merge.insert(r, r.select((F.col("r_regionkey") + 5).alias("r_regionkey"), F.concat(F.lit("NEW "), "r_name").alias("r_name")))
 
 
 @made("insert_identity", "select n_name, n_nationkey + 1 as id from nation union all select r_name, 25 + row_number() over (order by r_regionkey) from region")
 def insert_identity(spark, sf_dir):
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_name", (F.col("n_nationkey") + 1).cast("long").alias("id"))
-    r = spark.read.parquet(f"{sf_dir}/region.parquet").orderBy("r_regionkey").select(F.col("r_name").alias("n_name"))
+    n = star_catalog(spark, sf_dir).table("nation").select("n_name", (F.col("n_nationkey") + 1).cast("long").alias("id"))
+    r = star_catalog(spark, sf_dir).table("region").orderBy("r_regionkey").select(F.col("r_name").alias("n_name"))
     return merge.insert(n, r, identity="id")
 
 
@@ -305,7 +305,7 @@ def merge_update_unmatched(spark, sf_dir):
     "select s_suppkey, case when s_suppkey % 2 = 0 then s_acctbal + 1 else s_acctbal end as s_acctbal, case when s_suppkey % 2 = 0 then 2 else 1 end as ver from supplier",
 )
 def merge_concurrency(spark, sf_dir):
-    t = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_acctbal", F.lit(1).alias("ver"))
+    t = star_catalog(spark, sf_dir).table("supplier").select("s_suppkey", "s_acctbal", F.lit(1).alias("ver"))
     return merge.merge(t, t.where("s_suppkey % 2 = 0").withColumn("s_acctbal", F.col("s_acctbal") + 1), ["s_suppkey"], concurrency="ver")
 
 
@@ -323,8 +323,8 @@ def deep_write(spark, sf_dir):
 @made("link_bridge", "select distinct l_partkey, l_suppkey from lineitem union select p_partkey, 1 from part where p_partkey < 50")
 def link_bridge(spark, sf_dir):
     m = star_model()
-    bridge = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", "l_suppkey").distinct()
-    pairs = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey < 50").select(F.col("p_partkey").alias("host_p_partkey"), F.lit(1).cast("long").alias("member_s_suppkey"))
+    bridge = star_catalog(spark, sf_dir).table("lineitem").select("l_partkey", "l_suppkey").distinct()
+    pairs = star_catalog(spark, sf_dir).table("part").where("p_partkey < 50").select(F.col("p_partkey").alias("host_p_partkey"), F.lit(1).cast("long").alias("member_s_suppkey"))
     t = m.type("Part")
     return merge.link(m, t, t.navigations["Suppliers"], {"lineitem": bridge}, pairs)["lineitem"]
 
@@ -332,7 +332,7 @@ def link_bridge(spark, sf_dir):
 @made("unlink_fk", "select n_nationkey, n_name, case when n_regionkey = 1 then null else n_regionkey end as n_regionkey from nation")
 def unlink_fk(spark, sf_dir):
     m = star_model()
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    n = star_catalog(spark, sf_dir).table("nation")
     pairs = n.where("n_regionkey = 1").select(F.col("n_nationkey").alias("host_n_nationkey"), F.col("n_regionkey").alias("member_r_regionkey"))
     t = m.type("Nation")
     return merge.unlink(m, t, t.navigations["Region"], {"nation": n}, pairs)["nation"]
@@ -344,7 +344,7 @@ def unlink_fk(spark, sf_dir):
     "select s_suppkey + 500000, x.p, null, x.v, 0 from supplier, lateral (values ('s_name', s_name), ('s_nationkey', s_nationkey::varchar)) x(p, v) where s_suppkey < 5",
 )
 def changelog_diff(spark, sf_dir):
-    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name", "s_nationkey")
+    s = star_catalog(spark, sf_dir).table("supplier").select("s_suppkey", "s_name", "s_nationkey")
     after = s.withColumn("s_nationkey", F.when(F.col("s_suppkey") % 2 == 0, (F.col("s_nationkey") + 1) % 25).otherwise(F.col("s_nationkey")))
     after = after.union(s.where("s_suppkey < 5").withColumn("s_suppkey", F.col("s_suppkey") + 500_000))
     return merge.changes(s, after, ["s_suppkey"])
@@ -352,7 +352,7 @@ def changelog_diff(spark, sf_dir):
 
 @made("changelog_links", "select n_nationkey, r as n_regionkey, op from (select n_nationkey, n_regionkey as r, 3 as op from nation where n_nationkey < 4 union all select n_nationkey, (n_regionkey + 1) % 5, 2 from nation where n_nationkey < 4)")
 def changelog_links(spark, sf_dir):
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_regionkey")
+    n = star_catalog(spark, sf_dir).table("nation").select("n_nationkey", "n_regionkey")
     after = n.withColumn("n_regionkey", F.when(F.col("n_nationkey") < 4, (F.col("n_regionkey") + 1) % 5).otherwise(F.col("n_regionkey")))
     return merge.link_changes(n, after, ["n_nationkey", "n_regionkey"])
 
@@ -360,7 +360,7 @@ def changelog_links(spark, sf_dir):
 # -- mapping, incremental, time aggregates ----------------------------------------------------------------------------------
 @made("mapped_reader", "select o_orderkey as id, case o_orderstatus when 'F' then '1' when 'O' then '2' else o_orderstatus end as status, o_orderpriority as priority from orders where o_totalprice > 400000")
 def mapped_reader(spark, sf_dir):
-    df = etl.filtered(spark.read.parquet(f"{sf_dir}/orders.parquet"), {"o_totalprice": lambda c: c > 400_000})
+    df = etl.filtered(star_catalog(spark, sf_dir).table("orders"), {"o_totalprice": lambda c: c > 400_000})
     return etl.mapped(df, [etl.ColumnMap("id", "o_orderkey"), etl.ColumnMap("status", "o_orderstatus", {"F": "1", "O": "2"}), etl.ColumnMap("priority", "o_orderpriority")])
 
 
@@ -373,7 +373,7 @@ def nav_key_collapse(spark, sf_dir):
 @made("incremental_refresh", "select user_id, max(ts) as ts from events where event_type <> 'error' group by 1")
 def incremental_refresh(spark, sf_dir):
     """Two loads of events, the second since the first's watermark, merged into one row for each user."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type <> 'error'").select("user_id", "ts")
+    e = star_catalog(spark, sf_dir).table("events").where("event_type <> 'error'").select("user_id", "ts")
     mark = F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")
     first, second = latest(e.where(F.col("ts") < mark), ["user_id"], "ts"), latest(e.where(F.col("ts") >= mark), ["user_id"], "ts")
     return merge.merge(first, second, ["user_id"])
@@ -381,19 +381,19 @@ def incremental_refresh(spark, sf_dir):
 
 @made("time_agg_latest", "select date_trunc('day', ts) as period, event_type, max(value) as top, min(value) as least, arg_max(value, (ts, value)) as last from events group by 1, 2")
 def time_agg_latest(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = star_catalog(spark, sf_dir).table("events")
     return etl.time_aggregate(e, "ts", "Daily", ["event_type"], {"top": ("max", "value"), "least": ("min", "value"), "last": ("latest", "value")})
 
 
 @made("retention", "select event_id from events where ts >= (timestamp '2024-01-03 00:00:00' - interval 1 day)")
 def retention(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = star_catalog(spark, sf_dir).table("events")
     return etl.retained(e, "ts", 1, F.lit("2024-01-03 00:00:00").cast("timestamp_ntz")).select("event_id")
 
 
 @made("banding", "select p_partkey, case when p_size < 10 then 'small' when p_size < 30 then 'medium' else 'large' end as band from part")
 def banding(spark, sf_dir):
-    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    p = star_catalog(spark, sf_dir).table("part")
     return etl.banded(p, "p_size", [(None, 10, "small"), (10, 30, "medium"), (30, None, "large")], "band").select("p_partkey", "band")
 
 
@@ -401,7 +401,7 @@ def banding(spark, sf_dir):
 def json_payload(spark, sf_dir):
     from quillon.sources.feeds import read_payload
 
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = star_catalog(spark, sf_dir).table("events")
     text = F.concat(F.lit('{"value":[{"event_id":'), F.col("event_id").cast("string"), F.lit(',"k":'), F.get_json_object("props", "$.k"), F.lit("}]}"))
     from pyspark.sql import types as T
 

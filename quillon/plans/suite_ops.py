@@ -121,7 +121,7 @@ def deep_write_lineage(spark, sf_dir):
 def bulk_load(spark, sf_dir):
     """A table that isn't there yet is made, and then appended to."""
     m, snaps = star_model(), Snapshots(spark, scratch(spark))
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    n = star_catalog(spark, sf_dir).table("nation")
     load.bulk_load(snaps, m, m.type("Nation"), n)
     load.bulk_load(snaps, m, m.type("Nation"), n.where("n_regionkey = 2").withColumn("n_nationkey", F.col("n_nationkey") + 100))
     return snaps.read("nation")
@@ -130,7 +130,7 @@ def bulk_load(spark, sf_dir):
 @made("load_and_merge", "select c_custkey, case when c_custkey % 3 = 0 then c_acctbal + 10 else c_acctbal end as c_acctbal, c_mktsegment from customer union all select c_custkey + 1000000, 0, null from customer where c_custkey < 5")
 def load_and_merge(spark, sf_dir):
     snaps, _ = stored_star(spark, sf_dir, "customer")
-    m, c = star_model(), spark.read.parquet(f"{sf_dir}/customer.parquet")
+    m, c = star_model(), star_catalog(spark, sf_dir).table("customer")
     rows = c.where("c_custkey % 3 = 0").select("c_custkey", (F.col("c_acctbal") + 10).alias("c_acctbal"))
     new = c.where("c_custkey < 5").select((F.col("c_custkey") + 1_000_000).alias("c_custkey"), F.lit(0.0).alias("c_acctbal"))
     load.load_and_merge(snaps, m, m.type("Customer"), rows.union(new))
@@ -156,29 +156,29 @@ def load_transaction(spark, sf_dir):
 @made("kv_scan", "select n_nationkey, n_name from nation")
 def kv_scan(spark, sf_dir):
     kv = KeyValueTable(spark, scratch(spark))
-    kv.write(spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name"), "Nation", ["n_nationkey"])
-    kv.write(spark.read.parquet(f"{sf_dir}/region.parquet"), "Region", ["r_regionkey"])
+    kv.write(star_catalog(spark, sf_dir).table("nation").select("n_nationkey", "n_name"), "Nation", ["n_nationkey"])
+    kv.write(star_catalog(spark, sf_dir).table("region"), "Region", ["r_regionkey"])
     return kv.scan("Nation").select("n_nationkey", "n_name")
 
 
 @made("kv_get", "select r_regionkey, r_name from region where r_regionkey = 3")
 def kv_get(spark, sf_dir):
     kv = KeyValueTable(spark, scratch(spark))
-    kv.write(spark.read.parquet(f"{sf_dir}/region.parquet"), "Region", ["r_regionkey"])
+    kv.write(star_catalog(spark, sf_dir).table("region"), "Region", ["r_regionkey"])
     return kv.get("Region", 3).select("r_regionkey", "r_name")
 
 
 @made("kv_put", "select n_nationkey, case when n_nationkey < 5 then 'PUT' else n_name end as n_name, case when n_nationkey < 5 then null else n_regionkey end as n_regionkey from nation")
 def kv_put(spark, sf_dir):
     """PUT with If-Match: properties that aren't given become null, and nothing is inserted."""
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    n = star_catalog(spark, sf_dir).table("nation")
     rows = n.where("n_nationkey < 5").select("n_nationkey", F.lit("PUT").alias("n_name")).union(spark.createDataFrame([(999, "none")], "k int, n string"))
     return key_value_upsert(n, rows, ["n_nationkey"], replace=True, must_exist=True)
 
 
 @made("kv_patch", "select n_nationkey, case when n_nationkey < 5 then 'PATCH' else n_name end as n_name, n_regionkey from nation union all select 999, 'PATCH', null")
 def kv_patch(spark, sf_dir):
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    n = star_catalog(spark, sf_dir).table("nation")
     rows = n.where("n_nationkey < 5").select("n_nationkey").union(spark.createDataFrame([(999,)], "k int")).withColumn("n_name", F.lit("PATCH"))
     return key_value_upsert(n, rows, ["n_nationkey"], replace=False)
 
@@ -187,7 +187,7 @@ def kv_patch(spark, sf_dir):
 def csv_out(spark, sf_dir):
     """Written as CSV and read back as text."""
     path = scratch(spark)
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey < 2000")
+    o = star_catalog(spark, sf_dir).table("orders").where("o_orderkey < 2000")
     note = F.concat(F.lit('a "quoted", '), "o_orderpriority").alias("note")
     to_csv(o.select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("day"), note), path, enums={"status": {"O": 0, "F": 1, "P": 2}})
     return spark.read.schema("o_orderkey long, status int, day string, note string").csv(path, header=True, escape='"')
@@ -257,7 +257,7 @@ def ddl_prepared(spark, sf_dir):
     m = _ddl_model()
     spec = ddl.table_spec(m, m.type("Thing"))
     spec.checks["known"] = "region < 25"
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    c = star_catalog(spark, sf_dir).table("customer")
     rows = c.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("region"), F.when(F.col("c_custkey") % 2 == 0, 3).alias("grade"))
     return ddl.prepared(rows, spec).select("id", "region", "grade", "twice")
 
@@ -293,13 +293,13 @@ def shard_placement(spark, sf_dir):
     m.move(4, "a")
     m.remove(5)
     held = [k for k in range(25) if k != 5]
-    return m.query(spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey"), "n_nationkey", held)
+    return m.query(star_catalog(spark, sf_dir).table("nation").select("n_nationkey"), "n_nationkey", held)
 
 
 @made("store_pick", "select n_nationkey from nation where n_regionkey = 1")
 def store_pick(spark, sf_dir):
     """The store that a query names."""
-    other = Catalog(spark, tables={"nation": spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_regionkey = 1")})
+    other = Catalog(spark, tables={"nation": star_catalog(spark, sf_dir).table("nation").where("n_regionkey = 1")})
     return Session(spark, star_model(), Stores(main=star_catalog(spark, sf_dir), other=other)).query("/Nations?store=other&$select=n_nationkey")
 
 
@@ -322,7 +322,7 @@ def url_round_trip(spark, sf_dir):
 def memory_predicate(spark, sf_dir):
     """The same language over plain rows."""
     test = compiled("r_regionkey gt 1 and (r_name ne 'ASIA' or r_regionkey eq 4)")
-    rows = [r.asDict() for r in spark.read.parquet(f"{sf_dir}/region.parquet").collect()]
+    rows = [r.asDict() for r in star_catalog(spark, sf_dir).table("region").collect()]
     return spark.createDataFrame([r for r in rows if test(r)], "r_regionkey int, r_name string")
 
 
@@ -379,7 +379,7 @@ def join_merge(spark, sf_dir):
 
 @made("join_composite", "select count(*) as n, cast(sum(a.l_quantity) as bigint) as q from lineitem a join (select l_orderkey, l_linenumber, max(l_quantity) as m from lineitem group by 1, 2) b on a.l_orderkey = b.l_orderkey and a.l_linenumber = b.l_linenumber and a.l_quantity = b.m")
 def join_composite(spark, sf_dir):
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    li = star_catalog(spark, sf_dir).table("lineitem")
     top = li.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("m"))
     got = joins.join(li, top, [("l_orderkey", "l_orderkey"), ("l_linenumber", "l_linenumber"), ("l_quantity", "m")])
     return got.agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").cast("long").alias("q"))
@@ -394,7 +394,7 @@ def join_unless(spark, sf_dir):
 
 @made("skip_anti", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 10 offset 30")
 def skip_anti(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice")
+    o = star_catalog(spark, sf_dir).table("orders").select("o_orderkey", "o_totalprice")
     return joins.skipped(o, [F.col("o_totalprice").desc(), F.col("o_orderkey")], ["o_orderkey"], 30, 10)
 
 
@@ -412,7 +412,7 @@ def feed_engine(spark, sf_dir):
     base = {"Namespace": "F", "Name": "Base", "Kind": "Feed", "Abstract": True, "Keys": ["who"], "Watermark": "seen", "Columns": {"who": "user_id", "seen": "ts", "value": "value", "one": "one"}}
     daily = {"Period": "Daily", "Grain": [], "Measures": {"n": ["sum", "one"], "top": ["max", "value"]}}
     feed = lambda kind, **more: {"Namespace": "F", "Name": kind, "Base": "F.Base", "Abstract": False, "Table": kind, "Source": {"Kind": "events", "Type": kind}, "Aggregates": {f"{kind}_daily": daily}} | more
-    read = lambda spark, source: spark.read.parquet(f"{sf_dir}/events.parquet").where(F.col("event_type") == source["Type"]).withColumn("one", F.lit(1))
+    read = lambda spark, source: star_catalog(spark, sf_dir).table("events").where(F.col("event_type") == source["Type"]).withColumn("one", F.lit(1))
     engine = Engine(Configuration([base, feed("click", MaximumDays=1, LateDays=1, DependsOn=["F.view"]), feed("view")]), Snapshots(spark, scratch(spark)), {"events": read})
     assert engine.run() == engine.run() == ["F.view", "F.click"]
     return union(*[engine.snapshots.read(f"{k}_daily").withColumn("feed", F.lit(k)) for k in ("click", "view")])
@@ -422,7 +422,7 @@ def feed_engine(spark, sf_dir):
 @made("cache_watermark", "with o as (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey desc) as r from orders) select o_custkey, o_orderkey, (select max(o_orderkey) from orders) as mark from o where r = 1")
 def cache_watermark(spark, sf_dir):
     """Three loads by a numeric watermark, of two chunks each; the last brings old rows again, which replace nothing."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderkey")
+    o = star_catalog(spark, sf_dir).table("orders").select("o_custkey", "o_orderkey")
     c = Cache(spark, scratch(spark), "last", ["o_custkey"], "o_orderkey")
     chunk = lambda k, below: lambda since: o.where(F.col("o_custkey") % 2 == k).where(F.col("o_orderkey") < below).where(F.lit(True) if since is None else F.col("o_orderkey") > int(since))
     for below in (90, 1000, 1 << 40):
@@ -433,7 +433,7 @@ def cache_watermark(spark, sf_dir):
 
 @made("cache_lookup", "select user_id, max(ts) as ts from events where user_id = 7 group by 1")
 def cache_lookup(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts")
+    e = star_catalog(spark, sf_dir).table("events").select("user_id", "ts")
     c = Cache(spark, scratch(spark), "seen", ["user_id"], "ts")
     c.refresh([lambda since: e])
     return c.get(7)
@@ -441,7 +441,7 @@ def cache_lookup(spark, sf_dir):
 
 @made("cache_retention", "with e as (select user_id, max(ts) as ts from events group by 1) select * from e where ts >= (select max(ts) from events) - interval 2 day")
 def cache_retention(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts")
+    e = star_catalog(spark, sf_dir).table("events").select("user_id", "ts")
     c = Cache(spark, scratch(spark), "recent", ["user_id"], "ts", late="1 day", maximum_days=2)
     c.refresh([lambda since: e])
     c.refresh([lambda since: e.where(F.col("ts") > F.lit(since).cast("timestamp_ntz"))])
@@ -468,7 +468,7 @@ def agg_moments(spark, sf_dir):
 def digest_merge(spark, sf_dir):
     """Digests stored for each customer, merged for each nation: count and ends are exact, the median's rank is within 3 percent, and the
     mean of the merged digest within 5 percent of that of the rows."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").join(spark.read.parquet(f"{sf_dir}/customer.parquet"), F.col("o_custkey") == F.col("c_custkey"))
+    o = star_catalog(spark, sf_dir).table("orders").join(star_catalog(spark, sf_dir).table("customer"), F.col("o_custkey") == F.col("c_custkey"))
     m = EntityModel()
     m.entity("Digest", "digest", T.StructType([T.StructField("o_custkey", T.LongType()), T.StructField("c_nationkey", T.IntegerType()), T.StructField("d", T.BinaryType())]), ("o_custkey",), "Digests")
     stored = o.groupBy("o_custkey", "c_nationkey").agg(F.kll_sketch_agg_double("o_totalprice").alias("d"))
@@ -503,7 +503,7 @@ def expand_levels(spark, sf_dir):
     m = EntityModel()
     m.entity("Node", "node", T.StructType([T.StructField("id", T.LongType()), T.StructField("parent", T.LongType())]), ("id",), "Nodes")
     m.one("Node", "Parent", "Node", [("parent", "id")], "Children")
-    node = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.expr("p_partkey div 4").alias("parent"))
+    node = star_catalog(spark, sf_dir).table("part").select(F.col("p_partkey").alias("id"), F.expr("p_partkey div 4").alias("parent"))
     df = Session(spark, m, Catalog(spark, tables={"node": node})).query("/Nodes?$filter=id le 6&$expand=Children($levels=2)")
     below = F.aggregate(F.transform("Children", lambda c: F.size(c["Children"])), F.lit(0), lambda a, x: a + x)
     return df.select("id", F.size("Children").cast("long").alias("kids"), below.cast("long").alias("grandkids"))
