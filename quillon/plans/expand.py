@@ -87,11 +87,18 @@ def joined(planner, out: DataFrame, e: A.Expand, nav: Navigation, own: list[str]
     if nav.many and (q.top is not None or q.skip) and not order:
         raise BindError(f"{target.name} has no key to page by; give $orderby")
     place, row = f"{tag}place", f"{tag}row"
-    numbered = F.row_number().over(Window.partitionBy(*[ref(n) for n in names]).orderBy(*order)) if order and nav.many else F.lit(0)
+    paged = q.top is not None or bool(q.skip)
+    rising = bool(order) and not paged and not any(o.descending for o in q.orderby)  # gathered values can be sorted as they are, with no window
+    if not nav.many or not order:
+        numbered = F.lit(0)
+    elif rising:
+        numbered = F.struct(*[x.alias(f"o{k}") for k, x in enumerate([*[column(o.expr, s) for o in q.orderby], *[ref(p) for p in keys]])])
+    else:
+        numbered = F.row_number().over(Window.partitionBy(*[ref(n) for n in names]).orderBy(*order))
     df, total = child.df.withColumn(place, numbered), None
     if q.count and nav.many:
         total = df.groupBy(*[ref(n) for n in names]).agg(F.count(F.lit(1)).alias(f"{tag}total"))
-    if nav.many and (q.top is not None or q.skip):
+    if nav.many and paged:
         first = q.skip or 0
         df = df.where((ref(place) > first) & ((ref(place) <= first + q.top) if q.top is not None else F.lit(True)))
     df = nested(planner, child, df, q, columns, [*names, place], df if few is not None else None)
@@ -103,7 +110,9 @@ def joined(planner, out: DataFrame, e: A.Expand, nav: Navigation, own: list[str]
     if not nav.many:
         return out.join(df.select(*[ref(n) for n in names], ref(row).alias(name)), on, "left").drop(*names)
     one = F.collect_list(F.struct(ref(place).alias("p"), ref(row).alias("r")))
-    gathered = df.groupBy(*[ref(n) for n in names]).agg(F.transform(F.array_sort(one, _by_place) if order else one, lambda x: x.r).alias(name))
+    rising = rising and "map<" not in df.schema[row].dataType.simpleString()  # maps have no order
+    listed = F.sort_array(one) if rising else F.array_sort(one, _by_place) if order else one
+    gathered = df.groupBy(*[ref(n) for n in names]).agg(F.transform(listed, lambda x: x.r).alias(name))
     kind = gathered.schema[name].dataType
     out = out.join(gathered, on, "left").drop(*names).withColumn(name, F.coalesce(ref(name), F.array().cast(kind)))
     if total is not None:
@@ -113,4 +122,4 @@ def joined(planner, out: DataFrame, e: A.Expand, nav: Navigation, own: list[str]
 
 
 def _by_place(a: Column, b: Column) -> Column:
-    return a.p - b.p
+    return F.when(a.p < b.p, -1).when(a.p > b.p, 1).otherwise(0)

@@ -162,6 +162,21 @@ def test_targets_of_a_page_are_cut_down_before_they_are_shuffled(spark, sf):
     assert "LeftSemi" not in s.query("/Customers?$expand=Orders($top=2)")._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_whole_collections_are_sorted_once(spark):
+    """By their order and key, nulls first, with no window; also where rows hold maps, which have no order."""
+    m = EntityModel()
+    i = T.IntegerType()
+    m.entity("P", "p", T.StructType([T.StructField("id", i)]), ("id",), "Ps")
+    m.entity("C", "c", T.StructType([T.StructField("cid", i), T.StructField("pid", i), T.StructField("x", i), T.StructField("m", T.MapType(T.StringType(), i))]), ("cid",), "Cs")
+    m.one("C", "P", "P", [("pid", "id")], "Cs")
+    c = spark.createDataFrame([(5, 1, 2, {"a": 1}), (4, 1, None, {"b": 2}), (3, 1, 2, None), (9, 1, 1, {})], "cid int, pid int, x int, m map<string,int>").repartition(4)
+    s = Session(spark, m, Catalog(spark, None, {"p": spark.createDataFrame([(1,), (2,)], "id int"), "c": c}))
+    for query, want in (("$orderby=x", [4, 9, 3, 5]), ("$orderby=x desc", [3, 5, 9, 4]), ("$select=cid;$orderby=x", [4, 9, 3, 5]), ("$select=cid", [3, 4, 5, 9])):
+        df = s.query(f"/Ps?$expand=Cs({query})")
+        assert [r["cid"] for r in df.where("id = 1").first()["Cs"]] == want and df.where("id = 2").first()["Cs"] == []
+        assert ("Window" in df._jdf.queryExecution().optimizedPlan().toString()) == ("desc" in query)
+
+
 def test_ties_at_the_page_s_end_keep_their_targets(spark):
     m = EntityModel()
     i = T.IntegerType()
