@@ -20,6 +20,10 @@ class ConcurrencyError(RuntimeError):
     pass
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def _all(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
@@ -72,7 +76,7 @@ def merge(
     if top is not None:
         source = source.orderBy(*keys).limit(top)
     src = checked_source(source, keys)
-    s = src.select(*[ref(c).alias(f"?s.{c}") for c in source.columns], ref("?salt").alias("?s.salt"), F.lit(True).alias("?s"))
+    s = src.selectExpr(*[f"{quoted(c)} as {quoted(f'?s.{c}')}" for c in source.columns], "`?salt` as `?s.salt`", "true as `?s`")
     t = salted(target, keys).withColumnRenamed("?salt", "?t.salt").withColumn("?t", F.lit(True))
     j = t.join(s, [*[ref(k) == ref(f"?s.{k}") for k in keys], ref("?t.salt") == ref("?s.salt")], "full_outer")
     in_t, in_s = ref("?t").isNotNull(), ref("?s").isNotNull()
@@ -90,10 +94,18 @@ def merge(
     if now is not None and updated_time and target.schema[updated_time].dataType.simpleString() == "timestamp_ntz":
         when = F.lit(now.isoformat(" ")).cast("timestamp_ntz")
     touched = updated | inserted | (lone if update_unmatched else F.lit(False))
-    out = []
+    j = j.withColumns({"?updated": updated, "?inserted": inserted})
+    updated, inserted = ref("?updated"), ref("?inserted")
+    out, given, special = [], set(source.columns), {*(update_unmatched or {}), *audit, concurrency}
     for f in target.schema.fields:
-        c, own = ref(f.name), ref(f.name)
-        new = ref(f"?s.{f.name}").cast(f.dataType) if f.name in source.columns else F.lit(None).cast(f.dataType)
+        name, kind = quoted(f.name), f.dataType.simpleString()
+        theirs = f"cast({quoted(f'?s.{f.name}') if f.name in given else 'null'} as {kind})"
+        if f.name not in special and "struct<" not in kind:  # most columns: one text each, which is far quicker to plan than as many Columns
+            taken = f"coalesce({name}, {theirs})" if f.name in keys else f"if(`?updated` or `?inserted`, {theirs}, {name})" if f.name in columns else name
+            out.append(F.expr(f"{taken} as {name}"))
+            continue
+        c = own = ref(f.name)
+        new = (ref(f"?s.{f.name}") if f.name in given else F.lit(None)).cast(f.dataType)
         if f.name in keys:
             c = F.coalesce(own, new)
         elif f.name == inserted_time:
@@ -125,9 +137,9 @@ SALTS = 1024
 
 def salted(df: DataFrame, keys: list[str]) -> DataFrame:
     """df with ?salt: 0, but for rows with a null in their key, which match nothing, a hash of the row that keeps them apart."""
-    whole = _all([ref(k).isNotNull() for k in keys])
-    plain = [ref(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
-    return df.withColumn("?salt", F.when(whole, F.lit(0)).otherwise(F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int")))
+    whole = " and ".join(f"{quoted(k)} is not null" for k in keys)
+    plain = [quoted(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return df.selectExpr("*", f"if({whole}, 0, cast(pmod(xxhash64({', '.join(plain)}), {SALTS}) as int)) as `?salt`")
 
 
 def checked_source(source: DataFrame, keys: list[str]) -> DataFrame:

@@ -198,6 +198,15 @@ def test_null_keys_are_spread(spark):
     assert salts.where("k is null").select("?salt").distinct().count() > 100 and salts.where("k = 1").first()["?salt"] == 0
 
 
+def test_merges_take_any_names_and_types(spark):
+    schema = "`a key` int, `odd.name` string, `x``y` double, s struct<`in side`: int, b: string>, l array<int>, m map<string, int>, d date, n decimal(10,2)"
+    t = spark.createDataFrame([(1, "t", 1.0, (1, "x"), [1], {"a": 1}, None, None), (2, "t", 2.0, None, None, None, None, None)], schema)
+    s = spark.createDataFrame([(2, "s", 5.0, (7, "z"), [2], {"b": 2}, None, None), (3, "s", None, None, [], None, None, None)], schema)
+    got = {r["a key"]: r for r in merge.merge(t, s, ["a key"]).collect()}
+    assert got[1]["s"]["in side"] == 1 and got[2]["s"]["in side"] == 7 and got[2]["x`y"] == 5.0 and got[2]["m"] == {"b": 2} and got[3]["odd.name"] == "s" and len(got) == 3
+    assert merge.merge(t, s, ["a key"]).schema.fieldNames() == t.schema.fieldNames()
+
+
 def test_running_sums_need_no_window_over_rows(spark):
     from quillon.operators.apply import ranked
 
