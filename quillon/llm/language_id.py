@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,13 +54,13 @@ def grams(x: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct columns of a whole text and their frequencies, which sum to 1."""
+    """Distinct columns of a whole text and how often each occurs."""
     total = np.zeros(0, np.int64)
     x = codes(text)
     for at in range(0, len(x), STEP):
         total = np.concatenate([total, *grams(x[at : at + STEP + ORDERS - 1])])
     cols, n = np.unique(total, return_counts=True)
-    return cols, n / max(1, n.sum())
+    return cols.astype(np.int32), n.astype(np.int32)
 
 
 class Model:
@@ -115,21 +116,21 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         cols = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([*cols, -1], pa.int32()), pa.array([*df[cols], n], pa.int64())], ["col", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "col int, n long").groupBy("col").agg(F.sum("n").alias("n")).toPandas()  # DIM + 1 rows at most
+    rows = docs.select("text").mapInArrow(run, "col int, n long").groupBy("col").agg(F.sum("n").alias("n")).toArrow()  # DIM + 1 rows at most
+    col, n = np.asarray(rows["col"]), np.asarray(rows["n"])
     df = np.zeros(DIM, np.int64)
-    own = rows[rows.col >= 0]
-    df[own.col.to_numpy()] = own.n.to_numpy()
-    return df, int(rows.n[rows.col < 0].sum())
+    df[col[col >= 0]] = n[col >= 0]
+    return df, int(n[col < 0].sum())
 
 
 def fit(sample: list[tuple[np.ndarray, np.ndarray, str]], df: np.ndarray, n_docs: int, epochs: int = 4, alpha: float = 2.0, beta: float = 1.0, l1: float = L1, l2: float = L2) -> Model:
-    """FTRL-proximal on the sample's (columns, frequencies, lang); every fifth row is kept back to fit the temperature."""
+    """FTRL-proximal on the sample's (columns, counts, lang); every fifth row is kept back to fit the temperature."""
     langs = sorted({x[2] for x in sample})
     if not langs:
         return Model([], np.zeros((DIM, 0)), np.zeros(0), 1.0)
     idf = np.log((1 + n_docs) / (1 + df)) + 1
     number = {x: k for k, x in enumerate(langs)}
-    rows = [(cols, tf * idf[cols], number[lang]) for cols, tf, lang in sample]
+    rows = [(cols, (n / max(1, n.sum()) * idf[cols]).astype(np.float32), number[lang]) for cols, n, lang in sample]
     rng = np.random.default_rng(7)
     order = rng.permutation(len(rows))
     held, train = order[::5], np.array([k for i, k in enumerate(order) if i % 5]) if len(rows) > 5 else order
@@ -145,7 +146,7 @@ def fit(sample: list[tuple[np.ndarray, np.ndarray, str]], df: np.ndarray, n_docs
     for _ in range(epochs):
         for k in rng.permutation(train):
             cols, v, y = rows[k]
-            cols, v = np.append(cols, DIM), np.append(v, 1.0)
+            cols, v = np.append(cols, DIM), np.append(v, 1.0).astype(np.float64)
             w = weight(cols)
             s = v @ w
             p = np.exp(s - s.max())
@@ -176,14 +177,13 @@ def fit(sample: list[tuple[np.ndarray, np.ndarray, str]], df: np.ndarray, n_docs
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, lang) as (doc_id, lang, columns, frequencies): at most DIM of them for a text of any length."""
+    """(doc_id, text, lang) as (doc_id, lang, columns, counts): at most DIM of them for a text of any length."""
     for b in batches:
         for at in range(0, b.num_rows, 64):
             part = b.slice(at, 64)
             found = [counts(t) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(2), pa.array([c.astype(np.int32) for c, _ in found], pa.list_(pa.int32())), pa.array([f for _, f in found], pa.list_(pa.float64()))], ["doc_id", "lang", "cols", "tf"]
-            )
+            lists = [pa.array([x[k] for x in found], pa.list_(pa.int32())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *lists], ["doc_id", "lang", "cols", "n"])
 
 
 def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
@@ -199,10 +199,14 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     u = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*[F.lit(x) for r in langs for x in (r["lang"], min(1.0, per_lang / r["count"]))])
     drawn = rows.withColumn("u", u).where(F.col("u") < F.element_at(share, F.col("lang")))
-    drawn = drawn.select("doc_id", "text", "lang").mapInArrow(counted, "doc_id long, lang string, cols array<int>, tf array<double>")
-    drawn = drawn.withColumn("u", u).orderBy("u", "doc_id", "lang", "cols").limit(2 * per_lang * len(langs)).drop("u").toPandas().sort_values("doc_id", kind="stable")
+    drawn = drawn.select("doc_id", "text", "lang").mapInArrow(counted, "doc_id long, lang string, cols array<int>, n array<int>")
+    got = drawn.withColumn("u", u).orderBy("u", "doc_id", "lang", "cols").limit(2 * per_lang * len(langs)).select("doc_id", "lang", "cols", "n").toArrow()
+    got = got.take(pa.array(np.argsort(np.asarray(got["doc_id"]), kind="stable")))
+    lists = [got[c].combine_chunks() for c in ("cols", "n")]
+    cols, times, at = np.asarray(lists[0].flatten()), np.asarray(lists[1].flatten()), np.append(0, np.cumsum(np.asarray(pc.list_value_length(lists[0]))))
+    sample = [(cols[lo:hi], times[lo:hi], lang) for lo, hi, lang in zip(at[:-1], at[1:], got["lang"].to_pylist(), strict=True)]
     df, n = document_frequencies(rows)
-    return fit([(np.asarray(c, np.int64), np.asarray(f), lang) for c, f, lang in zip(drawn.cols, drawn.tf, drawn.lang, strict=True)], df, n)
+    return fit(sample, df, n)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
